@@ -18,14 +18,14 @@ repeated results.  Empty tables give empty results; other columns are ignored, w
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,9 +45,9 @@ U = np.uint64
 BASES = (U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F))
 
 REPLY = "doc_id long, sig long, found binary"
-SHIPPED = "shard long, docs binary, entries binary"
-ENTRY = np.dtype([("hash", "<u8"), ("doc", "<i4")])
-EXACT = np.dtype([("h1", "<u8"), ("h2", "<u8"), ("doc", "<i4"), ("start", "<i4")])
+SHIPPED = "shard long, docs binary, owners binary, entries binary, starts binary"
+#: Bytes of a window's exact hash that are shipped: 96 bits.
+EXACT = 12
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -100,7 +100,6 @@ def window_minimizers(low: np.ndarray, window: int, gram: int) -> tuple[np.ndarr
         now = g[d : d + n]
         less = now < least
         np.copyto(least, now, where=less)
-        place[less] += 0  # keeps the leftmost of equal ones
         np.copyto(place, np.arange(d, d + n), where=less)
     return least, place
 
@@ -127,28 +126,65 @@ def _valid(counts: np.ndarray, window: int, total: int) -> tuple[np.ndarray, np.
     return starts, doc[starts]
 
 
-def _ship(shards: int, entries: np.ndarray, key: np.ndarray, ids: np.ndarray, sigs: np.ndarray) -> Iterator[tuple[int, bytes, bytes]]:
-    """A row for each shard that has entries; ``doc`` numbers are renumbered to those that it names."""
+def _packed(values: np.ndarray) -> bytes:
+    """Whole numbers, small or slowly growing, in few bytes."""
+    return zstandard.ZstdCompressor(level=1).compress(np.diff(values, prepend=values.dtype.type(0)).astype("<i4").tobytes())
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zstandard.ZstdDecompressor().decompress(data), "<i4"), dtype=np.int64)
+
+
+def _short(hashes: np.ndarray) -> np.ndarray:
+    """40 bits of a hash, as five bytes each.  They only tell apart what is in one shard, or in one document."""
+    return np.ascontiguousarray(mixed(hashes ^ U(5)).view(np.uint8).reshape(-1, 8)[:, :5])
+
+
+def _wide(data: bytes | np.ndarray, size: int) -> np.ndarray:
+    """Values of so many bytes as 64-bit integers."""
+    raw = (np.frombuffer(data, np.uint8) if isinstance(data, bytes) else data).reshape(-1, size)
+    out = np.zeros((len(raw), 8), np.uint8)
+    out[:, :size] = raw
+    return out.view("<u8").ravel()
+
+
+def _pieces(key: np.ndarray, doc: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each shard that has entries: their places, by document."""
     shard = (mixed(key) % U(shards)).astype(np.int64)
-    order = np.argsort(shard, kind="stable")
-    entries, shard = entries[order], shard[order]
-    cuts = np.flatnonzero(np.diff(shard)) + 1
-    for part, s in zip(np.split(entries, cuts), shard[np.r_[0, cuts]] if len(shard) else [], strict=False):
-        named = np.unique(part["doc"][part["doc"] >= 0])
-        part = part.copy()
-        at = part["doc"] >= 0
-        part["doc"][at] = np.searchsorted(named, part["doc"][at])
-        yield int(s), np.stack([ids[named], sigs[named]]).tobytes(), part.tobytes()
-
-
-def _known(shards: int, doc: np.ndarray, found: np.ndarray, ids: np.ndarray, sigs: np.ndarray) -> Iterator[tuple[int, bytes, bytes]]:
+    order = np.lexsort((doc, shard))
+    cuts = np.flatnonzero(np.diff(shard[order])) + 1
+    if len(order):
+        for part in np.split(order, cuts):
+            yield int(shard[part[0]]), part
+
+
+def _named(doc: np.ndarray, ids: np.ndarray, sigs: np.ndarray) -> tuple[bytes, bytes]:
+    """Ids and signatures of the documents that entries name, and the entries' places among them (0: none)."""
+    known = np.unique(doc[doc >= 0])
+    return np.stack([ids[known], sigs[known]]).tobytes(), _packed(np.where(doc >= 0, np.searchsorted(known, doc) + 1, 0))
+
+
+def _known(shards: int, doc: np.ndarray, parts: Iterator[bytes], ids: np.ndarray, sigs: np.ndarray) -> Iterator[tuple]:
     """What a task knows by itself, in rows that the next step passes on: shard numbers below 0."""
-    order = np.argsort(doc, kind="stable")
-    doc, found = doc[order], found[order]
-    cuts = np.flatnonzero(np.diff(doc)) + 1
-    for part, d in zip(np.split(found, cuts), doc[np.r_[0, cuts]] if len(doc) else [], strict=False):
-        shard = -1 - int(mixed(np.array([ids[d]], np.int64).view(U) ^ U(7))[0] % U(shards))
-        yield shard, np.array([ids[d], sigs[d]], np.int64).tobytes(), part.tobytes()
+    spread = (mixed(ids[doc].view(U) ^ U(7)) % U(shards)).astype(np.int64)
+    for d, s, part in zip(doc, spread, parts, strict=True):
+        yield -1 - int(s), np.array([ids[d], sigs[d]], np.int64).tobytes(), None, part, None
+
+
+def _runs(starts: np.ndarray) -> bytes:
+    """Ascending starts as pairs of a run's first start and its end."""
+    cut = np.flatnonzero(np.diff(starts) != 1) + 1
+    first = np.r_[0, cut]
+    last = np.r_[cut, len(starts)] - 1
+    return np.stack([starts[first], starts[last] + 1], 1).astype("<i4").tobytes()
+
+
+def _by_document(owner: np.ndarray, order: np.ndarray | None = None) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The documents that occur, and the places of each one's entries."""
+    order = np.argsort(owner, kind="stable") if order is None else order
+    cuts = np.flatnonzero(np.diff(owner[order])) + 1
+    parts = np.split(order, cuts) if len(order) else []
+    return np.array([owner[x[0]] for x in parts], np.int64), parts
 
 
 def _batch(rows: list, names: list[str], kinds: list) -> pa.RecordBatch:
@@ -156,7 +192,7 @@ def _batch(rows: list, names: list[str], kinds: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
 
-_SHIPPED = (["shard", "docs", "entries"], [pa.int64(), pa.binary(), pa.binary()])
+_SHIPPED = (["shard", "docs", "owners", "entries", "starts"], [pa.int64(), *[pa.binary()] * 4])
 _REPLY = (["doc_id", "sig", "found"], [pa.int64(), pa.int64(), pa.binary()])
 
 
@@ -175,46 +211,53 @@ def _sketches(window: int, gram: int, shards: int):
             new = np.r_[True, (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])]
             least, doc = least[new], doc[new]
             values, back, count = np.unique(least, return_inverse=True, return_counts=True)
-            entries = np.zeros(len(values), ENTRY)
-            entries["hash"] = values
-            first = np.zeros(len(values), np.int32)
+            first = np.zeros(len(values), np.int64)
             first[back] = doc
-            entries["doc"] = np.where(count == 1, first, -1)
-            rows = list(_ship(shards, entries, values, ids, sigs))
+            first[count > 1] = -1
+            short = _short(values)
+            rows = [(s, *_named(first[at], ids, sigs), short[at].tobytes(), None) for s, at in _pieces(values, first, shards)]
             again = count[back] > 1
-            pairs = np.unique(np.rec.fromarrays([doc[again], least[again]], names="d,h"))
-            rows += _known(shards, pairs["d"], pairs["h"], ids, sigs)
+            owner, found = doc[again], _short(least[again])
+            named, parts = _by_document(owner)
+            rows += _known(shards, named, (found[x].tobytes() for x in parts), ids, sigs)
             yield _batch(rows, *_SHIPPED)
 
     return run
 
 
+def _passed_on(table: pa.Table) -> pa.Table | None:
+    """Rows that need no more than to be passed on, or None."""
+    if table.num_rows and table.column("shard")[0].as_py() >= 0:
+        return None
+    docs = [np.frombuffer(b, np.int64) for b in table.column("docs").to_pylist()]
+    return pa.Table.from_batches([_batch([(int(d[0]), int(d[1]), e) for d, e in zip(docs, table.column("entries").to_pylist(), strict=True)], *_REPLY)])
+
+
+def _gathered(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """All documents of a shard's rows, and each entry's place among them (-1: none)."""
+    docs = [np.frombuffer(b, np.int64).reshape(2, -1) for b in table.column("docs").to_pylist()]
+    base = np.cumsum([0, *(d.shape[1] for d in docs)])
+    owners = [_unpacked(b) - 1 for b in table.column("owners").to_pylist()]
+    return np.concatenate(docs, 1), np.concatenate([np.where(o >= 0, o + b, -1) for o, b in zip(owners, base, strict=False)])
+
+
 def _merge(table: pa.Table) -> pa.Table:
     """Pass 1, merge side: the documents' minimizers that the merged count-min table takes for repeated."""
-    out = []
-    shard = table.column("shard")[0].as_py() if table.num_rows else 0
-    docs = [np.frombuffer(b, np.int64).reshape(2, -1) for b in table.column("docs").to_pylist()]
-    if shard < 0:
-        out = [(int(d[0, 0]), int(d[1, 0]), e) for d, e in zip(docs, table.column("entries").to_pylist(), strict=True)]
-        return pa.Table.from_batches([_batch(out, *_REPLY)])
-    parts = [np.frombuffer(b, ENTRY) for b in table.column("entries").to_pylist()]
-    base = np.r_[0, np.cumsum([d.shape[1] for d in docs])]
-    entries = np.concatenate(parts)
-    owner = np.concatenate([np.where(p["doc"] >= 0, p["doc"] + b, -1) for p, b in zip(parts, base, strict=False)])
-    width = 1 << int(len(entries) * CELLS).bit_length()
+    done = _passed_on(table)
+    if done is not None:
+        return done
+    every, owner = _gathered(table)
+    raw = np.concatenate([np.frombuffer(b, np.uint8) for b in table.column("entries").to_pylist()]).reshape(-1, 5)
+    hashes = _wide(raw, 5)
+    width = 1 << int(len(hashes) * CELLS).bit_length()
     weight = np.where(owner >= 0, 1, 2)
-    estimate = np.full(len(entries), np.iinfo(np.int64).max)
+    estimate = np.full(len(hashes), np.iinfo(np.int64).max)
     for row in range(DEPTH):
-        cell = (mixed(entries["hash"] ^ BASES[row]) & U(width - 1)).astype(np.int64)
+        cell = (mixed(hashes ^ BASES[row]) & U(width - 1)).astype(np.int64)
         estimate = np.minimum(estimate, np.bincount(cell, weights=weight, minlength=width).astype(np.int64)[cell])
-    keep = (estimate > 1) & (owner >= 0)
-    every = np.concatenate(docs, 1)
-    owner, found = owner[keep], entries["hash"][keep]
-    order = np.argsort(owner, kind="stable")
-    owner, found = owner[order], found[order]
-    cuts = np.flatnonzero(np.diff(owner)) + 1
-    for part, o in zip(np.split(found, cuts), owner[np.r_[0, cuts]] if len(owner) else [], strict=False):
-        out.append((int(every[0, o]), int(every[1, o]), part.tobytes()))
+    keep = np.flatnonzero((estimate > 1) & (owner >= 0))
+    named, parts = _by_document(owner[keep])
+    out = [(int(every[0, o]), int(every[1, o]), raw[keep[x]].tobytes()) for o, x in zip(named, parts, strict=True)]
     return pa.Table.from_batches([_batch(out, *_REPLY)])
 
 
@@ -238,50 +281,43 @@ def _windows(window: int, gram: int, shards: int):
             ids, sigs = (batch.column(c).to_numpy() for c in ("doc_id", "sig"))
             low, high = word_hashes(words)
             least, _ = window_minimizers(low, window, gram)
+            short = _wide(_short(least), 5)
             begin = np.r_[0, np.cumsum(counts)]
             marked = []
             for i, found in enumerate(batch.column("found").to_pylist()):
                 n = counts[i] - window + 1
                 if n > 0:
-                    heavy = np.frombuffer(b"".join(found), U)
-                    marked.append(begin[i] + np.flatnonzero(np.isin(least[begin[i] : begin[i] + n], heavy)))
+                    marked.append(begin[i] + np.flatnonzero(np.isin(short[begin[i] : begin[i] + n], _wide(b"".join(found), 5))))
             at = np.concatenate(marked) if marked else np.zeros(0, np.int64)
             if not len(at):
                 continue
-            doc = (np.searchsorted(begin, at, "right") - 1).astype(np.int32)
-            start = (at - begin[doc]).astype(np.int32)
+            doc = np.searchsorted(begin, at, "right") - 1
+            start = at - begin[doc]
             h1, h2 = rolled(low, window, BASES[0])[at], rolled(high, window, BASES[1])[at]
             order, late = _earliest(h1, h2, ids[doc], start)
-            gone = order[late]
-            # Equal places (of repeated rows) stand for each other.
-            kept = order[~late]
-            entries = np.zeros(len(kept), EXACT)
-            for name, x in (("h1", h1), ("h2", h2), ("doc", doc), ("start", start)):
-                entries[name] = x[kept]
-            rows = list(_ship(shards, entries, h1[kept], ids, sigs))
-            rows += _known(shards, doc[gone], start[gone], ids, sigs)
+            gone, kept = np.sort(order[late]), np.sort(order[~late])
+            # Windows that come first here are shipped; equal places (of repeated rows) stand for each other.
+            exact = np.concatenate([h1[kept].view(np.uint8).reshape(-1, 8), h2[kept].view(np.uint8).reshape(-1, 8)[:, : EXACT - 8]], 1)
+            rows = [(s, *_named(doc[kept[x]], ids, sigs), exact[x].tobytes(), _packed(start[kept[x]])) for s, x in _pieces(h1[kept], doc[kept], shards)]
+            named, parts = _by_document(doc[gone])
+            rows += _known(shards, named, (_runs(start[gone[x]]) for x in parts), ids, sigs)
             yield _batch(rows, *_SHIPPED)
 
     return run
 
 
 def _group(table: pa.Table) -> pa.Table:
-    """Pass 2, merge side: starts of windows that also start earlier, by document."""
-    shard = table.column("shard")[0].as_py() if table.num_rows else 0
-    docs = [np.frombuffer(b, np.int64).reshape(2, -1) for b in table.column("docs").to_pylist()]
-    if shard < 0:
-        return pa.Table.from_batches([_batch([(int(d[0, 0]), int(d[1, 0]), e) for d, e in zip(docs, table.column("entries").to_pylist(), strict=True)], *_REPLY)])
-    parts = [np.frombuffer(b, EXACT) for b in table.column("entries").to_pylist()]
-    base = np.r_[0, np.cumsum([d.shape[1] for d in docs])]
-    entries, every = np.concatenate(parts), np.concatenate(docs, 1)
-    owner = np.concatenate([p["doc"] + b for p, b in zip(parts, base, strict=False)]) if parts else np.zeros(0, np.int64)
-    order, late = _earliest(entries["h1"], entries["h2"], every[0][owner], entries["start"])
-    gone = order[late]
-    owner, start = owner[gone], entries["start"][gone]
-    order = np.argsort(owner, kind="stable")
-    owner, start = owner[order], start[order]
-    cuts = np.flatnonzero(np.diff(owner)) + 1
-    out = [(int(every[0, o]), int(every[1, o]), np.ascontiguousarray(p).tobytes()) for p, o in zip(np.split(start, cuts), owner[np.r_[0, cuts]] if len(owner) else [], strict=False)]
+    """Pass 2, merge side: runs of windows that also start earlier, by document."""
+    done = _passed_on(table)
+    if done is not None:
+        return done
+    every, owner = _gathered(table)
+    raw = np.concatenate([np.frombuffer(b, np.uint8) for b in table.column("entries").to_pylist()]).reshape(-1, EXACT)
+    start = np.concatenate([_unpacked(b) for b in table.column("starts").to_pylist()])
+    order, late = _earliest(_wide(raw[:, :8], 8), _wide(raw[:, 8:], EXACT - 8), every[0][owner], start)
+    gone = np.sort(order[late])
+    named, parts = _by_document(owner[gone], np.lexsort((start[gone], owner[gone])))
+    out = [(int(every[0, o]), int(every[1, o]), _runs(start[gone[x]])) for o, x in zip(named, parts, strict=True)]
     return pa.Table.from_batches([_batch(out, *_REPLY)])
 
 
@@ -295,26 +331,26 @@ def _cut(window: int, digest: bool):
             change = np.zeros(len(words) + 1, np.int64)
             for i, found in enumerate(batch.column("found").to_pylist()):
                 if found:
-                    starts = begin[i] + np.unique(np.frombuffer(b"".join(found), np.int32)).astype(np.int64)
-                    np.add.at(change, starts, 1)
-                    np.add.at(change, starts + window, -1)
+                    runs = begin[i] + np.frombuffer(b"".join(found), "<i4").reshape(-1, 2).astype(np.int64)
+                    np.add.at(change, runs[:, 0], 1)
+                    np.add.at(change, runs[:, 1] + window - 1, -1)
             keep = np.cumsum(change)[:-1] == 0
             upto = np.r_[0, np.cumsum(keep)][begin]
             left = pc.binary_join(pa.ListArray.from_arrays(pa.array(upto, pa.int32()), words.filter(pa.array(keep))), " ")
             if digest:
                 left = pa.array([hashlib.sha256(t.as_buffer()).hexdigest() for t in left], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(counts), pa.array(counts - np.diff(upto)), left], ["doc_id", "n_words", "n_removed", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts), pa.array(counts - np.diff(upto)), left], ["doc_id", "n_words", "n_removed", "kept"])
 
     return run
 
 
 def _removable(base: DataFrame, window: int, gram: int) -> DataFrame:
-    """(doc_id, sig, found): starts of removable windows as packed 32-bit integers, in lists of parts."""
+    """(doc_id, sig, found): runs of removable windows as pairs of 32-bit integers, in lists of parts."""
     shards = 2 * shuffle_partitions(base.sparkSession)
     lists = lambda x: x.groupBy("doc_id", "sig").agg(F.collect_list("found").alias("found"))
     joined = lambda x, how: base.join(lists(x), ["doc_id", "sig"], how)
     maybe = base.select("doc_id", "sig", "text").mapInArrow(_sketches(window, gram, shards), SHIPPED).groupBy("shard").applyInArrow(_merge, REPLY)
-    again = joined(maybe, "inner").select("doc_id", "sig", "text", "found").dropDuplicates(["doc_id", "sig"])
+    again = joined(maybe, "inner").select("doc_id", "sig", "text", "found")
     exact = again.mapInArrow(_windows(window, gram, shards), SHIPPED).groupBy("shard").applyInArrow(_group, REPLY)
     return lists(exact)
 
@@ -323,9 +359,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int | None = Non
     """(doc_id, n_words, n_removed, kept): the documents without repeated passages; with ``digest`` the SHA-256 of what is kept."""
     gram = gram or max(1, min(GRAM, window // 2))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    base = docs.select(F.col("doc_id").cast("long").alias("id"), text.alias("text")).select("id", F.coalesce("id", F.lit(NO_ID)).alias("doc_id"), F.xxhash64("text").alias("sig"), "text")
+    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64(text).alias("sig"), text.alias("text"))
     found = _removable(base, window, gram)
-    left = base.join(found, ["doc_id", "sig"], "left").select("id", "text", F.coalesce("found", F.array().cast("array<binary>")).alias("found"))
+    # The same exchange of texts serves this join and the one before pass 2.
+    left = base.join(found, ["doc_id", "sig"], "left").select(F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), "text", F.coalesce("found", F.array().cast("array<binary>")).alias("found"))
     return left.mapInArrow(_cut(window, digest), "doc_id long, n_words long, n_removed long, kept string")
 
 
