@@ -40,14 +40,18 @@ BANDS, ROWS = 32, 6
 COORDINATES = BANDS * ROWS
 #: The first region of the rank axis is [0, FIRST); each further one doubles the end.
 FIRST = 2.0**-14
-#: Share of agreeing coordinates below which a pair isn't verified: five standard deviations under the threshold.
-LEAST_AGREEMENT = THRESHOLD - 5 * (THRESHOLD * (1 - THRESHOLD) / COORDINATES) ** 0.5
+#: Coordinates of the finer signature that documents with a common band get, one byte of each.
+FINE = 1024
+#: Share of agreeing fine coordinates below which a pair isn't verified: four standard deviations under the threshold.
+LEAST_AGREEMENT = THRESHOLD - 4 * (THRESHOLD * (1 - THRESHOLD) / FINE) ** 0.5
 #: Members of a bucket that one task compares; larger ones are split by further bands.
 BUCKET = 2048
 SPLIT_BANDS, SPLIT_ROWS, SPLIT_ROUNDS = 24, 4, 3
 #: Partners of a document that one search of a bucket may propose.  What is left over comes in the next round.
-PROPOSALS = 3
+PROPOSALS = 32
 CHUNK_BYTES = 4_000_000
+#: Coordinates of all documents that a task signs at once.
+CHUNK_COORDINATES = 400_000
 
 
 def elements(texts: pa.Array, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -124,11 +128,13 @@ def dart_signatures(doc: np.ndarray, x: np.ndarray, docs: int, k: int = COORDINA
     return value.reshape(docs, k)
 
 
-SIGNED = "doc_id long, h1 long, h2 long, bands array<long>, lanes binary"
+SIGNED = "doc_id long, h1 long, h2 long, bands array<long>"
+#: Bytes of text of the pairs that are verified at once.
+VERIFY_BYTES = 1_500_000
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in chunks(batches, CHUNK_BYTES):
+    for batch in chunks(batches, CHUNK_BYTES, CHUNK_COORDINATES // COORDINATES):
         doc, x = elements(batch.column("text"))
         values = dart_signatures(doc, x, batch.num_rows)
         has = np.bincount(doc, minlength=batch.num_rows) > 0
@@ -136,9 +142,16 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys = np.zeros((batch.num_rows, BANDS), U) + np.arange(BANDS, dtype=U)
             for r in range(ROWS):
                 keys = mixed(keys * BASES[0] + values[:, r * BANDS : (r + 1) * BANDS])
-        lanes = (values >> U(56)).astype(np.uint8)
         bands = [k.tolist() if h else [] for k, h in zip(keys.view(np.int64), has, strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h1"), batch.column("h2"), pa.array(bands, pa.list_(pa.int64())), pa.array([v.tobytes() for v in lanes], pa.binary())], ["doc_id", "h1", "h2", "bands", "lanes"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h1"), batch.column("h2"), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "h1", "h2", "bands"])
+
+
+def _sign_finely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in chunks(batches, CHUNK_BYTES // 4, CHUNK_COORDINATES // FINE):
+        doc, x = elements(batch.column("text"))
+        # The low byte: the high bits of a dart choose its coordinate.
+        lanes = (dart_signatures(doc, mixed(x ^ BASES[1]), batch.num_rows, FINE) & U(255)).astype(np.uint8)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array([v.tobytes() for v in lanes], pa.binary())], ["doc_id", "text", "lanes"])
 
 
 def _base(docs: DataFrame) -> DataFrame:
@@ -155,24 +168,25 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (a, b, left, right): those pairs whose texts reach the threshold, and the others."""
+    """Rows (a, b, text, right): which pairs' texts reach the threshold.  Rows come by ``a``, so its set is kept."""
+    last, left = None, None
     for whole in batches:
-        for at in range(0, whole.num_rows, 256):
-            batch = whole.slice(at, 256)
-            sets = []
-            for name in ("left", "right"):
-                doc, x = elements(batch.column(name))
-                cut = np.searchsorted(doc, np.arange(batch.num_rows + 1))
-                sets.append([x[i:j] for i, j in zip(cut[:-1], cut[1:], strict=True)])
-            near = [similarity(a, b) >= THRESHOLD for a, b in zip(*sets, strict=True)]
+        for batch in chunks(iter([whole]), VERIFY_BYTES):
+            doc, x = elements(batch.column("right"))
+            cut = np.searchsorted(doc, np.arange(batch.num_rows + 1))
+            near = []
+            for i, a in enumerate(batch.column("a").to_pylist()):
+                if a != last:
+                    last, left = a, elements(batch.column("text").slice(i, 1))[1]
+                near.append(similarity(left, x[cut[i] : cut[i + 1]]) >= THRESHOLD)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(near, pa.bool_())], ["a", "b", "near"])
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """(a, b, near): pairs of representatives, judged on their whole texts."""
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("left"))
+    left = texts.select(F.col("doc_id").alias("a"), "text")
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("right"))
-    both = pairs.join(right, "b").join(left, "a").select("a", "b", "left", "right")
+    both = pairs.join(right, "b").join(left, "a").select("a", "b", "text", "right")
     return stored(both.mapInArrow(_verify, "a long, b long, near boolean"), "verified")
 
 
@@ -201,7 +215,7 @@ def _agreeing(table: pa.Table) -> pa.Table:
     tested = [[place[t] for t in row or () if t in place] for row in table.column("tested").to_pylist()]
     out = []
     for i in range(len(ids)):
-        agree = (lanes == lanes[i]).mean(1)
+        agree = np.count_nonzero(lanes == lanes[i], axis=1) / lanes.shape[1]
         agree[comp == comp[i]] = 0
         agree[tested[i]] = 0
         top = np.argsort(-agree, kind="stable")[:PROPOSALS]
@@ -212,8 +226,8 @@ def _agreeing(table: pa.Table) -> pa.Table:
 
 def _split_large(rows: DataFrame, turn: int) -> DataFrame:
     """(key, id, comp, lanes, tested): members of large buckets, dealt to more buckets by further bands of their signatures."""
-    lane = lambda band, row: F.substring("lanes", (band * SPLIT_ROWS + row + turn * 97) % COORDINATES + 1, 1)
-    keys = F.array(*[F.xxhash64("key", F.lit(b), *[lane(b, r) for r in range(SPLIT_ROWS)]) for b in range(SPLIT_BANDS)])
+    part = lambda band: F.substring("lanes", (turn * SPLIT_BANDS + band) * SPLIT_ROWS + 1, SPLIT_ROWS)
+    keys = F.array(*[F.xxhash64("key", F.lit(b), part(b)) for b in range(SPLIT_BANDS)])
     return rows.select(F.explode(keys).alias("key"), "id", "comp", "lanes", "tested")
 
 
@@ -250,25 +264,23 @@ def signed(docs: DataFrame) -> DataFrame:
 def classes(docs: DataFrame) -> DataFrame:
     """(doc_id, class_id, exact_id): for each document the least id of its near-duplicate class and of its equal texts."""
     all_signed = signed(docs)
-    reps = stored(all_signed.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.min_by(F.struct("bands", "lanes"), "doc_id").alias("s")).select("h1", "h2", "id", "s.bands", "s.lanes"), "representatives")
+    reps = stored(all_signed.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")), "representatives")
     # Ids of different texts may be equal where doc_id is not unique; such texts share their fate from here on.
     banded = reps.select("id", F.explode("bands").alias("key"))
     sizes = banded.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     members = stored(banded.join(sizes, "key").distinct(), "members")
-    central = members.groupBy("id").agg(F.sum("n").alias("score"))
-    ranked = members.join(central, "id")
-    hubs = ranked.groupBy("key").agg(F.max_by("id", F.struct("score", -F.col("id"))).alias("hub"))
-    lanes = reps.groupBy("id").agg(F.min("lanes").alias("lanes"))
-    pairs = members.join(hubs, "key").filter("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-    agreed = pairs.join(lanes.select(F.col("id").alias("a"), F.col("lanes").alias("la")), "a").join(lanes.select(F.col("id").alias("b"), F.col("lanes").alias("lb")), "b")
-    pairs = stored(agreed.mapInArrow(_likely, "a long, b long"), "pairs")
-    involved = members.select("id").distinct()
-    texts = _base(docs).join(reps.select("h1", "h2", "id").join(involved, "id"), ["h1", "h2"]).filter("doc_id = id").dropDuplicates(["doc_id"]).select("doc_id", "text")
     if members.isEmpty():
         links = None
     else:
-        texts = stored(texts, "texts")
-        tested = verified(pairs, texts)
+        involved = reps.select("h1", "h2", "id").join(members.select("id").distinct(), "id")
+        texts = _base(docs).join(involved, ["h1", "h2"]).filter("doc_id = id").dropDuplicates(["doc_id"])
+        texts = stored(texts.select("doc_id", "text").mapInArrow(_sign_finely, "doc_id long, text string, lanes binary"), "texts")
+        lanes = texts.select(F.col("doc_id").alias("id"), "lanes")
+        central = members.groupBy("id").agg(F.sum("n").alias("score"))
+        hubs = members.join(central, "id").groupBy("key").agg(F.max_by("id", F.struct("score", -F.col("id"))).alias("hub"))
+        pairs = members.join(hubs, "key").filter("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+        agreed = pairs.join(lanes.select(F.col("id").alias("a"), F.col("lanes").alias("la")), "a").join(lanes.select(F.col("id").alias("b"), F.col("lanes").alias("lb")), "b")
+        tested = verified(agreed.mapInArrow(_likely, "a long, b long"), texts)
         while True:
             links = components(tested.filter("near").select("a", "b"))
             more = stored(_search(members.select("key", "id"), links, lanes, tested), "proposed")

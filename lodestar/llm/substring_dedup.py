@@ -104,13 +104,13 @@ def window_minimizers(low: np.ndarray, window: int, gram: int) -> tuple[np.ndarr
     return least, place
 
 
-def chunks(batches: Iterator[pa.RecordBatch], size: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about so many bytes; a longer text is a batch of its own."""
+def chunks(batches: Iterator[pa.RecordBatch], size: int = CHUNK_BYTES, rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about so many bytes and at most so many rows; a longer text is a batch of its own."""
     for batch in batches:
         lengths = pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False)
         at, total = 0, 0
         for i, n in enumerate(lengths):
-            if i > at and total + n > size:
+            if i > at and (total + n > size or i - at >= rows):
                 yield batch.slice(at, i - at)
                 at, total = i, 0
             total += n
