@@ -1,25 +1,59 @@
-"""The corpus pipeline: stages that each read what the one before kept."""
+"""The corpus pipeline: stages that each read what the one before kept.
+
+Each stage is called with the session, the documents that the one before returned, and the data
+folder.  All but the last return the columns of ``documents``.  An empty table passes through all
+stages as an empty table.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm import language_id
-from lodestar.llm.common import table
+from lodestar.llm import decontamination, language_id, line_dedup, near_dedup, packing
+from lodestar.llm.common import stored, table
 
+#: Language identification compresses texts, signatures are hashed and packing is sequential within
+#: its blocks: DuckDB has no words for these, so tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told clearly."""
+    """Documents whose language is told by a clear margin."""
     return language_id.keep_identified(docs)
 
 
-STAGES = [("language_id", identify_languages)]
+def deduplicate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that a smaller doc_id holds too."""
+    return line_dedup.without_repeated_lines(docs)
+
+
+def deduplicate_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest doc_id, of each class of near duplicates."""
+    return near_dedup.one_of_each(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no window of the benchmark occurs."""
+    return decontamination.clean_documents(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The bin of each document or, if it is longer than a bin, of each of its pieces."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("language_id", identify_languages),
+    ("line_dedup", deduplicate_lines),
+    ("near_dedup", deduplicate_documents),
+    ("decontamination", drop_contaminated),
+    ("packing", pack),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, each but the last written as Parquet to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -28,6 +28,8 @@ WINDOW = 10
 MAX_LITERAL_TERMS = 100_000
 #: Up to so many anchors (fixed-width rows with two windows of hashes each) are broadcast.
 MAX_BROADCAST_ANCHORS = 50_000
+#: Up to so many contaminated documents (two longs each) are broadcast; more are joined by shuffle.
+MAX_BROADCAST_DOCUMENTS = 500_000
 
 
 def words(text: Column) -> Column:
@@ -143,7 +145,9 @@ def digests(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents, with all their columns, in which no window of the benchmark occurs."""
-    dirty = decontaminate(docs, benchmark).filter("contaminated").select(F.col("doc_id").alias("__id"), F.col("sig").alias("__sig")).distinct()
+    dirty = stored(decontaminate(docs, benchmark).filter("contaminated").select(F.col("doc_id").alias("__id"), F.col("sig").alias("__sig")).distinct(), "dirty")
+    if dirty.count() <= MAX_BROADCAST_DOCUMENTS:
+        dirty = F.broadcast(dirty)
     return docs.join(dirty, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))) == F.col("__sig")), "left_anti")
 
 

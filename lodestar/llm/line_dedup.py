@@ -66,17 +66,26 @@ def drop_bitmaps(dropped: DataFrame) -> DataFrame:
 def deduplicate(docs: DataFrame, min_key_chars: int = MIN_KEY_CHARS, salts: int = SALTS) -> DataFrame:
     """(doc_id, n_lines, n_dropped, kept): the documents with what is left of their texts."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return _apply(base, base, min_key_chars, salts).select("doc_id", "n_lines", "n_dropped", "kept")
+    return _applied(base, min_key_chars, salts).select("doc_id", F.col("__lines").alias("n_lines"), F.col("__dropped").alias("n_dropped"), F.col("__kept").alias("kept"))
 
 
-def _apply(keyed: DataFrame, base: DataFrame, min_key_chars: int, salts: int) -> DataFrame:
-    """``keyed`` (with doc_id and text among its columns) and n_lines, n_dropped, kept."""
+def without_repeated_lines(docs: DataFrame) -> DataFrame:
+    """The documents with all their columns; text is what is left of it and n_chars its length.  A null text stays null."""
+    x = _applied(docs, MIN_KEY_CHARS, SALTS)
+    text = F.when(F.col("text").isNotNull(), F.col("__kept"))
+    new = {"text": text, "n_chars": F.char_length(text).cast("long")}
+    return x.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+
+
+def _applied(docs: DataFrame, min_key_chars: int, salts: int) -> DataFrame:
+    """``docs`` and __lines (how many), __dropped (how many), __kept (the text that is left)."""
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     maps = drop_bitmaps(dropped_lines(base, min_key_chars, salts)).select(F.col("doc_id").alias("__id"), F.col("sig").alias("__sig"), F.col("words").alias("__words"))
-    joined = keyed.join(maps, (F.col("doc_id") == F.col("__id")) & (_signature(F.col("text")) == F.col("__sig")), "left")
+    joined = docs.join(maps, (F.col("doc_id").cast("long") == F.col("__id")) & (_signature(F.col("text")) == F.col("__sig")), "left")
     lines = F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1)
-    kept = F.expr("filter(__lines, (x, i) -> (coalesce(element_at(__words, shiftright(i, 6)), 0L) & shiftleft(1L, i & 63)) = 0)")
-    parts = joined.withColumn("__lines", lines).withColumn("__kept", F.when(F.col("__words").isNull(), F.col("__lines")).otherwise(kept))
-    return parts.withColumns({"n_lines": F.size("__lines").cast("long"), "n_dropped": (F.size("__lines") - F.size("__kept")).cast("long"), "kept": F.array_join("__kept", "\n")}).drop("__id", "__sig", "__words", "__lines", "__kept")
+    kept = F.expr("filter(__all, (x, i) -> (coalesce(element_at(__words, shiftright(i, 6)), 0L) & shiftleft(1L, i & 63)) = 0)")
+    parts = joined.withColumn("__all", lines).withColumn("__left", F.when(F.col("__words").isNull(), F.col("__all")).otherwise(kept))
+    return parts.withColumns({"__lines": F.size("__all").cast("long"), "__dropped": (F.size("__all") - F.size("__left")).cast("long"), "__kept": F.array_join("__left", "\n")})
 
 
 def digests(docs: DataFrame) -> DataFrame:
