@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from lodestar.plans import answers, datasets, registry, routes, spaces  # noqa: F401  (they register their queries)
+
+QUERIES = registry.QUERIES
+ORACLE_SQL = registry.ORACLE_SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/region.parquet")
+    """Route scores of all runs."""
+    return routes.route_score(spark, sf_dir)
