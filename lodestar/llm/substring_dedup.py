@@ -44,7 +44,8 @@ NO_ID = 2**63 - 1
 U = np.uint64
 BASES = (U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F))
 
-REPLY = "doc_id long, sig long, found binary"
+REPLY = "block long, docs binary, owners binary, entries binary"
+FOUND = "doc_id long, sig long, found binary"
 SHIPPED = "shard long, docs binary, owners binary, entries binary, starts binary"
 #: Bytes of a window's exact hash that are shipped: 96 bits.
 EXACT = 12
@@ -164,27 +165,25 @@ def _named(doc: np.ndarray, ids: np.ndarray, sigs: np.ndarray) -> tuple[bytes, b
     return np.stack([ids[known], sigs[known]]).tobytes(), _packed(np.where(doc >= 0, np.searchsorted(known, doc) + 1, 0))
 
 
-def _known(shards: int, doc: np.ndarray, parts: Iterator[bytes], ids: np.ndarray, sigs: np.ndarray) -> Iterator[tuple]:
-    """What a task knows by itself, in rows that the next step passes on: shard numbers below 0."""
-    spread = (mixed(ids[doc].view(U) ^ U(7)) % U(shards)).astype(np.int64)
-    for d, s, part in zip(doc, spread, parts, strict=True):
-        yield -1 - int(s), np.array([ids[d], sigs[d]], np.int64).tobytes(), None, part, None
+def _replies(owner: np.ndarray, entries: np.ndarray, ids: np.ndarray, sigs: np.ndarray, blocks: int) -> Iterator[tuple[int, bytes, bytes, bytes]]:
+    """What was found, in a row for each block of documents."""
+    for block, at in _pieces(ids[owner].view(U) ^ U(7), owner, blocks):
+        yield block, *_named(owner[at], ids, sigs), entries[at].tobytes()
 
 
-def _runs(starts: np.ndarray) -> bytes:
-    """Ascending starts as pairs of a run's first start and its end."""
-    cut = np.flatnonzero(np.diff(starts) != 1) + 1
-    first = np.r_[0, cut]
-    last = np.r_[cut, len(starts)] - 1
-    return np.stack([starts[first], starts[last] + 1], 1).astype("<i4").tobytes()
+def _known(*found) -> Iterator[tuple]:
+    """What a task knows by itself, in rows that the next step passes on: shard numbers below 0."""
+    for block, docs, owners, entries in _replies(*found):
+        yield -1 - block, docs, owners, entries, None
 
 
-def _by_document(owner: np.ndarray, order: np.ndarray | None = None) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The documents that occur, and the places of each one's entries."""
-    order = np.argsort(owner, kind="stable") if order is None else order
-    cuts = np.flatnonzero(np.diff(owner[order])) + 1
-    parts = np.split(order, cuts) if len(order) else []
-    return np.array([owner[x[0]] for x in parts], np.int64), parts
+def _runs(owner: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts, ascending by owner, as runs: their owners, and each one's first start and its end."""
+    if not len(starts):
+        return owner, np.zeros((0, 2), "<i4")
+    cut = np.flatnonzero((np.diff(starts) != 1) | (np.diff(owner) != 0)) + 1
+    first, last = np.r_[0, cut], np.r_[cut, len(starts)] - 1
+    return owner[first], np.stack([starts[first], starts[last] + 1], 1).astype("<i4")
 
 
 def _batch(rows: list, names: list[str], kinds: list) -> pa.RecordBatch:
@@ -193,10 +192,10 @@ def _batch(rows: list, names: list[str], kinds: list) -> pa.RecordBatch:
 
 
 _SHIPPED = (["shard", "docs", "owners", "entries", "starts"], [pa.int64(), *[pa.binary()] * 4])
-_REPLY = (["doc_id", "sig", "found"], [pa.int64(), pa.int64(), pa.binary()])
+_REPLY = (["block", "docs", "owners", "entries"], [pa.int64(), *[pa.binary()] * 3])
 
 
-def _sketches(window: int, gram: int, shards: int):
+def _sketches(window: int, gram: int, shards: int, blocks: int):
     """Pass 1, map side: sampled minimizers by shard; with a document for those seen once, without (-1) for the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,9 +216,7 @@ def _sketches(window: int, gram: int, shards: int):
             short = _short(values)
             rows = [(s, *_named(first[at], ids, sigs), short[at].tobytes(), None) for s, at in _pieces(values, first, shards)]
             again = count[back] > 1
-            owner, found = doc[again], _short(least[again])
-            named, parts = _by_document(owner)
-            rows += _known(shards, named, (found[x].tobytes() for x in parts), ids, sigs)
+            rows += _known(doc[again], _short(least[again]), ids, sigs, blocks)
             yield _batch(rows, *_SHIPPED)
 
     return run
@@ -229,8 +226,7 @@ def _passed_on(table: pa.Table) -> pa.Table | None:
     """Rows that need no more than to be passed on, or None."""
     if table.num_rows and table.column("shard")[0].as_py() >= 0:
         return None
-    docs = [np.frombuffer(b, np.int64) for b in table.column("docs").to_pylist()]
-    return pa.Table.from_batches([_batch([(int(d[0]), int(d[1]), e) for d, e in zip(docs, table.column("entries").to_pylist(), strict=True)], *_REPLY)])
+    return pa.table([pc.subtract(-1, table.column("shard")), *(table.column(c) for c in _REPLY[0][1:])], _REPLY[0])
 
 
 def _gathered(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -241,7 +237,7 @@ def _gathered(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(docs, 1), np.concatenate([np.where(o >= 0, o + b, -1) for o, b in zip(owners, base, strict=False)])
 
 
-def _merge(table: pa.Table) -> pa.Table:
+def _merge(table: pa.Table, blocks: int) -> pa.Table:
     """Pass 1, merge side: the documents' minimizers that the merged count-min table takes for repeated."""
     done = _passed_on(table)
     if done is not None:
@@ -256,9 +252,7 @@ def _merge(table: pa.Table) -> pa.Table:
         cell = (mixed(hashes ^ BASES[row]) & U(width - 1)).astype(np.int64)
         estimate = np.minimum(estimate, np.bincount(cell, weights=weight, minlength=width).astype(np.int64)[cell])
     keep = np.flatnonzero((estimate > 1) & (owner >= 0))
-    named, parts = _by_document(owner[keep])
-    out = [(int(every[0, o]), int(every[1, o]), raw[keep[x]].tobytes()) for o, x in zip(named, parts, strict=True)]
-    return pa.Table.from_batches([_batch(out, *_REPLY)])
+    return pa.Table.from_batches([_batch(list(_replies(owner[keep], raw[keep], *every, blocks)), *_REPLY)])
 
 
 def _earliest(h1: np.ndarray, h2: np.ndarray, doc_id: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -270,7 +264,7 @@ def _earliest(h1: np.ndarray, h2: np.ndarray, doc_id: np.ndarray, start: np.ndar
     return order, (doc_id != doc_id[first]) | (start != start[first])
 
 
-def _windows(window: int, gram: int, shards: int):
+def _windows(window: int, gram: int, shards: int, blocks: int):
     """Pass 2, map side: exact hashes of the windows that may repeat."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,7 +281,7 @@ def _windows(window: int, gram: int, shards: int):
             for i, found in enumerate(batch.column("found").to_pylist()):
                 n = counts[i] - window + 1
                 if n > 0:
-                    marked.append(begin[i] + np.flatnonzero(np.isin(short[begin[i] : begin[i] + n], _wide(b"".join(found), 5))))
+                    marked.append(begin[i] + np.flatnonzero(np.isin(short[begin[i] : begin[i] + n], _wide(found, 5))))
             at = np.concatenate(marked) if marked else np.zeros(0, np.int64)
             if not len(at):
                 continue
@@ -299,15 +293,14 @@ def _windows(window: int, gram: int, shards: int):
             # Windows that come first here are shipped; equal places (of repeated rows) stand for each other.
             exact = np.concatenate([h1[kept].view(np.uint8).reshape(-1, 8), h2[kept].view(np.uint8).reshape(-1, 8)[:, : EXACT - 8]], 1)
             rows = [(s, *_named(doc[kept[x]], ids, sigs), exact[x].tobytes(), _packed(start[kept[x]])) for s, x in _pieces(h1[kept], doc[kept], shards)]
-            named, parts = _by_document(doc[gone])
-            rows += _known(shards, named, (_runs(start[gone[x]]) for x in parts), ids, sigs)
+            rows += _known(*_runs(doc[gone], start[gone]), ids, sigs, blocks)
             yield _batch(rows, *_SHIPPED)
 
     return run
 
 
-def _group(table: pa.Table) -> pa.Table:
-    """Pass 2, merge side: runs of windows that also start earlier, by document."""
+def _group(table: pa.Table, blocks: int) -> pa.Table:
+    """Pass 2, merge side: runs of windows that also start earlier, by block of documents."""
     done = _passed_on(table)
     if done is not None:
         return done
@@ -315,10 +308,28 @@ def _group(table: pa.Table) -> pa.Table:
     raw = np.concatenate([np.frombuffer(b, np.uint8) for b in table.column("entries").to_pylist()]).reshape(-1, EXACT)
     start = np.concatenate([_unpacked(b) for b in table.column("starts").to_pylist()])
     order, late = _earliest(_wide(raw[:, :8], 8), _wide(raw[:, 8:], EXACT - 8), every[0][owner], start)
-    gone = np.sort(order[late])
-    named, parts = _by_document(owner[gone], np.lexsort((start[gone], owner[gone])))
-    out = [(int(every[0, o]), int(every[1, o]), _runs(start[gone[x]])) for o, x in zip(named, parts, strict=True)]
-    return pa.Table.from_batches([_batch(out, *_REPLY)])
+    gone = order[late]
+    gone = gone[np.lexsort((start[gone], owner[gone]))]
+    return pa.Table.from_batches([_batch(list(_replies(*_runs(owner[gone], start[gone]), *every, blocks)), *_REPLY)])
+
+
+def _per_document(table: pa.Table, width: int, runs: bool) -> pa.Table:
+    """One block's replies: a row for each document, with its entries joined; overlapping runs become one."""
+    every, owner = _gathered(table)
+    named, back = np.unique(np.ascontiguousarray(every.T).view([("id", "<i8"), ("sig", "<i8")]).ravel(), return_inverse=True)
+    owner = back.ravel()[owner]
+    entries = np.concatenate([np.frombuffer(b, np.uint8) for b in table.column("entries").to_pylist()]).reshape(-1, width)
+    if runs:
+        span = np.ascontiguousarray(entries).view("<i4").astype(np.int64) + (owner << 32)[:, None]
+        span = span[np.argsort(span[:, 0], kind="stable")]
+        reach = np.maximum.accumulate(span[:, 1])
+        first = np.flatnonzero(np.r_[True, span[1:, 0] > reach[:-1]])
+        owner = span[first, 0] >> 32
+        entries = (np.stack([span[first, 0], reach[np.r_[first[1:], len(span)] - 1]], 1) & 0xFFFFFFFF).astype("<i4")
+    order = np.argsort(owner, kind="stable")
+    cuts = np.flatnonzero(np.diff(owner[order])) + 1
+    rows = [(int(named["id"][owner[x[0]]]), int(named["sig"][owner[x[0]]]), entries[x].tobytes()) for x in np.split(order, cuts)] if len(order) else []
+    return pa.Table.from_batches([_batch(rows, ["doc_id", "sig", "found"], [pa.int64(), pa.int64(), pa.binary()])])
 
 
 def _cut(window: int, digest: bool):
@@ -331,7 +342,7 @@ def _cut(window: int, digest: bool):
             change = np.zeros(len(words) + 1, np.int64)
             for i, found in enumerate(batch.column("found").to_pylist()):
                 if found:
-                    runs = begin[i] + np.frombuffer(b"".join(found), "<i4").reshape(-1, 2).astype(np.int64)
+                    runs = begin[i] + np.frombuffer(found, "<i4").reshape(-1, 2).astype(np.int64)
                     np.add.at(change, runs[:, 0], 1)
                     np.add.at(change, runs[:, 1] + window - 1, -1)
             keep = np.cumsum(change)[:-1] == 0
@@ -345,14 +356,17 @@ def _cut(window: int, digest: bool):
 
 
 def _removable(base: DataFrame, window: int, gram: int) -> DataFrame:
-    """(doc_id, sig, found): runs of removable windows as pairs of 32-bit integers, in lists of parts."""
-    shards = 2 * shuffle_partitions(base.sparkSession)
-    lists = lambda x: x.groupBy("doc_id", "sig").agg(F.collect_list("found").alias("found"))
-    joined = lambda x, how: base.join(lists(x), ["doc_id", "sig"], how)
-    maybe = base.select("doc_id", "sig", "text").mapInArrow(_sketches(window, gram, shards), SHIPPED).groupBy("shard").applyInArrow(_merge, REPLY)
-    again = joined(maybe, "inner").select("doc_id", "sig", "text", "found")
-    exact = again.mapInArrow(_windows(window, gram, shards), SHIPPED).groupBy("shard").applyInArrow(_group, REPLY)
-    return lists(exact)
+    """(doc_id, sig, found): runs of removable windows as pairs of 32-bit integers."""
+    shards = blocks = 2 * shuffle_partitions(base.sparkSession)
+
+    def answered(shipped: DataFrame, judge, width: int, runs: bool) -> DataFrame:
+        """Shards answer in a row for each block of documents, blocks in a row for each document."""
+        replies = shipped.groupBy("shard").applyInArrow(lambda t: judge(t, blocks), REPLY)
+        return replies.groupBy("block").applyInArrow(lambda t: _per_document(t, width, runs), FOUND)
+
+    maybe = answered(base.mapInArrow(_sketches(window, gram, shards, blocks), SHIPPED), _merge, 5, False)
+    again = base.join(maybe, ["doc_id", "sig"]).select("doc_id", "sig", "text", "found")
+    return answered(again.mapInArrow(_windows(window, gram, shards, blocks), SHIPPED), _group, 8, True)
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int | None = None, digest: bool = False) -> DataFrame:
@@ -362,7 +376,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int | None = Non
     base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64(text).alias("sig"), text.alias("text"))
     found = _removable(base, window, gram)
     # The same exchange of texts serves this join and the one before pass 2.
-    left = base.join(found, ["doc_id", "sig"], "left").select(F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), "text", F.coalesce("found", F.array().cast("array<binary>")).alias("found"))
+    left = base.join(found, ["doc_id", "sig"], "left").select(F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), "text", "found")
     return left.mapInArrow(_cut(window, digest), "doc_id long, n_words long, n_removed long, kept string")
 
 
