@@ -15,8 +15,8 @@ searched again by their signatures' agreement for pairs across components that h
 yet, until no bucket has one; large buckets are split by further bands first.  Components come from
 alternating star contractions, so neither links nor components are ever in one place.
 
-Defined results: a text of one to four words is one shingle; null and empty texts have none and are
-near only to each other.  A row without doc_id counts as the one with the largest id; a class of
+Defined results: a text of one to four words is one shingle; null, empty and blank texts have none
+and count as equal texts.  A row without doc_id counts as the one with the largest id; a class of
 such rows alone has a null class_id.  Repeated rows are copies of each other.  An empty table gives
 an empty result; other columns are ignored, whatever their names.
 """
@@ -157,7 +157,8 @@ def _sign_finely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _base(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     x = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), text.alias("text"))
-    return x.select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), "text")
+    told = F.when(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.col("text")).otherwise(F.lit(""))
+    return x.select("doc_id", F.xxhash64(told).alias("h1"), F.xxhash64(F.lit(1), told).alias("h2"), "text")
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
