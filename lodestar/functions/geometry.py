@@ -71,3 +71,42 @@ def index_samples(total: Column, count: int) -> Column:
 
 def legacy_spl(success: Column, reference: Column, predicted: Column) -> Column:
     return F.when(success & (predicted > 0), reference / F.greatest(reference, predicted)).otherwise(0.0)
+
+
+def to_pixel(x: Column, y: Column, width: int, height: int) -> Column:
+    """Screen coordinates from -1 to 1 as pixels."""
+    return F.struct(F.round((x + 1) / 2 * (width - 1)).cast("int").alias("px"), F.round((1 - y) / 2 * (height - 1)).cast("int").alias("py"))
+
+
+def to_screen(px: Column, py: Column, width: int, height: int) -> Column:
+    return F.struct((2 * px / (width - 1) - 1).alias("x"), (1 - 2 * py / (height - 1)).alias("y"))
+
+
+def radius_pixels(depth: Column, radius: float, fov_degrees: float, height: int, low: int = 0, high: int = 12) -> Column:
+    """A metric radius at a depth in pixels, clamped."""
+    import math
+
+    return F.greatest(F.lit(low), F.least(F.lit(high), F.round(radius / F.greatest(depth, F.lit(1e-6)) * height / (2 * math.tan(math.radians(fov_degrees) / 2))).cast("int")))
+
+
+def image_box(points: Column, width: int, height: int) -> Column:
+    """Extent of ``array<struct<px,py>>`` (nulls left out) and its area inside the image; null for fewer than three."""
+    seen = F.filter(points, lambda p: p.isNotNull())
+    low, high = (lambda f: F.array_min(F.transform(seen, f))), (lambda f: F.array_max(F.transform(seen, f)))
+    x0, x1, y0, y1 = low(lambda p: p.px), high(lambda p: p.px), low(lambda p: p.py), high(lambda p: p.py)
+    clip = lambda v, size: F.greatest(F.lit(0), F.least(F.lit(size - 1), v))
+    area = F.greatest(clip(x1, width) - clip(x0, width), F.lit(0)) * F.greatest(clip(y1, height) - clip(y0, height), F.lit(0))
+    return F.when(F.size(seen) >= 3, F.struct(x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"), area.alias("area")))
+
+
+def keypoints(points: Column, turn_degrees_min: float = 20.0, spacing: float = 0.6) -> Column:
+    """Of ``array<struct<x,y>>`` the ends, the turns, and points at least ``spacing`` from the last one kept."""
+    n = F.size(points)
+
+    def step(kept: Column, i: Column) -> Column:
+        p, last, before, after = F.get(points, i), F.element_at(kept, -1), F.get(points, i - 1), F.get(points, i + 1)
+        bend = turn_degrees(p.x - before.x, p.y - before.y, after.x - p.x, after.y - p.y)
+        keep = (i == n - 1) | F.coalesce(bend >= turn_degrees_min, F.lit(False)) | (F.hypot(p.x - last.x, p.y - last.y) >= spacing)
+        return F.when(keep, F.concat(kept, F.array(p))).otherwise(kept)
+
+    return F.when(n < 2, points).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), F.slice(points, 1, 1), step))

@@ -28,3 +28,9 @@ def stable_index(text: Column, size: int) -> Column:
 def hash_bucket(text: Column, buckets: int = 32) -> Column:
     """The SHA-256 digest modulo a power of two up to 256."""
     return F.pmod(F.conv(F.right(F.sha2(text, 256), F.lit(2)), 16, 10).cast("long"), F.lit(buckets))
+
+
+def contract_hashes(identity: dict[str, Column], truth: dict[str, Column], prompt: Column) -> dict[str, Column]:
+    """Digests of who a question is, of its answer, of its wording, and of all three."""
+    parts = {"identity_hash": facts_hash(**identity), "truth_hash": facts_hash(**truth), "prompt_hash": F.sha2(prompt, 256)}
+    return parts | {"contract_hash": F.sha2(F.concat_ws(":", *parts.values()), 256)}

@@ -97,3 +97,24 @@ def color_name(r: Column, g: Column, b: Column) -> Column:
 
 def support_type(ground: Column, on_object: Column) -> Column:
     return F.when(ground, F.lit("ground")).when(on_object, F.lit("object_surface")).otherwise(F.lit("structural_surface"))
+
+
+def resolution_mode(same_category: Column, same_color: Column, unique_relation: Column) -> Column:
+    """How a target can be told: by its category, its colour, a relation, or not."""
+    return F.when(same_category <= 1, F.lit("unique_category")).when(same_color <= 1, F.lit("color_only")).when(unique_relation, F.lit("relation_only")).otherwise(F.lit("unresolved"))
+
+
+def removable(category: Column, keep: list[str], remove: list[str], size: Column, limit: float) -> Column:
+    """Whether clutter may go: named so, not named as kept, and small enough."""
+    has = lambda words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(F.lower(category), w))
+    return has(remove) & ~has(keep) & (size <= limit)
+
+
+def layout_consistent(relation: Column, dx: Column, dy: Column, side: float = 0.25, level: float = 0.03) -> Column:
+    """Whether a relation agrees with the offset from anchor to target on the screen."""
+    return F.when(relation.isin("on", "above"), (F.abs(dx) <= side) & (dy >= -level)).when(relation == "under", (F.abs(dx) <= side) & (dy <= level)).otherwise(F.abs(dx) <= 2 * side)
+
+
+def why_not(reasons: Column) -> Column:
+    """The alphabetically first reason, or that there is none."""
+    return F.coalesce(F.array_min(reasons), F.lit("no_relation"))

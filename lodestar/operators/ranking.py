@@ -94,3 +94,37 @@ def shard(df: DataFrame, group: list[str], order: list[str], count: int) -> Data
 def match_counts(df: DataFrame, by: list[str]) -> DataFrame:
     """Every row with how many rows share its values."""
     return df.withColumn("matches", F.count("*").over(Window.partitionBy(*by)))
+
+
+def unused_winner(df: DataFrame, used: DataFrame, group: list[str], order: list[Column], id_col: str) -> DataFrame:
+    """The first row of each group whose id isn't used yet."""
+    return best_by(df.join(used.select(id_col).distinct(), id_col, "left_anti"), group, order)
+
+
+def start_anchor(df: DataFrame, group: list[str], id_col: str, snap: float) -> DataFrame:
+    """Per group the point nearest to its anchor, then to the bottom centre of the screen, then in depth; none beyond ``snap``.
+
+    ``df`` has anchor_distance, screen_x, screen_y, depth; an unknown depth comes last.
+    """
+    order = F.struct("anchor_distance", F.abs("screen_x").alias("x"), F.abs(F.col("screen_y") + 1).alias("y"), F.coalesce("depth", F.lit(1e9)).alias("d"), F.col(id_col).alias("i"))
+    return df.groupBy(*group).agg(F.min(order).alias("o")).filter(F.col("o.anchor_distance") <= snap).select(*group, F.col("o.i").alias(id_col), "o.anchor_distance")
+
+
+def anchor_distances(df: DataFrame, anchors: DataFrame, group: list[str], id_col: str) -> DataFrame:
+    """Each candidate's least screen distance to any anchor of its group; both have screen_x and screen_y."""
+    b = anchors.select(*group, F.col("screen_x").alias("__x"), F.col("screen_y").alias("__y"))
+    d = F.hypot(F.col("screen_x") - F.col("__x"), F.col("screen_y") - F.col("__y"))
+    return df.join(b, group).groupBy(*group, id_col).agg(F.min(d).alias("anchor_distance"))
+
+
+def candidate_pools(df: DataFrame, group: list[str], id_col: str) -> DataFrame:
+    """Ids of each pool in order."""
+    return df.groupBy(*group).agg(F.array_sort(F.collect_list(id_col)).alias("pool"))
+
+
+def path_complexity(df: DataFrame, group: list[str], order: list[str], x: str, y: str, threshold: float = 20.0) -> DataFrame:
+    """Length, detour over the straight line, and turns of at least the threshold, of each path."""
+    s = steps(df, group, order, x, y)
+    ends = s.groupBy(*group).agg(F.sum("step").alias("length"), F.sum((F.col("turn") >= threshold).cast("int")).alias("turns"), F.min(F.struct(*order, F.col(x).alias("__x"), F.col(y).alias("__y"))).alias("a"), F.max(F.struct(*order, F.col(x).alias("__x"), F.col(y).alias("__y"))).alias("b"))
+    straight = F.hypot(F.col("a.__x") - F.col("b.__x"), F.col("a.__y") - F.col("b.__y"))
+    return ends.select(*group, "length", (F.col("length") / F.greatest(straight, F.lit(1e-6))).alias("detour"), F.coalesce("turns", F.lit(0)).alias("turns"))

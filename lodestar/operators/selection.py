@@ -137,3 +137,33 @@ def coverage_objective(items: str, weight: float = 6.0, base: str | None = None)
         return weight * len(set(row[items]) - seen) + (0.3 * row[base] if base else 0.0)
 
     return gain
+
+
+def budgeted(df: DataFrame, group: list[str], required: str, metric: str, id_col: str, limit: int) -> DataFrame:
+    """Required rows first, then the nearest, up to a limit for each group."""
+    w = Window.partitionBy(*group).orderBy(F.col(required).desc(), metric, id_col)
+    return df.withColumn("__n", F.row_number().over(w)).filter(F.col(required) | (F.col("__n") <= limit)).drop("__n")
+
+
+def best_pairs(starts: DataFrame, goals: DataFrame, lengths: DataFrame, group: list[str], top: int = 18) -> DataFrame:
+    """The shortest known path between the first ``top`` starts and goals of each group.
+
+    ``starts`` and ``goals``: group, id, rank; ``lengths``: group, start, goal, length.
+    """
+    head = lambda d, name: d.withColumn("__n", F.row_number().over(Window.partitionBy(*group).orderBy("rank", "id"))).filter(F.col("__n") <= top).select(*group, F.col("id").alias(name))
+    x = lengths.join(head(starts, "start"), [*group, "start"], "left_semi").join(head(goals, "goal"), [*group, "goal"], "left_semi")
+    return x.groupBy(*group).agg(F.min(F.struct("length", "start", "goal")).alias("b")).select(*group, "b.start", "b.goal", "b.length")
+
+
+def lattice(spark_range: DataFrame, stride: int) -> DataFrame:
+    """Cells of a grid at a stride; ``spark_range`` has gx and gy."""
+    return spark_range.filter((F.col("gx") % stride == 0) & (F.col("gy") % stride == 0))
+
+
+def blocked_inside(cells: DataFrame, group: list[str], least: int = 2) -> DataFrame:
+    """Occupied cells with at least so many occupied ones among their eight neighbours, all of which are known."""
+    ring = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j]))
+    around = cells.select(*group, (F.col("gx")).alias("__x"), F.col("gy").alias("__y"), "occupied").select(*group, "__x", "__y", "occupied", ring.alias("o")).filter("occupied")
+    around = around.select(*group, "__x", "__y", (F.col("__x") + F.col("o.i")).alias("gx"), (F.col("__y") + F.col("o.j")).alias("gy"))
+    near = around.join(cells.select(*group, "gx", "gy", F.col("occupied").alias("__n")), [*group, "gx", "gy"])
+    return near.groupBy(*group, F.col("__x").alias("gx"), F.col("__y").alias("gy")).agg(F.count("*").alias("known"), F.sum(F.col("__n").cast("int")).alias("blocked")).filter((F.col("known") == 8) & (F.col("blocked") >= least)).select(*group, "gx", "gy")
