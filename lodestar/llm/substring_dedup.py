@@ -29,13 +29,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import shuffle_partitions
-
 WINDOW = 20
 #: Words of the grams whose least one stands for a window.
 GRAM = 10
 #: Bytes of text that a task works on at once.
 CHUNK_BYTES = 6_000_000
+#: Bytes of text for each shard of hashes and each block of documents.
+SHARD_BYTES = 16_000_000
 #: Rows of a count-min table, and its cells for each entry.
 DEPTH = 2
 CELLS = 4
@@ -357,7 +357,8 @@ def _cut(window: int, digest: bool):
 
 def _removable(base: DataFrame, window: int, gram: int) -> DataFrame:
     """(doc_id, sig, found): runs of removable windows as pairs of 32-bit integers."""
-    shards = blocks = 2 * shuffle_partitions(base.sparkSession)
+    size = base.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
+    shards = blocks = max(1, -(-size // SHARD_BYTES))
 
     def answered(shipped: DataFrame, judge, width: int, runs: bool) -> DataFrame:
         """Shards answer in a row for each block of documents, blocks in a row for each document."""
