@@ -46,15 +46,23 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAM
 
     The sample is bounded by the three parameters, so what reaches the driver is too.  Which rows
     are drawn depends on a hash of the id; of a long text an excerpt at a hashed place is taken.
+    Languages are counted first, and only rows whose hash is low enough for about twice the sample
+    are ranked, so what is shuffled doesn't grow with the table.
     """
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
+    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(MAX_LANGUAGES).collect()}
+    if not sizes:
+        return {}
+    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, (2 * sample_docs + 100) / n)])
+    unit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 52)) / float(1 << 52)
+    labelled = labelled.filter(unit < F.try_element_at(share, F.col("lang")))
     length = F.char_length("text")
     start = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(length - sample_chars + 1, F.lit(1))) + 1
-    cut = labelled.select("lang", F.xxhash64("doc_id").alias("draw"), F.substring(F.col("text"), start.cast("int"), F.lit(sample_chars)).alias("piece"))
+    cut = labelled.select("lang", unit.alias("draw"), F.substring(F.col("text"), start.cast("int"), F.lit(sample_chars)).alias("piece"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "piece"))
     rows = cut.withColumn("rank", rank).filter(F.col("rank") <= sample_docs).groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("rank", "piece"))).alias("pieces"))
     learned = {}
-    for lang, pieces in rows.orderBy(F.size("pieces").desc(), "lang").limit(MAX_LANGUAGES).collect():
+    for lang, pieces in rows.collect():
         body = "\n".join(p.piece for p in pieces).encode()[:dictionary_bytes]
         if len(body) >= 8:  # shorter raw content is no dictionary
             learned[lang] = body
