@@ -49,9 +49,9 @@ BUCKET = 2048
 SPLIT_BANDS, SPLIT_ROWS, SPLIT_ROUNDS = 24, 4, 3
 #: Partners of a document that one search of a bucket may propose.  What is left over comes in the next round.
 PROPOSALS = 32
-CHUNK_BYTES = 4_000_000
+CHUNK_BYTES = 2_500_000
 #: Coordinates of all documents that a task signs at once.
-CHUNK_COORDINATES = 400_000
+CHUNK_COORDINATES = 250_000
 
 
 def elements(texts: pa.Array, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
