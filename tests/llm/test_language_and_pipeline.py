@@ -71,7 +71,7 @@ def test_pipeline_stages(spark, tmp_path):
         seen[name] = {r["doc_id"] for r in rows_of(docs)}
     assert 3000 not in seen["language_id"] and len(seen["language_id"]) >= len(rows) - 8
     assert seen["line_dedup"] == seen["language_id"]
-    assert not seen["near_dedup"] & set(range(1000, 1005)) - {min(seen["near_dedup"])}
+    assert seen["near_dedup"] & set(range(1000, 1005)) == {1000}  # copies lost all their lines: one blank text stays
     assert 2000 not in seen["decontamination"] and seen["near_dedup"] - seen["decontamination"] == {2000}
     packed = rows_of(corpus_pipeline.run(spark, str(tmp_path)))
     assert {r["doc_id"] for r in packed} == seen["decontamination"]
