@@ -106,3 +106,27 @@ def json_object(text: Column) -> Column:
 def nested_number(value: Column, path: str, default: float = 0.0) -> Column:
     """A number inside a variant, or the default."""
     return F.coalesce(F.try_variant_get(value, path, "double"), F.lit(default))
+
+
+def _plain_id(x: Column) -> Column:
+    """A variant that is a whole number, or text of one, or an object that has one as its id."""
+    kind = F.schema_of_variant(x)
+    number = F.when(kind.isin("BIGINT", "INT", "SMALLINT", "TINYINT"), F.try_variant_get(x, "$", "bigint")).when((kind == "STRING") & F.try_variant_get(x, "$", "string").rlike(r"^\s*-?\d+\s*$"), F.try_variant_get(x, "$", "bigint"))
+    return number
+
+
+def collected_ids(text: Column) -> Column:
+    """What the collector takes for an answer: the whole text, its fence, then each bracketed list and each object in it.
+
+    Lists may hold whole numbers or objects with id, display_id or displayId; an object may hold such
+    a list as display_ids.  Fractions and booleans are no ids.
+    """
+    found = F.concat(F.array(text, strip_fences(text)), F.regexp_extract_all(text, F.lit(r"(\[[^\[\]]*\])"), F.lit(1)), F.regexp_extract_all(text, F.lit(r"(?s)(\{[^{}]*\})"), F.lit(1)))
+
+    def read(c: Column) -> Column:
+        v = F.try_parse_json(c)
+        items = F.coalesce(F.try_variant_get(v, "$.display_ids", "array<variant>"), F.try_variant_get(v, "$", "array<variant>"))
+        ids = F.transform(items, lambda x: F.coalesce(_plain_id(x), *[_plain_id(F.try_variant_get(x, f"$.{k}", "variant")) for k in ("id", "display_id", "displayId")]))
+        return F.when(~F.exists(ids, lambda i: i.isNull()), ids)
+
+    return F.get(F.filter(F.transform(found, read), lambda x: x.isNotNull()), 0)

@@ -15,6 +15,11 @@ def _bounded(phrase: str) -> str:
     return rf"(?i)\b{re.escape(phrase)}\b"
 
 
+def stripped(text: Column) -> Column:
+    """Without white space at both ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def has_phrase(text: Column, phrase: str) -> Column:
     """Whether the phrase stands in the text between word boundaries."""
     return F.coalesce(text.rlike(_bounded(phrase)), F.lit(False))
@@ -55,7 +60,7 @@ def mentions_all(text: Column, ids: Column) -> Column:
 
 def format_class(text: Column) -> Column:
     """One of six classes, by think tags and a list in the last line."""
-    body = F.trim(text)
+    body = stripped(text)
     opened, closed = body.startswith("<think>"), F.contains(body, F.lit("</think>"))
     listed = body.rlike(r"\[[^\[\]\n]*\]$")
     return (
@@ -71,7 +76,7 @@ def format_class(text: Column) -> Column:
 def canonical_rationale(text: Column, ids: Column) -> Column:
     """Tags around the bare rationale and the ids as a list in the last line; null if the text ends with another list."""
     trailing = F.regexp_replace(F.regexp_extract(text, r"(\[[^\[\]\n]*\])\s*$", 1), r"\s+", "")
-    body = F.trim(F.regexp_replace(F.regexp_replace(text, r"</?think>", ""), r"\[[^\[\]\n]*\]\s*$", ""))
+    body = stripped(F.regexp_replace(F.regexp_replace(text, r"</?think>", ""), r"\[[^\[\]\n]*\]\s*$", ""))
     return F.when((trailing == "") | (trailing == F.to_json(ids)), F.concat(F.lit("<think>\n"), body, F.lit("\n</think>\n"), F.to_json(ids)))
 
 

@@ -202,3 +202,33 @@ def distance_field(cells: DataFrame, group: list[str], radius: int) -> DataFrame
     around = cells.filter("occupied").select(*group, "gx", "gy", offsets.alias("o")).select(*group, (F.col("gx") + F.col("o.i")).alias("gx"), (F.col("gy") + F.col("o.j")).alias("gy"), F.col("o.d").alias("d"))
     near = around.groupBy(*group, "gx", "gy").agg(F.min("d").alias("clearance"))
     return cells.filter("NOT occupied").join(near, [*group, "gx", "gy"], "left")
+
+
+def edge_status(hops, legal_hops, has_pairs):
+    """Status of a route's edges; without a table of pairs a sparse route passes."""
+    return F.when(hops == 0, F.lit("no_hops")).when(~has_pairs, F.lit("ok_sparse")).when(hops == legal_hops, F.lit("ok")).otherwise(F.lit("illegal_edge"))
+
+
+def calibrate(df: DataFrame, group: str) -> DataFrame:
+    """(group, points, h, depth_plane, residual_median, residual_p90): a ground-to-image homography and a plane for inverse depth.
+
+    ``df`` has x, y on the ground, px, py in the image and depth; one view is one group.  Fewer than
+    four points give no fit.
+    """
+    kind = dict(df.dtypes)[group]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y, u, v, d = (pdf[c].to_numpy(float) for c in ("x", "y", "px", "py", "depth"))
+        n = len(pdf)
+        if n < 4:
+            return pd.DataFrame([(pdf[group].iloc[0], n, None, None, None, None)], columns=names)
+        one, zero = np.ones(n), np.zeros(n)
+        rows = np.r_[np.c_[x, y, one, zero, zero, zero, -u * x, -u * y], np.c_[zero, zero, zero, x, y, one, -v * x, -v * y]]
+        h = np.append(np.linalg.lstsq(rows, np.r_[u, v], rcond=None)[0], 1.0)
+        w = h[6] * x + h[7] * y + 1
+        off = np.hypot((h[0] * x + h[1] * y + h[2]) / w - u, (h[3] * x + h[4] * y + h[5]) / w - v)
+        plane = np.linalg.lstsq(np.c_[x, y, one], 1 / np.maximum(d, 1e-6), rcond=None)[0]
+        return pd.DataFrame([(pdf[group].iloc[0], n, h.tolist(), plane.tolist(), float(np.median(off)), float(np.quantile(off, 0.9)))], columns=names)
+
+    names = [group, "points", "h", "depth_plane", "residual_median", "residual_p90"]
+    return df.groupBy(group).applyInPandas(run, f"{group} {kind}, points int, h array<double>, depth_plane array<double>, residual_median double, residual_p90 double")

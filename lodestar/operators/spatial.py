@@ -129,3 +129,12 @@ def competition(df: DataFrame, group: list[str], family: str, color: str, metric
     w = whole.orderBy(metric)
     gap = F.least(F.lead(metric).over(w) - F.col(metric), F.col(metric) - F.lag(metric).over(w))
     return df.withColumns({"same_color": F.count("*").over(same) - 1, "other_color": F.count("*").over(whole) - F.count("*").over(same), "nearest_gap": F.coalesce(gap, F.lit(999.0))})
+
+
+def surface_samples(objects: DataFrame, small: float = 400.0, wide: float = 1.8) -> DataFrame:
+    """(columns of objects, px, py): one to three pixels on each object's box (x0, y0, x1, y1), more on large or elongated ones."""
+    w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    at = lambda fx, fy: F.struct((F.col("x0") + w * fx).cast("int").alias("px"), (F.col("y0") + h * fy).cast("int").alias("py"))
+    across, along = F.array(at(0.5, 0.5), at(0.25, 0.5), at(0.75, 0.5)), F.array(at(0.5, 0.5), at(0.5, 0.25), at(0.5, 0.75))
+    spots = F.when(w * h < small, F.array(at(0.5, 0.5))).when(w > wide * h, across).when(h > wide * w, along).otherwise(F.array(at(0.5, 0.35), at(0.5, 0.65)))
+    return objects.withColumn("__p", F.explode(spots)).select("*", "__p.px", "__p.py").drop("__p").distinct()

@@ -115,7 +115,7 @@ def stable_indexes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Tables(spark, sf_dir).part.select("p_partkey", stable_index(F.col("p_name"), 7).alias("template"), hash_bucket(F.col("p_name")).alias("bucket"))
 
 
-@query("""SELECT doc_id, CASE WHEN trim(text) = '' OR text IS NULL THEN 'empty' WHEN regexp_matches(trim(text), '\\[[^\\[\\]\\n]*\\]$') THEN 'list_without_tags' ELSE 'plain' END AS class,
+@query("""SELECT doc_id, CASE WHEN regexp_replace(text, '^\\s+|\\s+$', '', 'g') = '' OR text IS NULL THEN 'empty' WHEN regexp_matches(text, '\\[[^\\[\\]\\n]*\\]\\s*$') THEN 'list_without_tags' ELSE 'plain' END AS class,
   len(regexp_extract_all(text, '(?i)\\bthe\\b'))::INT AS n_the, regexp_matches(text, '(?i)\\blicense\\b') AS license, contains(lower(text), 'secret') OR contains(lower(text), 'password') AS sensitive FROM documents""")
 def text_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Format class, phrase counts and phrase predicates of documents."""

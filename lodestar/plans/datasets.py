@@ -83,7 +83,7 @@ def entity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH m AS (SELECT l_orderkey, list_sort(list_distinct(list(l_returnflag))) AS m FROM lineitem GROUP BY l_orderkey),
-x AS (SELECT l_orderkey, list_sort(list_filter(['A', 'N'], v -> NOT list_contains(m, v))) AS missing, list_sort(list_filter(m, v -> NOT list_contains(['A', 'N'], v))) AS unexpected FROM m)
+x AS (SELECT l_orderkey, list_sort(list_filter(['A', 'N'], lambda v: NOT list_contains(m, v))) AS missing, list_sort(list_filter(m, lambda v: NOT list_contains(['A', 'N'], v))) AS unexpected FROM m)
 SELECT l_orderkey, array_to_string(missing, ',') AS missing, array_to_string(unexpected, ',') AS unexpected FROM x WHERE len(missing) > 0 OR len(unexpected) > 0""")
 def bundle_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders that lack a required return flag or have one that isn't allowed."""
@@ -91,7 +91,7 @@ def bundle_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("l_orderkey", F.array_join("missing", ",").alias("missing"), F.array_join("unexpected", ",").alias("unexpected"))
 
 
-@query("""WITH c AS (SELECT c_custkey, array_to_string(list_filter([CASE WHEN c_acctbal >= 0 THEN NULL ELSE 'balance' END, CASE WHEN c_mktsegment <> 'BUILDING' THEN NULL ELSE 'segment' END, CASE WHEN c_nationkey < 20 THEN NULL ELSE 'nation' END], x -> x IS NOT NULL), ',') AS f FROM customer)
+@query("""WITH c AS (SELECT c_custkey, array_to_string(list_filter([CASE WHEN c_acctbal >= 0 THEN NULL ELSE 'balance' END, CASE WHEN c_mktsegment <> 'BUILDING' THEN NULL ELSE 'segment' END, CASE WHEN c_nationkey < 20 THEN NULL ELSE 'nation' END], lambda x: x IS NOT NULL), ',') AS f FROM customer)
 SELECT c_custkey, f = '' AS eligible, f AS failed_checks, CASE WHEN contains(f, 'balance') THEN 'contradicted' WHEN contains(f, 'segment') OR contains(f, 'nation') THEN 'uncertain' ELSE 'aligned' END AS status FROM c""")
 def validity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eligibility, failed checks in order, and the status that they make."""

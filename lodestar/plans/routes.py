@@ -166,7 +166,7 @@ def macro_means(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {ROUTE_SQL},
 m AS (SELECT run, task, round(avg(valid::INT), 4) AS valid_rate, round(avg(legal::INT), 4) AS legal_rate FROM t GROUP BY run, task),
 d AS (SELECT a.task, round(a.valid_rate - b.valid_rate, 6) AS delta_valid_rate, round(a.legal_rate - b.legal_rate, 6) AS delta_legal_rate FROM m AS a JOIN m AS b ON a.task = b.task WHERE a.run = '1-URGENT' AND b.run = '5-LOW')
-SELECT *, array_to_string(list_filter([CASE WHEN delta_valid_rate >= 0.01 THEN NULL ELSE 'valid_rate' END, CASE WHEN delta_legal_rate >= 0.001 THEN NULL ELSE 'legal_rate' END], x -> x IS NOT NULL), ',') AS failing, delta_valid_rate >= 0.01 AND delta_legal_rate >= 0.001 AS passed FROM d""")
+SELECT *, array_to_string(list_filter([CASE WHEN delta_valid_rate >= 0.01 THEN NULL ELSE 'valid_rate' END, CASE WHEN delta_legal_rate >= 0.001 THEN NULL ELSE 'legal_rate' END], lambda x: x IS NOT NULL), ',') AS failing, delta_valid_rate >= 0.01 AND delta_legal_rate >= 0.001 AS passed FROM d""")
 def cross_run_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metric deltas between two runs and the gates that they miss."""
     from lodestar.operators.contracts import delta_gates

@@ -128,11 +128,11 @@ _RELATIONS = f"""{_POINTS},
 ab AS (SELECT a.label, a.vec_id AS target, b.vec_id AS anchor,
   greatest(least(a.x + a.sx / 2, b.x + b.sx / 2) - greatest(a.x - a.sx / 2, b.x - b.sx / 2), 0) * greatest(least(a.y + a.sy / 2, b.y + b.sy / 2) - greatest(a.y - a.sy / 2, b.y - b.sy / 2), 0) / greatest(least(a.sx * a.sy, b.sx * b.sy), 1e-9) AS ov,
   sqrt(pow(greatest(abs(a.x - b.x) - (a.sx + b.sx) / 2, 0), 2) + pow(greatest(abs(a.y - b.y) - (a.sy + b.sy) / 2, 0), 2)) AS gap,
-  a.z - a.sz / 2 AS ab, a.z + a.sz / 2 AS at, b.z - b.sz / 2 AS bb, b.z + b.sz / 2 AS bt FROM pt AS a JOIN pt AS b ON a.label = b.label AND a.vec_id <> b.vec_id),
+  a.z - a.sz / 2 AS a0, a.z + a.sz / 2 AS a1, b.z - b.sz / 2 AS b0, b.z + b.sz / 2 AS b1 FROM pt AS a JOIN pt AS b ON a.label = b.label AND a.vec_id <> b.vec_id),
 rel AS (SELECT label, target, anchor, 'near' AS type, round(0.6 - gap, 6) AS margin FROM ab WHERE gap <= 0.6
-  UNION ALL SELECT label, target, anchor, 'on', round(0.12 - abs(ab - bt), 6) FROM ab WHERE abs(ab - bt) <= 0.12 AND ov >= 0.25
-  UNION ALL SELECT label, target, anchor, 'inside', round(ov - 0.6, 6) FROM ab WHERE ab >= bb - 1e-9 AND at <= bt + 1e-9 AND ov >= 0.6
-  UNION ALL SELECT label, target, anchor, 'under', round(bb + 0.02 - at, 6) FROM ab WHERE at <= bb + 0.02 AND ov >= 0.25)
+  UNION ALL SELECT label, target, anchor, 'on', round(0.12 - abs(a0 - b1), 6) FROM ab WHERE abs(a0 - b1) <= 0.12 AND ov >= 0.25
+  UNION ALL SELECT label, target, anchor, 'inside', round(ov - 0.6, 6) FROM ab WHERE a0 >= b0 - 1e-9 AND a1 <= b1 + 1e-9 AND ov >= 0.6
+  UNION ALL SELECT label, target, anchor, 'under', round(b0 + 0.02 - a1, 6) FROM ab WHERE a1 <= b0 + 0.02 AND ov >= 0.25)
 """
 
 

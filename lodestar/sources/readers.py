@@ -32,7 +32,7 @@ def variant_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def whole_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """One document per file, parsed, with its path."""
-    return spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.from_json("value", schema).alias("doc"))
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.from_json("value", schema).alias("doc"))
 
 
 def visible_waypoints(spark: SparkSession, path: str) -> DataFrame:
@@ -43,7 +43,7 @@ def visible_waypoints(spark: SparkSession, path: str) -> DataFrame:
 
 def json_array(spark: SparkSession, path: str, schema: StructType | str, key: str) -> DataFrame:
     """Rows of top-level arrays; the last row of a key wins."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     element = schema if isinstance(schema, str) else ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
     rows = text.select(F.posexplode(F.from_json("value", f"array<struct<{_typed(element)}>>")).alias("__pos", "r")).select("__pos", "r.*")
     return last_wins(rows, [key], F.col("__pos")).drop("__pos")
@@ -115,3 +115,32 @@ def adapt(df: DataFrame, benchmark: str, fields: dict[str, str]) -> DataFrame:
     """A foreign question table in the common shape; ``fields`` maps its names to expressions."""
     names = ("question_id", "question", "choices", "gold_letter", "gold_text")
     return df.select(F.lit(benchmark).alias("benchmark"), *[F.expr(fields.get(n, "null")).alias(n) for n in names])
+
+
+def scene_list(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
+    """Scenes of a list file in order, the first ``limit`` of them."""
+    names = spark.read.text(path).select(F.trim("value").alias("scene_id")).filter("scene_id <> ''").distinct().orderBy("scene_id")
+    return names if limit is None else names.limit(limit)
+
+
+def scenes(spark: SparkSession, root: str, grouped_dataset: str) -> DataFrame:
+    """(scene_id, dataset, source_group) of the folders that hold a layout or metadata; metadata wins over what the id says."""
+    from lodestar.operators.mining import source_dataset, source_group
+
+    found = None
+    for name in ("layout", "metadata"):
+        if exists(spark, f"{root}/*/{name}.json"):
+            docs = with_path_parts(whole_documents(spark, f"{root}/*/{name}.json", "dataset string, source_group_id string"), rf"([^/]+)/{name}\.json$", ["scene_id"])
+            meta = (lambda c: F.col(f"doc.{c}")) if name == "metadata" else (lambda c: F.lit(None).cast("string"))  # noqa: B023
+            rows = docs.select("scene_id", meta("dataset").alias("dataset"), meta("source_group_id").alias("group"))
+            found = rows if found is None else found.unionByName(rows)
+    if found is None:
+        return spark.createDataFrame([], "scene_id string, dataset string, source_group string")
+    known = found.groupBy("scene_id").agg(F.max("dataset").alias("dataset"), F.max("group").alias("group"))
+    return known.select("scene_id", F.coalesce("dataset", source_dataset(F.col("scene_id"))).alias("dataset"), F.coalesce("group", source_group(F.col("scene_id"), grouped_dataset)).alias("source_group"))
+
+
+def complete_views(rows: DataFrame, view: list[str], tasks: list[str], task: str = "task") -> DataFrame:
+    """The rows of views that have every task."""
+    whole = rows.filter(F.col(task).isin(tasks)).groupBy(*view).agg(F.countDistinct(task).alias("__n")).filter(F.col("__n") == len(tasks)).drop("__n")
+    return rows.join(whole, view, "left_semi")

@@ -57,3 +57,18 @@ def relocate(column: Column, old: str, new: str) -> Column:
 def without(df: DataFrame, key: str, gone: list[str]) -> DataFrame:
     """The rows that aren't withdrawn."""
     return df.filter(~F.col(key).isin(gone))
+
+
+def json_document(df: DataFrame, path: str) -> None:
+    """One JSON array in one file.  Meant for manifests, which are small."""
+    df.select(F.struct("*").alias("r")).agg(F.to_json(F.collect_list("r")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def patched(df: DataFrame, struct: str, values: dict[str, Column]) -> DataFrame:
+    """A struct column with fields replaced, where it has them."""
+    names = [f.name for f in df.schema[struct].dataType.fields]
+    out = F.col(struct)
+    for k, v in values.items():
+        if k in names:
+            out = out.withField(k, v)
+    return df.withColumn(struct, out)

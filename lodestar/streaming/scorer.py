@@ -6,16 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _aged(events: DataFrame, late: str) -> DataFrame:
+    """Streamed events get a watermark; their times need a zone, that of the session."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
+
+
 def windowed(events: DataFrame, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """(window start, event_type, n, total) of batch or streamed events with ts, event_type, value."""
-    aged = events.withWatermark("ts", late) if events.isStreaming else events
+    aged = _aged(events, late)
     grouped = aged.groupBy(F.window("ts", window), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return grouped.select(F.col("window.start").alias("window_start"), "event_type", "n", "total")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
     """(user_id, session start, n) of sessions that end after a gap."""
-    aged = events.withWatermark("ts", late) if events.isStreaming else events
+    aged = _aged(events, late)
     grouped = aged.groupBy("user_id", F.session_window("ts", gap).alias("s")).agg(F.count("*").alias("n"))
     return grouped.select("user_id", F.col("s.start").alias("session_start"), "n")
 

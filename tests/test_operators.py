@@ -183,3 +183,57 @@ def test_sets_and_contracts(spark):
         contracts.require(df, {"present": F.col("v").isNotNull()}).collect()
     assert contracts.same_multiset(df, df) and not contracts.same_multiset(df, df.limit(1))
     assert contracts.window_gates({"a": 5, "b": 1}, {"a": (1, 9), "b": (2, 9), "c": (0, 0)}) == ["b"]
+
+
+@pytest.mark.parametrize(
+    "raw, ids",
+    [("[1, 2]", [1, 2]), ('{"display_ids": [3, "4"]}', [3, 4]), ('[{"id": 5}, {"displayId": 6}]', [5, 6]), ("[1.5]", None), ("[true]", None), ("answer: [7] or so", [7]), ("```json\n[8]\n```", [8]), ('so {"display_ids": [9]} ends', [9]), ("none", None), (None, None)],
+)
+def test_collected_ids(spark, raw, ids):
+    df = spark.createDataFrame([(raw,)], "t string")
+    assert df.select(parse.collected_ids(F.col("t")).alias("x")).first().x == ids
+
+
+def test_nested_json(spark):
+    from lodestar.functions import nested
+
+    df = spark.createDataFrame([('{"a": {"id": 1, "b": [{"path_ids": [2, 3]}, "s"]}, "n": 4}',), ("no",), (None,)], "t string")
+    rows = df.select(nested.ids_in_json(F.col("t")).alias("i"), nested.strings_in_json(F.col("t")).alias("s")).collect()
+    assert [(x.path, x.id) for x in rows[0].i] == [("a.id", 1), ("a.b.path_ids", 2), ("a.b.path_ids", 3)] and rows[0].s == ["s"] and rows[1].i is None and rows[2].i is None
+
+
+def test_projections(spark):
+    from lodestar.operators import projections as p
+
+    row = F.parse_json(F.col("t"))
+    assert one(spark, p.field_or_nested(row, "a", "bigint"), t='{"a": null, "ground_truth": {"a": 5}}') is None and one(spark, p.field_or_nested(row, "a", "bigint"), t='{"ground_truth": {"a": 5}}') == 5
+    no = F.lit(None).cast("string")
+    assert one(spark, p.embodied(F.lit("c"), no, no, F.lit(None).cast("double"), builder=True)) and not one(spark, p.embodied(F.lit("c"), no, no, F.lit(None).cast("double")))
+    assert one(spark, p.view_of(F.lit(None).cast("int"), F.lit("x/view_12/a.json"))) == 12
+    assert one(spark, p.non_null_json(a=F.lit(1), b=no)) == '{"a":1}' and one(spark, p.first_usable(F.lit(0), F.lit(3))) == 3
+    assert one(spark, p.recognizable(F.lit(900.0), F.lit(-5), F.lit(50), F.lit(60), F.lit(70), 100, 100, 500, 4)) and not one(spark, p.recognizable(F.lit(900.0), F.lit(2), F.lit(50), F.lit(60), F.lit(70), 100, 100, 500, 4))
+    assert one(spark, p.map_ids(F.col("a"), F.create_map(F.lit(1), F.lit("x"))), a=[1, 2]) == ["x"]
+    assert one(spark, p.missing_paths(row, ["$.a", "$.b.c"]), t='{"a": 1}') == ["$.b.c"]
+    assert one(spark, p.chat_row(F.lit("q"), F.lit("a")))[1].role == "assistant" and one(spark, p.target_phrase(F.lit("chair"), F.lit("red"), F.lit("nearest"))) == "the nearest red chair"
+    df = spark.createDataFrame([(1, 2, 3)], "a int, b int, c int")
+    assert p.allowed_only(df, ["a", "z"], []).columns == ["a"] and [x.columns for x in p.sheets(df, "a", ["c"])] == [["a", "b"], ["a", "c"]]
+    with pytest.raises(ValueError, match="forbidden"):
+        p.allowed_only(df, ["a"], ["a"])
+
+
+def test_more_geometry_and_graphs(spark):
+    pts = F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in ((0, 0), (0.1, 0), (0.2, 0), (0.2, 0.1), (0.2, 0.9))])
+    assert [(p.x, p.y) for p in one(spark, geometry.keypoints(pts))] == [(0, 0), (0.2, 0), (0.2, 0.9)]
+    px = one(spark, geometry.to_pixel(F.lit(0.0), F.lit(0.0), 101, 51))
+    back = one(spark, geometry.to_screen(F.lit(px.px), F.lit(px.py), 101, 51))
+    assert (px.px, px.py) == (50, 25) and (back.x, back.y) == (0, 0) and one(spark, geometry.radius_pixels(F.lit(0.1), 5.0, 90.0, 100)) == 12
+    box = one(spark, geometry.image_box(F.array(*[F.struct(F.lit(x).alias("px"), F.lit(y).alias("py")) for x, y in ((0, 0), (10, 0), (10, 200))]), 100, 100))
+    assert (box.x1, box.y1, box.area) == (10, 200, 990)
+    cal = graph.calibrate(spark.createDataFrame([(0, float(x), float(y), 2.0 * x + 1, 3.0 * y - 1, 1.0) for x in range(3) for y in range(3)] + [(1, 0.0, 0.0, 0.0, 0.0, 1.0)], "g int, x double, y double, px double, py double, depth double"), "g")
+    rows = {r.g: r for r in cal.collect()}
+    assert rows[0].residual_p90 < 1e-6 and rows[1].h is None
+    spots = spatial.surface_samples(spark.createDataFrame([(1, 0, 0, 10, 10), (2, 0, 0, 100, 20), (3, 0, 0, 60, 60)], "id int, x0 int, y0 int, x1 int, y1 int"))
+    assert {r.id: r["count"] for r in spots.groupBy("id").count().collect()} == {1: 1, 2: 3, 3: 2}
+    cells = spark.createDataFrame([(x, y, x in (1, 2) and y in (1, 2)) for x in range(4) for y in range(4)], "gx long, gy long, occupied boolean")
+    assert selection.blocked_inside(cells, []).count() == 4 and selection.lattice(cells, 2).count() == 4
+    assert one(spark, graph.edge_status(F.lit(2), F.lit(1), F.lit(True))) == "illegal_edge"

@@ -81,3 +81,20 @@ def test_streamed_scores_equal_batch(spark, tmp_path):
     batch = {(r.window_start, r.event_type): r.n for r in scorer.windowed(events).collect()}
     streamed = {(r.window_start, r.event_type): r.n for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     assert streamed and all(batch[k] == n for k, n in streamed.items())
+
+
+def test_scenes(spark, tmp_path):
+    for name, files in {"d__g__1": {"layout": {}}, "d__g__2": {"layout": {}, "metadata": {"dataset": "m", "source_group_id": "q"}}, "plain": {"layout": {}}, "empty": {}}.items():
+        (tmp_path / name).mkdir()
+        for f, doc in files.items():
+            (tmp_path / name / f"{f}.json").write_text(json.dumps(doc))
+    got = {r.scene_id: (r.dataset, r.source_group) for r in readers.scenes(spark, str(tmp_path), "d").collect()}
+    assert got == {"d__g__1": ("d", "d__g"), "d__g__2": ("m", "q"), "plain": ("unknown", "plain")}
+    (tmp_path / "list.txt").write_text("b\n\n a \nc\n")
+    assert [r.scene_id for r in readers.scene_list(spark, f"{tmp_path}/list.txt", 2).collect()] == ["a", "b"]
+    rows = spark.createDataFrame([(1, "a1"), (1, "b1"), (2, "a1")], "v int, task string")
+    assert {r.v for r in readers.complete_views(rows, ["v"], ["a1", "b1"]).collect()} == {1}
+    writers.json_document(rows, f"{tmp_path}/doc")
+    assert spark.read.option("multiLine", True).json(f"{tmp_path}/doc").count() == 3
+    df = spark.createDataFrame([(1, (2, 3))], "k int, s struct<a:int,b:int>")
+    assert writers.patched(df, "s", {"a": F.lit(9), "z": F.lit(1)}).first().s.asDict() == {"a": 9, "b": 3}
