@@ -150,3 +150,20 @@ def near_texts(docs: DataFrame) -> DataFrame:
     x = x.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), *[tree(F.col(c)).alias(f"{c}_tree") for c in ("text", "edited", "next")])
     x = x.select("doc_id", "n_chars", "edited_sha256", fingerprint(F.col("text_tree")).alias("fingerprint"), fingerprint(F.col("edited_tree")).alias("edited_fingerprint"), fingerprint(F.col("next_tree")).alias("next_fingerprint"))
     return x.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"))
+
+
+ORACLE_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+o AS (SELECT doc_id, t, coalesce(lead(t) OVER (ORDER BY doc_id DESC), first_value(t) OVER (ORDER BY doc_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS nxt FROM d),
+e AS (SELECT *, substring(t, 1, length(t) - length(t) // 2) || substring(nxt, 1, length(t) // 2) AS edited FROM o),
+l AS (SELECT doc_id, length(t) AS n_chars, sha256(edited) AS edited_sha256, unnest(['t', 'e', 'n']) AS which, unnest([t, edited, nxt]) AS text FROM e),
+k AS (SELECT doc_id, n_chars, edited_sha256, which, list_transform(string_split(text, chr(10) || chr(10)), lambda s: list_transform(string_split(s, chr(10)), lambda p: list_transform(regexp_extract_all(p, '(?s).{{1,{PIECE_CHARS}}}'), lambda x: sha256(x)))) AS tree FROM l),
+f AS (SELECT doc_id, n_chars, edited_sha256, which, sha256(array_to_string(list_transform(tree, lambda s: sha256(array_to_string(list_transform(s, lambda p: sha256(coalesce(array_to_string(p, ''), ''))), ''))), '')) AS root,
+  list_transform(flatten(flatten(tree)), lambda h: substring(h, 1, {LABEL_DIGITS})) AS labels FROM k),
+g AS (SELECT *, root || ':' || coalesce(array_to_string(labels, '.'), '') AS fp, CASE WHEN len(labels) = 0 THEN [''] ELSE list_distinct(labels) END AS leaves FROM f),
+j AS (SELECT a.doc_id, a.n_chars, a.edited_sha256, a.fp AS fingerprint, b.fp AS edited_fingerprint,
+  CASE WHEN a.root = b.root THEN 1.0 ELSE 2.0 * len(list_intersect(a.leaves, b.leaves)) / (len(a.leaves) + len(b.leaves)) END::DOUBLE AS near_edited,
+  CASE WHEN a.root = c.root THEN 1.0 ELSE 2.0 * len(list_intersect(a.leaves, c.leaves)) / (len(a.leaves) + len(c.leaves)) END::DOUBLE AS near_next
+  FROM g AS a JOIN g AS b ON a.doc_id = b.doc_id JOIN g AS c ON a.doc_id = c.doc_id WHERE a.which = 't' AND b.which = 'e' AND c.which = 'n')
+SELECT * FROM j
+"""

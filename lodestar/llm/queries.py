@@ -67,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_document_fingerprints": fingerprints.ORACLE_SQL,
     "op3_line_dedup": line_dedup.ORACLE_SQL,
     "op4_url_filter": url_filter.ORACLE_SQL,
     "op5_substring_dedup": substring_dedup.ORACLE_SQL,
