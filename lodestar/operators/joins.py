@@ -48,6 +48,16 @@ def undirected(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
     return edges.select(src, dst, *rest).unionByName(edges.select(F.col(dst).alias(src), F.col(src).alias(dst), *rest))
 
 
+def hop_sums() -> list[Column]:
+    """Aggregates of hops (pos, dst, and distance where legal): how many, how many legal, whether the first is, and the legal length."""
+    return [
+        F.count("dst").alias("hops"),
+        F.count("distance").alias("legal_hops"),
+        F.max(F.when((F.col("pos") == 0) & F.col("distance").isNotNull(), 1).otherwise(0)).alias("first_legal"),
+        F.sum("distance").alias("length"),
+    ]
+
+
 def route_edges(routes: DataFrame, edges: DataFrame, keys: list[str], path: str = "path") -> DataFrame:
     """Per route: hops, legal hops, whether the first is legal, and the legal length.
 
@@ -56,12 +66,7 @@ def route_edges(routes: DataFrame, edges: DataFrame, keys: list[str], path: str
     shared = [c for c in edges.columns if c in keys]
     each = routes.select(*keys, F.posexplode(hops(F.col(path))).alias("pos", "hop")).select(*keys, "pos", "hop.src", "hop.dst")
     hit = each.join(edges.select(*shared, "src", "dst", "distance"), [*shared, "src", "dst"], "left")
-    return hit.groupBy(*keys).agg(
-        F.count("*").alias("hops"),
-        F.count("distance").alias("legal_hops"),
-        F.max(F.when((F.col("pos") == 0) & F.col("distance").isNotNull(), 1).otherwise(0)).alias("first_legal"),
-        F.sum("distance").alias("length"),
-    )
+    return hit.groupBy(*keys).agg(*hop_sums())
 
 
 def nearest(points: DataFrame, targets: DataFrame, group: list[str], metric: Column, point_id: str, target_id: str, ties: list[Column] | None = None) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.operators import scoring, sets
-from lodestar.operators.joins import hops, route_edges
+from lodestar.operators.joins import hop_sums, hops
 from lodestar.plans.registry import Tables, query
 
 ROUTE_SQL = """
@@ -44,24 +44,27 @@ def answers(t: Tables) -> DataFrame:
     return lines.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x.l_suppkey).alias("path")).withColumnRenamed("l_orderkey", "question_id")
 
 
-def legal_edges(t: Tables, paths: DataFrame) -> DataFrame:
-    """The legal ones among the hops that occur, with their lengths."""
-    used = paths.select(F.explode(hops(F.col("path"))).alias("h")).select("h.src", "h.dst").distinct()
+def walked(t: Tables) -> DataFrame:
+    """(question_id, path, hops, legal_hops, first_legal, length).
+
+    Whether a hop is legal follows from its two suppliers, so no table of edges is formed.  The rows
+    stay dealt by question from the first aggregate on, so the second one moves nothing.
+    """
     side = lambda p: suppliers(t).select(F.col("s_suppkey").alias(p), F.col("region").alias(f"{p}_region"), F.col("bal").alias(f"{p}_bal"))
-    x = used.join(side("src"), "src").join(side("dst"), "dst").filter("src <> dst AND src_region = dst_region")
-    return x.select("src", "dst", F.round(F.abs(F.col("src_bal") - F.col("dst_bal")), 2).alias("distance"))
+    each = answers(t).select("question_id", "path", F.posexplode_outer(hops(F.col("path"))).alias("pos", "hop")).select("question_id", "path", "pos", "hop.src", "hop.dst")
+    legal = (F.col("src") != F.col("dst")) & (F.col("src_region") == F.col("dst_region"))
+    x = each.join(side("src"), "src", "left").join(side("dst"), "dst", "left").withColumn("distance", F.when(legal, F.round(F.abs(F.col("src_bal") - F.col("dst_bal")), 2)))
+    return x.groupBy("question_id").agg(F.first("path").alias("path"), *hop_sums())
 
 
 def flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each question with all gates."""
     t = Tables(spark, sf_dir)
-    paths = answers(t)
-    walked = route_edges(paths, legal_edges(t, paths), ["question_id"])
     side = lambda p: suppliers(t).select(F.col("s_suppkey").alias(f"{p}_sup"), F.col("region").alias(f"{p}_region"), F.col("bal").alias(f"{p}_bal"))
     nation = t.nation.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_regionkey").alias("home"))
     asked = t.orders.join(t.customer.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(nation), "c_nationkey")
     asked = asked.select(F.col("o_orderkey").alias("question_id"), F.col("o_orderpriority").alias("run"), F.col("o_orderstatus").alias("task"), "home")
-    x = paths.join(walked, "question_id", "left").join(asked, "question_id")
+    x = walked(t).join(asked, "question_id")
     x = x.withColumns({"first_sup": F.get("path", 0), "last_sup": F.element_at("path", -1)}).join(side("first"), "first_sup").join(side("last"), "last_sup")
     odd = lambda n: F.col("question_id") % n == 0
     empty = F.array().cast("array<bigint>")
@@ -72,9 +75,6 @@ def flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
             "start": F.when(odd(7), F.lit(-1).cast("long")).otherwise(F.col("first_sup")),
             "goals": F.when(F.col("last_region") == F.col("home"), F.array("last_sup")).otherwise(empty),
             "optimal": F.round(F.abs(F.col("first_bal") - F.col("last_bal")), 2),
-            "hops": F.coalesce("hops", F.lit(0).cast("long")),
-            "legal_hops": F.coalesce("legal_hops", F.lit(0).cast("long")),
-            "first_legal": F.coalesce("first_legal", F.lit(0)),
             "length": F.coalesce("length", F.lit(0.0)),
         }
     )
