@@ -57,6 +57,19 @@ def drop_stored(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+#: Bounds of the batches in which rows go to Python: rows, and bytes where this Spark bounds them.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch bounds, so that batches of long texts stay small in the JVM and in Python."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(key, None)
+        if now is not None and not 0 < int(now.rstrip("bB")) <= most:
+            spark.conf.set(key, str(most))
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z alone.  Pure ASCII text takes the fast built-in path."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

@@ -20,6 +20,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestar.llm.common import bound_batches
+
 #: Bounds of the training sample: documents of each language, characters cut from each of them, and
 #: bytes of each dictionary; languages with the most sampled text come first.
 SAMPLE_DOCS = 400
@@ -111,6 +113,7 @@ def classify(docs: DataFrame, models: dict[str, bytes], min_margin: float = MIN_
             kinds = (pa.string(), pa.float64(), pa.float64(), pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "lang_pred", "score", "margin", "accepted"])
 
+    bound_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
 
 
@@ -134,4 +137,5 @@ def keep_identified(docs: DataFrame, min_margin: float = MIN_MARGIN) -> DataFram
                 keep.append(bool(s) and bool(known) and any(map(str.isalpha, s)) and judge(sizes(s.encode("utf-8", "replace")), known, min_margin)[3])
             yield batch.filter(pa.array(keep, pa.bool_()))
 
+    bound_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)

@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import stored
+from lodestar.llm.common import bound_batches, stored
 from lodestar.llm.substring_dedup import BASES, NO_ID, U, chunks, mixed, rolled, split_words, word_hashes
 
 SHINGLE = 5
@@ -264,6 +264,7 @@ def signed(docs: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame) -> DataFrame:
     """(doc_id, class_id, exact_id): for each document the least id of its near-duplicate class and of its equal texts."""
+    bound_batches(docs.sparkSession)
     all_signed = signed(docs)
     reps = stored(all_signed.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")), "representatives")
     # Ids of different texts may be equal where doc_id is not unique; such texts share their fate from here on.
