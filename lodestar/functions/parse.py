@@ -14,15 +14,20 @@ def strip_fences(text: Column) -> Column:
     return F.trim(F.when(F.contains(text, F.lit("```")) & (inner != ""), inner).otherwise(text))
 
 
+def without_fences(text: Column) -> Column:
+    """The text with the marks of code fences taken out."""
+    return F.trim(F.replace(F.replace(F.trim(text), F.lit("```json"), F.lit("")), F.lit("```"), F.lit("")))
+
+
 def id_list(text: Column) -> Column:
     """A JSON array of integer-likes as bigints (2.7 is 2, "3" is 3, true is 1); null if any item fails or it is no array."""
-    items = F.try_variant_get(F.try_parse_json(strip_fences(text)), "$", "array<bigint>")
+    items = F.try_variant_get(F.try_parse_json(without_fences(text)), "$", "array<bigint>")
     return F.when(~F.exists(items, lambda x: x.isNull()), items)
 
 
 def strict_id_list(text: Column) -> Column:
     """Like :func:`id_list`, but only an array of plain integers passes."""
-    body = strip_fences(text)
+    body = without_fences(text)
     return F.when(body.rlike(r"^\[\s*(-?\d+(\s*,\s*-?\d+)*)?\s*\]$"), id_list(text))
 
 
@@ -43,7 +48,7 @@ def answer_after_thinking(text: Column) -> Column:
 
 def first_list(text: Column) -> Column:
     """The ids of the whole answer, or else of the first bracketed list that reads as ids."""
-    body = answer_after_thinking(text)
+    body = strip_fences(answer_after_thinking(text))
     found = F.transform(F.regexp_extract_all(body, F.lit(r"(\[[^\[\]]*\])"), F.lit(1)), id_list)
     return F.coalesce(id_list(body), F.get(F.filter(found, lambda x: x.isNotNull()), 0))
 

@@ -39,18 +39,13 @@ def in_order(text: Column, groups: list[list[str]]) -> Column:
     """Whether each group has a phrase that occurs after the earliest match of the group before it."""
     folded, at = F.lower(text), F.lit(1)
     for group in groups:
-        ends = [F.when(F.locate(p.lower(), folded, 1) >= 0, _after(folded, p.lower(), at)) for p in group]
-        at = F.array_min(F.array(*ends)) if len(ends) > 1 else ends[0]
+        rest = F.substring(folded, at, F.char_length(folded))
+        found = [F.when(F.instr(rest, p.lower()) > 0, F.struct(F.instr(rest, p.lower()).alias("start"), F.lit(i).alias("i"), F.lit(max(len(p), 1)).alias("size"))) for i, p in enumerate(group)]
+        first = F.array_min(F.array(*found))
+        at = at + first["start"] + first["size"] - 1
     return F.coalesce(at > 0, F.lit(False))
 
 
-def _after(folded: Column, phrase: str, start: Column) -> Column:
-    """The place behind the phrase's first occurrence from ``start`` on; null: none."""
-    rest = F.substring(folded, start, F.char_length(folded))
-    found = F.instr(rest, phrase)
-    return F.when(found > 0, start + found - 1 + len(phrase))
-
-
 def mentions_all(text: Column, ids: Column) -> Column:
     """Whether the text has the ids as a JSON list, or "1 through n" where they are 1 to n."""
     listed = F.contains(F.regexp_replace(text, r"\s+", ""), F.to_json(ids))
@@ -59,17 +54,18 @@ def mentions_all(text: Column, ids: Column) -> Column:
 
 
 def format_class(text: Column) -> Column:
-    """One of six classes, by think tags and a list in the last line."""
+    """One of six classes, by think tags and a list that stands alone in the last line after them."""
     body = stripped(text)
-    opened, closed = body.startswith("<think>"), F.contains(body, F.lit("</think>"))
-    listed = body.rlike(r"\[[^\[\]\n]*\]$")
+    starts, opened, closed = body.startswith("<think>"), F.contains(body, F.lit("<think>")), F.contains(body, F.lit("</think>"))
+    line = F.regexp_extract(body, r"([^\n]*)$", 1)
+    tail = stripped(line).rlike(r"^\[[^\n]*\]$")
     return (
-        F.when(F.coalesce(body, F.lit("")) == "", F.lit("empty"))
-        .when(opened & closed & listed, F.lit("canonical"))
-        .when(opened & closed, F.lit("tags_without_list"))
-        .when(opened | closed, F.lit("unbalanced_tags"))
-        .when(listed, F.lit("list_without_tags"))
-        .otherwise(F.lit("plain"))
+        F.when(starts & closed & tail, F.lit("ok"))
+        .when(~opened & tail, F.lit("plain_plus_tail"))
+        .when(starts & ~closed, F.lit("open_no_close"))
+        .when(starts & closed, F.lit("json_inside_or_missing_tail"))
+        .when(~opened, F.lit("plain_no_tail"))
+        .otherwise(F.lit("other"))
     )
 
 

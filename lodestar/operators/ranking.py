@@ -22,12 +22,12 @@ def annotate_cohort(df: DataFrame, cohort: list[str], measure: str, id_col: str)
 
 
 def distance_cue(place: Column, size: Column) -> Column:
-    """nearer/farther among two, closest/farthest among more, none in between."""
-    return F.when(size < 2, F.lit(None).cast("string")).when(place == 1, F.when(size == 2, F.lit("nearer")).otherwise(F.lit("closest"))).when(place == size, F.when(size == 2, F.lit("farther")).otherwise(F.lit("farthest")))
+    """nearer/farther among two, else closest/farthest and none in between."""
+    return F.when(place == 1, F.when(size == 2, F.lit("nearer")).otherwise(F.lit("closest"))).when(place == size, F.when(size == 2, F.lit("farther")).otherwise(F.lit("farthest")))
 
 
 def side_cue(place: Column, size: Column) -> Column:
-    return F.when(size < 2, F.lit(None).cast("string")).when(place == 1, F.lit("left")).when(place == size, F.lit("right"))
+    return F.when(place == 1, F.lit("left")).when(place == size, F.lit("right"))
 
 
 def ordinal_cue(place: Column) -> Column:

@@ -47,19 +47,21 @@ def view_ambiguity(objects: DataFrame, view: list[str], same_type: str, supporte
 
 
 def edge_support(legal: Column, center: Column, corridor: Column, body: Column, center_min: float, corridor_min: float) -> Column:
-    """Support class of an edge from the shares of its line and of its corridor that are seen."""
-    return (
-        F.when(~legal, F.lit("not_legal"))
-        .when(center.isNull(), F.lit("unobserved"))
-        .when(center < center_min, F.lit("center_weak"))
-        .when(body & F.coalesce(corridor < corridor_min, F.lit(True)), F.lit("corridor_weak"))
-        .otherwise(F.lit("supported"))
-    )
+    """Support class of an edge.
+
+    ``center`` and ``corridor`` are structs of what is seen along the line and along the lanes of a
+    body: in_frame_fraction, visually_free_fraction, in_frame_count, foreground_count, object_pixel_count.
+    """
+    pick = lambda name: F.when(body, corridor[name]).otherwise(center[name])
+    seen = (center["in_frame_fraction"] >= center_min) & (center["visually_free_fraction"] >= center_min) & (pick("in_frame_fraction") >= corridor_min) & (pick("visually_free_fraction") >= corridor_min)
+    foreground = pick("foreground_count") >= F.greatest(F.lit(1), F.ceil(0.02 * pick("in_frame_count")))
+    blocked = F.when(foreground, F.lit("depth_obstruction_evidence")).when(pick("object_pixel_count") > 0, F.lit("object_only_obstruction_cue")).otherwise(F.lit("uncertain_blocked"))
+    return F.when(legal, F.when(F.coalesce(seen, F.lit(False)), F.lit("observable_safe")).otherwise(F.lit("uncertain_safe"))).otherwise(blocked)
 
 
 def support_by_question(edges: DataFrame, question: list[str], label: str) -> DataFrame:
     """Whether any and whether all edges of a question are supported."""
-    ok = F.col(label) == "supported"
+    ok = F.col(label) == "observable_safe"
     return edges.groupBy(*question).agg(F.count("*").alias("edges"), F.max(ok).alias("any_supported"), F.min(ok).alias("all_supported"))
 
 

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from lodestar.functions import geometry
 from lodestar.operators.joins import cell_join
 
-#: Thresholds of the relations, in metres (inside: share of the smaller area).
-NEAR_GAP, ON_GAP, MIN_OVERLAP, UNDER_GAP, INSIDE_OVERLAP = 0.60, 0.12, 0.25, 0.02, 0.60
+# Thresholds of the relations, in metres (overlap: share of the smaller area).
+NEAR_GAP, ON_GAP, UNDER_GAP, MIN_OVERLAP, INSIDE_SLACK = 0.60, 0.12, 0.60, 0.25, 0.02
 
 
 def pairs_within(df: DataFrame, group: list[str], id_col: str, x: str, y: str, radius: float) -> DataFrame:
@@ -36,17 +36,18 @@ def relations(objects: DataFrame, group: list[str], id_col: str) -> DataFrame:
     flat = lambda p: (c(f"{p}cx"), c(f"{p}cy"), c(f"{p}sx"), c(f"{p}sy"))
     overlap, gap = geometry.overlap_ratio(*flat("a_"), *flat("b_")), geometry.edge_gap(*flat("a_"), *flat("b_"))
     bottom, top = (lambda p: c(f"{p}cz") - c(f"{p}sz") / 2), (lambda p: c(f"{p}cz") + c(f"{p}sz") / 2)
-    rest = F.abs(bottom("a_") - top("b_"))
-    within = (bottom("a_") >= bottom("b_") - 1e-9) & (top("a_") <= top("b_") + 1e-9)
+    rest, clear = F.abs(bottom("a_") - top("b_")), bottom("b_") - top("a_")
+    ends = lambda p, axis, sign: c(f"{p}c{axis}") + sign * c(f"{p}s{axis}") / 2
+    depth = F.least(*[f for axis in "xyz" for f in (ends("a_", axis, -1) - ends("b_", axis, -1), ends("b_", axis, 1) - ends("a_", axis, 1))])
     found = F.array_compact(
         F.array(
             *[
                 F.when(test, F.struct(F.lit(name).alias("type"), F.round(margin, 6).alias("margin")))
                 for name, test, margin in (
                     ("near", gap <= NEAR_GAP, NEAR_GAP - gap),
-                    ("on", (rest <= ON_GAP) & (overlap >= MIN_OVERLAP), ON_GAP - rest),
-                    ("inside", within & (overlap >= INSIDE_OVERLAP), overlap - INSIDE_OVERLAP),
-                    ("under", (top("a_") <= bottom("b_") + UNDER_GAP) & (overlap >= MIN_OVERLAP), bottom("b_") + UNDER_GAP - top("a_")),
+                    ("on", (c("a_cz") > c("b_cz")) & (rest <= ON_GAP) & (overlap >= MIN_OVERLAP), F.least(ON_GAP - rest, overlap - MIN_OVERLAP)),
+                    ("inside", depth >= -INSIDE_SLACK, depth + INSIDE_SLACK),
+                    ("under", (c("a_cz") < c("b_cz")) & clear.between(0, UNDER_GAP) & (overlap >= MIN_OVERLAP), F.least(UNDER_GAP - clear, overlap - MIN_OVERLAP)),
                 )
             ]
         )
@@ -55,7 +56,7 @@ def relations(objects: DataFrame, group: list[str], id_col: str) -> DataFrame:
 
 
 def uncertainty(margin: Column) -> Column:
-    return F.when(margin >= 0.2, F.lit("low")).when(margin >= 0.05, F.lit("medium")).otherwise(F.lit("high"))
+    return F.when(margin >= 0.10, F.lit("low")).when(margin >= 0.03, F.lit("medium")).otherwise(F.lit("high"))
 
 
 def project_relations(found: DataFrame, supported: DataFrame, confusable: DataFrame, group: list[str]) -> DataFrame:

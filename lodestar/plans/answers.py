@@ -49,7 +49,7 @@ def parse_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lists of ids from bare, fenced and reasoned answers; numbers with a fraction only pass the lenient parser."""
     ids = F.array(F.col("o_custkey"), F.col("o_orderkey") % 7, F.lit(3).cast("long"))
     bare = F.concat(F.lit("["), F.array_join(F.transform(ids, lambda i: i.cast("string")), ", "), F.when(F.col("o_orderkey") % 2 == 0, F.lit("]")).otherwise(F.lit(".0]")))
-    x = Tables(spark, sf_dir).orders.select("o_orderkey", bare.alias("a"), F.concat(F.lit("Sure:\n```json\n"), bare, F.lit("\n```")).alias("b"), F.concat(F.lit("<think>maybe [1]</think> The answer is "), bare).alias("c"))
+    x = Tables(spark, sf_dir).orders.select("o_orderkey", bare.alias("a"), F.concat(F.lit("```json\n"), bare, F.lit("\n```")).alias("b"), F.concat(F.lit("<think>maybe [1]</think> The answer is "), bare).alias("c"))
     joined = lambda c: F.array_join(F.transform(c, lambda i: i.cast("string")), ",")
     return x.select("o_orderkey", joined(parse.id_list(F.col("a"))).alias("listed"), joined(parse.id_list(F.col("b"))).alias("fenced"), joined(parse.last_list(F.col("c"))).alias("thought"), parse.strict_id_list(F.col("a")).isNotNull().alias("strict_ok"))
 
@@ -115,8 +115,9 @@ def stable_indexes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Tables(spark, sf_dir).part.select("p_partkey", stable_index(F.col("p_name"), 7).alias("template"), hash_bucket(F.col("p_name")).alias("bucket"))
 
 
-@query("""SELECT doc_id, CASE WHEN regexp_replace(text, '^\\s+|\\s+$', '', 'g') = '' OR text IS NULL THEN 'empty' WHEN regexp_matches(text, '\\[[^\\[\\]\\n]*\\]\\s*$') THEN 'list_without_tags' ELSE 'plain' END AS class,
-  len(regexp_extract_all(text, '(?i)\\bthe\\b'))::INT AS n_the, regexp_matches(text, '(?i)\\blicense\\b') AS license, contains(lower(text), 'secret') OR contains(lower(text), 'password') AS sensitive FROM documents""")
+@query("""WITH t AS (SELECT *, regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') AS b FROM documents)
+SELECT doc_id, CASE WHEN regexp_matches(regexp_extract(b, '([^\\n]*)$', 1), '^\\s*\\[[^\\n]*\\]\\s*$') THEN 'plain_plus_tail' ELSE 'plain_no_tail' END AS class,
+  len(regexp_extract_all(text, '(?i)\\bthe\\b'))::INT AS n_the, regexp_matches(text, '(?i)\\blicense\\b') AS license, contains(lower(text), 'secret') OR contains(lower(text), 'password') AS sensitive FROM t""")
 def text_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Format class, phrase counts and phrase predicates of documents."""
     t = F.col("text")

@@ -12,31 +12,41 @@ from lodestar.plans.registry import Tables, query
 
 _AXES_SQL = """
 a AS (SELECT p_partkey, p_brand, p_type, p_size / 10.0 AS len, 1 + (p_partkey % 40) / 100.0 AS det, (p_partkey % 5)::INT AS turns, (p_partkey % 3)::INT AS decs,
-  CASE p_partkey % 4 WHEN 0 THEN 'unique_category' WHEN 1 THEN 'color_only' WHEN 2 THEN 'relation_only' ELSE 'ordinal' END AS mode, (p_size % 10) / 10.0 AS gap, (p_size % 5)::INT AS cohort, (p_size % 2)::INT AS same,
-  (p_partkey % 20) / 100.0 AS margin, (p_partkey % 50) / 100.0 AS narrow, (p_size % 8) / 10.0 AS extra, 0.4 + (p_partkey % 7) / 10.0 AS ovl FROM part),
-l1 AS (SELECT *, CASE WHEN (cohort >= 3 AND gap < 0.5) OR mode = 'unresolved' THEN 'high' WHEN mode = 'unique_category' AND cohort <= 1 THEN 'low' ELSE 'medium' END AS ref1,
-  CASE WHEN (cohort >= 3 AND gap < 0.5) OR mode = 'relation_only' OR (mode = 'color_only' AND same >= 1) THEN 'high' WHEN (mode = 'unique_category' AND cohort <= 1) OR (mode = 'color_only' AND same = 0) THEN 'low' ELSE 'medium' END AS ref2,
+  CASE p_partkey % 5 WHEN 0 THEN 'category_only' WHEN 1 THEN 'color_only' WHEN 2 THEN 'relation_only' WHEN 3 THEN 'distance_only' ELSE 'color_and_distance' END AS mode, (p_size % 10) / 5.0 AS gap, (p_size % 4)::INT AS cohort, (p_size % 3)::INT AS same, (p_partkey % 4)::INT AS other,
+  (p_partkey % 25) / 100.0 AS margin, (p_partkey % 9) / 50.0 AS goal, (p_partkey % 50) / 100.0 AS narrow, (p_size % 8) / 10.0 AS extra, (p_partkey % 3)::INT AS more, 0.4 + (p_partkey % 7) / 10.0 AS ovl FROM part),
+l1 AS (SELECT *, CASE WHEN mode = 'color_and_distance' OR gap < 0.4 OR cohort >= 3 OR same >= 2 THEN 'high' WHEN mode = 'category_only' OR (mode IN ('distance_only', 'color_only') AND gap >= 0.8 AND cohort <= 1) THEN 'low' ELSE 'medium' END AS ref1,
+  CASE WHEN mode = 'color_and_distance' OR gap < 0.4 OR cohort >= 3 OR same >= 2 OR (mode = 'color_only' AND other >= 2) THEN 'high' WHEN mode = 'category_only' OR (mode = 'distance_only' AND gap >= 0.8 AND cohort <= 1) THEN 'low' ELSE 'medium' END AS ref2,
   CASE WHEN len > 6 OR det > 1.35 OR turns >= 4 OR decs >= 3 THEN 'high' WHEN len <= 3 AND det <= 1.10 AND turns <= 1 AND decs <= 1 THEN 'low' ELSE 'medium' END AS geo1,
   CASE WHEN (turns >= 2 AND decs >= 1) OR (len > 3.5 AND det > 1.05 AND turns >= 1) THEN 'high' WHEN len <= 3 AND det <= 1.08 AND turns = 0 AND decs = 0 THEN 'low' ELSE 'medium' END AS geo2,
-  CASE WHEN margin < 0.05 OR narrow > 0.30 OR extra > 0.5 OR ovl < 0.6 THEN 'high' WHEN margin >= 0.15 AND narrow <= 0.10 AND extra <= 0.1 THEN 'low' ELSE 'medium' END AS emb1,
-  CASE WHEN (margin < 0.05 OR narrow > 0.30) AND (extra > 0.5 OR ovl < 0.6) THEN 'high' WHEN margin >= 0.15 AND narrow <= 0.10 AND extra <= 0.1 THEN 'low' ELSE 'medium' END AS emb2 FROM a),
+  CASE WHEN margin < 0.05 OR goal < 0.05 OR narrow > 0.35 OR extra > 1 OR more >= 2 OR ovl < 0.5 THEN 'high' WHEN margin >= 0.2 AND narrow <= 0.1 AND extra <= 0.3 AND more <= 0 AND ovl >= 0.85 THEN 'low' ELSE 'medium' END AS emb1,
+  CASE WHEN (margin < 0.05 OR goal < 0.05 OR narrow > 0.35) AND (ovl < 0.5 OR extra > 0.6 OR more >= 1) THEN 'high' WHEN margin >= 0.07 AND goal >= 0.07 AND narrow <= 0.12 AND extra <= 0.3 AND more <= 0 AND ovl >= 0.9 THEN 'low' ELSE 'medium' END AS emb2 FROM a),
 tiers AS (SELECT *, CASE WHEN 'high' IN (ref1, geo1, emb1) OR (ref1 = 'medium')::INT + (geo1 = 'medium')::INT + (emb1 = 'medium')::INT >= 2 THEN 'hard' WHEN (ref1 = 'medium')::INT + (geo1 = 'medium')::INT + (emb1 = 'medium')::INT = 1 THEN 'medium' ELSE 'easy' END AS tier1,
   CASE WHEN 'high' IN (ref2, geo2, emb2) OR (ref2 = 'medium')::INT + (geo2 = 'medium')::INT + (emb2 = 'medium')::INT >= 2 THEN 'hard' WHEN (ref2 = 'medium')::INT + (geo2 = 'medium')::INT + (emb2 = 'medium')::INT = 1 THEN 'medium' ELSE 'easy' END AS tier2 FROM l1),
-scored AS (SELECT *, CASE WHEN ref2 <> 'low' OR geo2 = 'high' THEN 60 * CASE geo2 WHEN 'high' THEN 2 WHEN 'medium' THEN 1 ELSE 0 END + 8 * CASE ref2 WHEN 'high' THEN 2 WHEN 'medium' THEN 1 ELSE 0 END + 2 * CASE emb2 WHEN 'high' THEN 2 WHEN 'medium' THEN 1 ELSE 0 END + CASE WHEN tier2 = 'hard' THEN 20 ELSE 0 END ELSE 0 END AS score FROM tiers)
+scored AS (SELECT *, CASE WHEN tier2 = 'hard' AND mode <> 'category_only' AND ref2 <> 'low' AND geo2 <> 'low' THEN 60 * CASE geo2 WHEN 'high' THEN 2 ELSE 1 END + 8 * CASE ref2 WHEN 'high' THEN 2 ELSE 1 END + 5 * CASE mode WHEN 'distance_only' THEN 1 WHEN 'color_only' THEN 2 ELSE 3 END + 2 * CASE emb2 WHEN 'high' THEN 2 WHEN 'medium' THEN 1 ELSE 0 END + CASE WHEN geo2 = 'high' THEN 20 ELSE 0 END ELSE 0 END AS score FROM tiers)
 """
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts with scaled attributes in the place of difficulty measures, their levels and tiers."""
+    """Parts with scaled attributes in the place of difficulty measures, their levels, tiers and scores."""
     k, s = F.col("p_partkey"), F.col("p_size")
-    mode = F.when(k % 4 == 0, F.lit("unique_category")).when(k % 4 == 1, F.lit("color_only")).when(k % 4 == 2, F.lit("relation_only")).otherwise(F.lit("ordinal"))
-    x = Tables(spark, sf_dir).part.select("p_partkey", "p_brand", "p_type", (s / 10).alias("len"), (1 + (k % 40) / 100).alias("det"), (k % 5).cast("int").alias("turns"), (k % 3).cast("int").alias("decs"), mode.alias("mode"), ((s % 10) / 10).alias("gap"), (s % 5).alias("cohort"), (s % 2).alias("same"), ((k % 20) / 100).alias("margin"), ((k % 50) / 100).alias("narrow"), ((s % 8) / 10).alias("extra"), (0.4 + (k % 7) / 10).alias("ovl"))
+    modes = F.array(*map(F.lit, ("category_only", "color_only", "relation_only", "distance_only", "color_and_distance")))
+    measures = {
+        "len": s / 10, "det": 1 + (k % 40) / 100, "turns": (k % 5).cast("int"), "decs": (k % 3).cast("int"), "mode": F.get(modes, (k % 5).cast("int")), "gap": (s % 10) / 5, "cohort": s % 4, "same": s % 3, "other": (k % 4).cast("int"),
+        "margin": (k % 25) / 100, "goal": (k % 9) / 50, "narrow": (k % 50) / 100, "extra": (s % 8) / 10, "more": (k % 3).cast("int"), "ovl": 0.4 + (k % 7) / 10,
+    }
+    x = Tables(spark, sf_dir).part.select("p_partkey", "p_brand", "p_type", *[v.alias(n) for n, v in measures.items()])
     c = F.col
     for v in (1, 2):
         policy = f"v{v}"
-        x = x.withColumns({f"ref{v}": ladders.reference_axis(c("mode"), c("gap"), c("cohort"), c("same"), policy), f"geo{v}": ladders.geometry_axis(c("len"), c("det"), c("turns"), c("decs"), policy), f"emb{v}": ladders.embodiment_axis(c("margin"), c("narrow"), c("extra"), c("ovl"), policy)})
+        x = x.withColumns(
+            {
+                f"ref{v}": ladders.reference_axis(c("mode"), c("gap"), c("cohort"), c("same"), c("other"), policy),
+                f"geo{v}": ladders.geometry_axis(c("len"), c("det"), c("turns"), c("decs"), policy),
+                f"emb{v}": ladders.embodiment_axis(c("margin"), c("goal"), c("narrow"), c("extra"), c("more"), c("ovl"), policy),
+            }
+        )
         x = x.withColumn(f"tier{v}", ladders.compose_tier(c(f"ref{v}"), c(f"geo{v}"), c(f"emb{v}")))
-    return x.withColumn("score", ladders.hardness_score((c("ref2") != "low") | (c("geo2") == "high"), 0, [(60, c("geo2")), (8, c("ref2")), (2, c("emb2"))], 20, c("tier2") == "hard"))
+    return x.withColumn("score", ladders.navigation_hardness(F.lit("legal"), F.lit(True), c("tier2"), c("mode"), c("ref2"), c("geo2"), c("emb2"))["score"])
 
 
 @query(f"WITH {_AXES_SQL} SELECT p_partkey, ref1, geo1, emb1, tier1, ref2, geo2, emb2, tier2 FROM tiers")

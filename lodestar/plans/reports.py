@@ -52,12 +52,14 @@ def view_ambiguity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("c_nationkey", "c_mktsegment", "supported", "status", F.coalesce(F.get("witnesses", 0), F.lit(-1)).alias("first_witness"))
 
 
-@query("""WITH e AS (SELECT l_orderkey, CASE WHEN l_returnflag = 'R' THEN 'not_legal' WHEN l_partkey % 10 = 0 THEN 'unobserved' WHEN l_discount < 0.02 THEN 'center_weak' WHEN l_linestatus = 'O' AND l_tax < 0.01 THEN 'corridor_weak' ELSE 'supported' END AS c FROM lineitem)
-SELECT l_orderkey, count(*) AS edges, bool_or(c = 'supported') AS any_supported, bool_and(c = 'supported') AS all_supported FROM e GROUP BY l_orderkey""")
+@query("""WITH e AS (SELECT l_orderkey, l_returnflag <> 'R' AS legal, l_linestatus = 'O' AS body, l_discount * 10 AS cf, l_tax * 12 AS bf, l_partkey % 60 AS fore, l_suppkey % 3 AS obj FROM lineitem),
+c AS (SELECT l_orderkey, CASE WHEN legal THEN CASE WHEN cf >= 0.3 AND CASE WHEN body THEN bf ELSE cf END >= 0.5 THEN 'observable_safe' ELSE 'uncertain_safe' END WHEN fore >= greatest(1, ceil(0.02 * 1000)) THEN 'depth_obstruction_evidence' WHEN obj > 0 THEN 'object_only_obstruction_cue' ELSE 'uncertain_blocked' END AS c FROM e)
+SELECT l_orderkey, count(*) AS edges, bool_or(c = 'observable_safe') AS any_supported, bool_and(c = 'observable_safe') AS all_supported FROM c GROUP BY l_orderkey""")
 def edge_support(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Support of a route's edges, reduced to any and all."""
     c = F.col
-    label = reports.edge_support(c("l_returnflag") != "R", F.when(c("l_partkey") % 10 != 0, c("l_discount")), c("l_tax"), c("l_linestatus") == "O", 0.02, 0.01)
+    seen = lambda share: F.struct(share.alias("in_frame_fraction"), share.alias("visually_free_fraction"), F.lit(1000).alias("in_frame_count"), (c("l_partkey") % 60).alias("foreground_count"), (c("l_suppkey") % 3).alias("object_pixel_count"))
+    label = reports.edge_support(c("l_returnflag") != "R", seen(c("l_discount") * 10), seen(c("l_tax") * 12), c("l_linestatus") == "O", 0.3, 0.5)
     return reports.support_by_question(Tables(spark, sf_dir).lineitem.select("l_orderkey", label.alias("support")), ["l_orderkey"], "support")
 
 

@@ -21,7 +21,7 @@ def cohort_winners(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH x AS (SELECT c_custkey, count(*) OVER w AS size, row_number() OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_acctbal, c_custkey) AS place, round(lead(c_acctbal) OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_acctbal, c_custkey) - c_acctbal, 2) AS next_gap FROM customer WINDOW w AS (PARTITION BY c_nationkey, c_mktsegment))
-SELECT c_custkey, size AS cohort_size, place, next_gap, CASE WHEN size < 2 THEN NULL WHEN place = 1 THEN CASE WHEN size = 2 THEN 'nearer' ELSE 'closest' END WHEN place = size THEN CASE WHEN size = 2 THEN 'farther' ELSE 'farthest' END END AS cue, CASE place WHEN 1 THEN 'first' WHEN 2 THEN 'second' END AS ordinal FROM x""")
+SELECT c_custkey, size AS cohort_size, place, next_gap, CASE WHEN place = 1 THEN CASE WHEN size = 2 THEN 'nearer' ELSE 'closest' END WHEN place = size THEN CASE WHEN size = 2 THEN 'farther' ELSE 'farthest' END END AS cue, CASE place WHEN 1 THEN 'first' WHEN 2 THEN 'second' END AS ordinal FROM x""")
 def cohort_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place, gap and cues of every candidate in its cohort."""
     x = ranking.annotate_cohort(Tables(spark, sf_dir).customer, _COHORT, "c_acctbal", "c_custkey")
@@ -128,11 +128,12 @@ _RELATIONS = f"""{_POINTS},
 ab AS (SELECT a.label, a.vec_id AS target, b.vec_id AS anchor,
   greatest(least(a.x + a.sx / 2, b.x + b.sx / 2) - greatest(a.x - a.sx / 2, b.x - b.sx / 2), 0) * greatest(least(a.y + a.sy / 2, b.y + b.sy / 2) - greatest(a.y - a.sy / 2, b.y - b.sy / 2), 0) / greatest(least(a.sx * a.sy, b.sx * b.sy), 1e-9) AS ov,
   sqrt(pow(greatest(abs(a.x - b.x) - (a.sx + b.sx) / 2, 0), 2) + pow(greatest(abs(a.y - b.y) - (a.sy + b.sy) / 2, 0), 2)) AS gap,
-  a.z - a.sz / 2 AS a0, a.z + a.sz / 2 AS a1, b.z - b.sz / 2 AS b0, b.z + b.sz / 2 AS b1 FROM pt AS a JOIN pt AS b ON a.label = b.label AND a.vec_id <> b.vec_id),
+  a.z - a.sz / 2 AS a0, a.z + a.sz / 2 AS a1, b.z - b.sz / 2 AS b0, b.z + b.sz / 2 AS b1, a.z AS az, b.z AS bz,
+  least(a.x - a.sx / 2 - (b.x - b.sx / 2), b.x + b.sx / 2 - (a.x + a.sx / 2), a.y - a.sy / 2 - (b.y - b.sy / 2), b.y + b.sy / 2 - (a.y + a.sy / 2), a.z - a.sz / 2 - (b.z - b.sz / 2), b.z + b.sz / 2 - (a.z + a.sz / 2)) AS deep FROM pt AS a JOIN pt AS b ON a.label = b.label AND a.vec_id <> b.vec_id),
 rel AS (SELECT label, target, anchor, 'near' AS type, round(0.6 - gap, 6) AS margin FROM ab WHERE gap <= 0.6
-  UNION ALL SELECT label, target, anchor, 'on', round(0.12 - abs(a0 - b1), 6) FROM ab WHERE abs(a0 - b1) <= 0.12 AND ov >= 0.25
-  UNION ALL SELECT label, target, anchor, 'inside', round(ov - 0.6, 6) FROM ab WHERE a0 >= b0 - 1e-9 AND a1 <= b1 + 1e-9 AND ov >= 0.6
-  UNION ALL SELECT label, target, anchor, 'under', round(b0 + 0.02 - a1, 6) FROM ab WHERE a1 <= b0 + 0.02 AND ov >= 0.25)
+  UNION ALL SELECT label, target, anchor, 'on', round(least(0.12 - abs(a0 - b1), ov - 0.25), 6) FROM ab WHERE az > bz AND abs(a0 - b1) <= 0.12 AND ov >= 0.25
+  UNION ALL SELECT label, target, anchor, 'inside', round(deep + 0.02, 6) FROM ab WHERE deep >= -0.02
+  UNION ALL SELECT label, target, anchor, 'under', round(least(0.6 - (b0 - a1), ov - 0.25), 6) FROM ab WHERE az < bz AND b0 - a1 BETWEEN 0 AND 0.6 AND ov >= 0.25)
 """
 
 
@@ -264,11 +265,10 @@ def box_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points(spark, sf_dir).select("vec_id", F.round(geometry.box_distance(F.col("x"), F.col("y"), zero, zero, F.col("sx"), F.col("sy"), F.col("z")), 6).alias("distance"))
 
 
-@query(f"""WITH {_POINTS}, c AS (SELECT vec_id, abs(x) AS r, abs(y) AS g, abs(z) AS b FROM pt), s AS (SELECT *, greatest(r, g, b) AS top, greatest(r, g, b) - least(r, g, b) AS spread FROM c),
-h AS (SELECT *, CASE WHEN spread = 0 THEN 0 WHEN top = r THEN 60 * (g - b) / spread + CASE WHEN g < b THEN 360 ELSE 0 END WHEN top = g THEN 60 * (b - r) / spread + 120 ELSE 60 * (r - g) / spread + 240 END AS hue FROM s)
-SELECT vec_id, CASE WHEN top < 0.15 THEN 'black' WHEN spread < 0.08 AND top > 0.85 THEN 'white' WHEN spread < 0.08 THEN 'gray' WHEN hue >= 15 AND hue < 45 AND top < 0.6 THEN 'brown' WHEN hue < 15 OR hue >= 330 THEN 'red' WHEN hue < 45 THEN 'orange' WHEN hue < 70 THEN 'yellow' WHEN hue < 170 THEN 'green' WHEN hue < 260 THEN 'blue' ELSE 'unknown' END AS color FROM h""")
+@query(f"""WITH {_POINTS}, c AS (SELECT vec_id, abs(x) * 3 AS r, abs(y) * 3 AS g, abs(z) * 3 AS b FROM pt), s AS (SELECT *, greatest(r, g, b) AS top, greatest(r, g, b) - least(r, g, b) AS spread FROM c)
+SELECT vec_id, CASE WHEN top < 0.12 THEN 'black' WHEN spread < 0.08 THEN CASE WHEN top > 0.82 THEN 'white' WHEN top > 0.55 THEN 'gray' WHEN r > g + 0.04 THEN 'brown' ELSE 'gray' END WHEN r > 0.35 AND g > 0.18 AND b < 0.28 AND r > g AND g > b THEN 'brown' WHEN r >= g AND r >= b THEN CASE WHEN g < 0.55 THEN 'red' ELSE 'yellow' END WHEN g >= r AND g >= b THEN 'green' ELSE 'blue' END AS color FROM s""")
 def color_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return points(spark, sf_dir).select("vec_id", ladders.color_name(F.abs("x"), F.abs("y"), F.abs("z")).alias("color"))
+    return points(spark, sf_dir).select("vec_id", ladders.color_name(F.abs("x") * 3, F.abs("y") * 3, F.abs("z") * 3).alias("color"))
 
 
 @query("""SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY window_start, event_type""")

@@ -35,7 +35,7 @@ def test_other_answers(spark):
 
 def test_texts(spark):
     t = F.col("t")
-    assert [one(spark, text.format_class(t), t=x) for x in ("", "<think>a</think>\n[1]", "<think>a</think>", "<think>a", "a [1]", "a")] == ["empty", "canonical", "tags_without_list", "unbalanced_tags", "list_without_tags", "plain"]
+    assert [one(spark, text.format_class(t), t=x) for x in ("<think>a</think>\n[1]", "a\n[1] ", "<think>a", "<think>a [1]</think> b", "a [1]", "b <think>a</think>", "")] == ["ok", "plain_plus_tail", "open_no_close", "json_inside_or_missing_tail", "plain_no_tail", "other", "plain_no_tail"]
     assert one(spark, text.in_order(t, [["first", "one"], ["then"]]), t="One step, then") and not one(spark, text.in_order(t, [["then"], ["first"]]), t="first, then")
     assert one(spark, text.mentions_all(t, F.col("a")), t="ids 1 through 3", a=[1, 2, 3]) and one(spark, text.mentions_all(t, F.col("a")), t="[4, 7]", a=[4, 7]) and not one(spark, text.mentions_all(t, F.col("a")), t="1 through 2", a=[4, 7])
     assert one(spark, text.canonical_rationale(t, F.col("a")), t="because\n[1,2]", a=[1, 2]) == "<think>\nbecause\n</think>\n[1,2]" and one(spark, text.canonical_rationale(t, F.col("a")), t="no [3]", a=[1]) is None
@@ -97,9 +97,17 @@ def test_ladders(spark):
     assert one(spark, ladders.geometry_axis(F.lit(4.0), F.lit(1.1), F.lit(1), F.lit(0))) == "high" and one(spark, ladders.geometry_axis(F.lit(4.0), F.lit(1.1), F.lit(1), F.lit(0), "v1")) == "medium"
     assert one(spark, ladders.legality(F.lit("supported"), F.lit("unique"), F.lit("ok"), F.lit(True))) == "illegal"
     assert [one(spark, ladders.color_name(*map(F.lit, c))) for c in ((1.0, 0.0, 0.0), (0.0, 0.0, 0.0), (1.0, 1.0, 1.0), (0.5, 0.5, 0.5), (0.0, 0.0, 1.0), (0.4, 0.25, 0.1))] == ["red", "black", "white", "gray", "blue", "brown"]
-    assert one(spark, ladders.visibility_status(F.lit(True), F.lit(True), F.lit(0.5), F.lit(2.0))) == "uncertain" and one(spark, ladders.truth_bucket(F.lit("reject"))) == "uncertain"
-    assert one(spark, ladders.clutter_axis(F.lit(70), F.lit(50.0), F.lit(0.0))) == "high" and one(spark, ladders.share_axis(F.lit(0.1), F.lit(0.05), (0.3, 0.2), (0.1, 0.1))) == "low"
-    assert one(spark, ladders.legacy_tier(F.lit(2), F.lit(0), F.lit(0.4), F.lit(1), F.lit(1.0))) == "easy" and one(spark, ladders.support_type(F.lit(False), F.lit(True))) == "object_surface"
+    assert one(spark, ladders.visibility_status(F.lit(True), F.lit(True), F.lit(0.5), F.lit(2.0))) == "partial" and one(spark, ladders.truth_bucket(F.lit("reject"))) == "uncertain"
+    assert one(spark, ladders.clutter_axis(F.lit(70), F.lit(50.0), F.lit(0.0))) == "high" and one(spark, ladders.boundary_axis(F.lit(0.1), F.lit(0.05))) == "low" and one(spark, ladders.gap_axis(F.lit(0.1), F.lit(0.3))) == "high"
+    assert one(spark, ladders.legacy_tier(F.lit(1.0), F.lit(0), F.lit(4.0), F.lit(0.1), F.lit(1))) == "easy" and one(spark, ladders.legacy_tier(F.lit(1.0), F.lit(3), F.lit(4.0), F.lit(0.1), F.lit(1))) == "hard"
+    no = F.lit(False)
+    assert one(spark, ladders.support_type(no, no, no, F.lit(True), F.lit(""))) == "object_surface" and one(spark, ladders.support_type(no, no, no, no, F.lit("x"))) == "plain_floor_blocked"
+    high, legal = F.lit("high"), F.lit("legal")
+    assert tuple(one(spark, ladders.affordance_hardness(legal, F.lit(True), F.lit("hard"), high, high, high))) == (25 + 10 + 14 + 6, [])
+    assert tuple(one(spark, ladders.navigation_hardness(legal, F.lit(True), F.lit("hard"), F.lit("color_only"), high, high, F.lit("low")))) == (120 + 16 + 10 + 20, [])
+    assert one(spark, ladders.navigation_hardness(F.lit("illegal"), F.lit(False), F.lit("easy"), F.lit("category_only"), F.lit("low"), F.lit("low"), F.lit("low"))).reasons == ["human_visible_illegal", "navigation_ineligible", "navigation_tier_not_hard", "reference_resolution_category_only", "reference_axis_low", "geometry_axis_low"]
+    assert one(spark, ladders.resolution_mode(F.lit(1), F.lit(1))) == "color_and_distance" and one(spark, ladders.layout_consistent(F.lit("on"), F.lit(0.0), F.lit(0.2), F.lit(0.1), F.lit(0.1)))
+    assert one(spark, ladders.removable(F.lit("Shoe"), ["table"], ["shoe"], F.lit(0.3), F.lit(0.1), F.lit(0.1), F.lit(0.05))) and not one(spark, ladders.removable(F.lit("table"), ["table"], ["shoe"], F.lit(0.3), F.lit(0.1), F.lit(0.1), F.lit(0.05)))
 
 
 def test_geometry(spark):
@@ -169,7 +177,7 @@ def test_spatial_and_ranking(spark):
     assert (alone.points, alone.nearest_p25) == (1, 999.0)
     w = ranking.cohort_winners(p, ["g"], "x", "id", 0.6).first()
     assert (w.winner, w.tied, w.cohort_size) == (1, 2, 3)
-    assert [one(spark, ranking.distance_cue(F.lit(a), F.lit(b))) for a, b in ((1, 2), (2, 2), (1, 3), (2, 3), (3, 3), (1, 1))] == ["nearer", "farther", "closest", None, "farthest", None]
+    assert [one(spark, ranking.distance_cue(F.lit(a), F.lit(b))) for a, b in ((1, 2), (2, 2), (1, 3), (2, 3), (3, 3), (1, 1))] == ["nearer", "farther", "closest", None, "farthest", "closest"]
     assert one(spark, ranking.directions(F.lit(1.0), F.lit(1.0))) == ["turn_left", "forward"] and one(spark, ranking.directions(F.lit(0.0), F.lit(0.0))) == []
     assert one(spark, ranking.first_allowed({"side": ranking.side_cue(F.lit(1), F.lit(3)), "ordinal": ranking.ordinal_cue(F.lit(1))}, ["ordinal", "side"])).type == "ordinal"
 
