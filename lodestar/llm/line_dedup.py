@@ -50,11 +50,13 @@ def dropped_lines(docs: DataFrame, min_key_chars: int = MIN_KEY_CHARS, salts: in
     rows = _held(docs, min_key_chars).withColumn("slice", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")).repartition("range", "slice")
     in_slice = Window.partitionBy("range", "h1", "h2", "slice").orderBy("doc_id", "pos")
     judged = rows.withColumn("first", F.first("doc_id").over(in_slice.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    # Only first holders of a slice meet again, in a run of at most ``salts`` documents' lines.
-    everywhere = Window.partitionBy("range", "h1", "h2").orderBy("first", "doc_id", "pos")
-    contest = judged.select("range", "h1", "h2", "first", "doc_id", "sig", "pos", (F.col("first") < F.col("doc_id")).alias("lost"))
-    finals = contest.filter(~F.col("lost")).withColumn("winner", F.first("doc_id").over(everywhere.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    return finals.filter(F.col("winner") < F.col("doc_id")).select("doc_id", "sig", "pos").unionByName(contest.filter("lost").select("doc_id", "sig", "pos"))
+    # Only first holders of a slice meet again, in a run of at most ``salts`` documents' lines.  The
+    # others, which have lost already, stay apart by slice, so that one pass serves both.
+    contest = judged.select("range", "h1", "h2", "doc_id", "sig", "pos", (F.col("first") < F.col("doc_id")).alias("lost"), "slice")
+    contest = contest.withColumn("ring", F.when(F.col("lost"), F.col("slice") + 1).otherwise(0))
+    in_ring = Window.partitionBy("range", "h1", "h2", "ring").orderBy("doc_id", "pos")
+    finals = contest.withColumn("winner", F.first("doc_id").over(in_ring.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return finals.filter(F.col("lost") | (F.col("winner") < F.col("doc_id"))).select("doc_id", "sig", "pos")
 
 
 def drop_bitmaps(dropped: DataFrame) -> DataFrame:
