@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import sys
 import tempfile
 import uuid
@@ -38,8 +40,21 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+_registered: set[str] = set()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    """A new path under the application's own folder, which goes when the driver's Python ends before its session does."""
+    own = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
+    if own not in _registered:
+        _registered.add(own)
+        atexit.register(_clear, spark, own)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
+
+
+def _clear(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the session has ended already: the folder stays, like a checkpoint
+        drop_stored(spark, path)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
