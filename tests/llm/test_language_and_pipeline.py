@@ -39,6 +39,19 @@ def test_labels_of_held_out_rows_are_not_used(spark):
     assert key(docs) == key(changed)
 
 
+def test_short_texts_are_told_apart(spark):
+    models, rng, rows = language_id.fit(spoken(spark)), random.Random(3), []
+    for i in range(300):
+        lang, words = list(SYLLABLES)[i % 3], 1 + i // 3 % 5
+        rows.append((i, " ".join("".join(rng.choice(SYLLABLES[lang].split()) for _ in range(3)) for _ in range(words)), lang, "s", words))
+    docs = spark.createDataFrame(rows, DOCS)
+    found = {r["doc_id"]: r for r in rows_of(language_id.classify(docs, models))}
+    for words, kept, least in ((1, 0.9, 0.6), (2, 0.95, 0.9), (3, 0.95, 0.95), (4, 0.95, 0.95), (5, 0.95, 0.95)):
+        of = [(r[2], found[r[0]]) for r in rows if r[4] == words]
+        assert sum(f["accepted"] for _, f in of) / len(of) >= kept, words
+        assert sum(f["lang_pred"] == lang for lang, f in of) / len(of) >= least, words
+
+
 def test_awkward_documents(spark):
     docs = documents(spark, extra=True)
     rows = rows_of(language_id.identify(docs))
