@@ -16,9 +16,10 @@ yet, until no bucket has one; large buckets are split by further bands first.  C
 alternating star contractions, so neither links nor components are ever in one place.
 
 Defined results: a text of one to four words is one shingle; null, empty and blank texts have none
-and count as equal texts.  A row without doc_id counts as the one with the largest id; a class of
-such rows alone has a null class_id.  Repeated rows are copies of each other.  An empty table gives
-an empty result; other columns are ignored, whatever their names.
+and count as equal texts.  Texts are what is compared; an id is only their attribute, so different
+texts that share an id, or have none, are judged apart.  A row without doc_id counts as the one with
+the largest id; a class of such rows alone has a null class_id.  Repeated rows are copies of each
+other.  An empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import bound_batches, stored
@@ -151,14 +152,19 @@ def _sign_finely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doc, x = elements(batch.column("text"))
         # The low byte: the high bits of a dart choose its coordinate.
         lanes = (dart_signatures(doc, mixed(x ^ BASES[1]), batch.num_rows, FINE) & U(255)).astype(np.uint8)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array([v.tobytes() for v in lanes], pa.binary())], ["doc_id", "text", "lanes"])
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text"), pa.array([v.tobytes() for v in lanes], pa.binary())], ["id", "text", "lanes"])
 
 
-def _base(docs: DataFrame) -> DataFrame:
+def _keys() -> tuple[Column, Column, Column]:
+    """A row's id and the two hashes of its text."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    x = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), text.alias("text"))
-    told = F.when(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.col("text")).otherwise(F.lit(""))
-    return x.select("doc_id", F.xxhash64(told).alias("h1"), F.xxhash64(F.lit(1), told).alias("h2"), "text")
+    told = F.when(text.rlike(r"[^\x20\x09-\x0D]"), text).otherwise(F.lit(""))
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), F.xxhash64(told), F.xxhash64(F.lit(1), told)
+
+
+def _base(docs: DataFrame) -> DataFrame:
+    doc_id, h1, h2 = _keys()
+    return docs.select(doc_id.alias("doc_id"), h1.alias("h1"), h2.alias("h2"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -185,8 +191,8 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """(a, b, near): pairs of representatives, judged on their whole texts."""
-    left = texts.select(F.col("doc_id").alias("a"), "text")
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("right"))
+    left = texts.select(F.col("id").alias("a"), "text")
+    right = texts.select(F.col("id").alias("b"), F.col("text").alias("right"))
     both = pairs.join(right, "b").join(left, "a").select("a", "b", "text", "right")
     return stored(both.mapInArrow(_verify, "a long, b long, near boolean"), "verified")
 
@@ -262,22 +268,23 @@ def signed(docs: DataFrame) -> DataFrame:
     return stored(_base(docs).mapInArrow(_sign, SIGNED), "signed")
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, class_id, exact_id): for each document the least id of its near-duplicate class and of its equal texts."""
+def _classed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The signed rows, and (h1, h2, doc_id, first) of each text: its least id, and id and hashes of its class's least row."""
     bound_batches(docs.sparkSession)
     all_signed = signed(docs)
-    reps = stored(all_signed.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")), "representatives")
-    # Ids of different texts may be equal where doc_id is not unique; such texts share their fate from here on.
+    reps = all_signed.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
+    # A text's own number, fixed as it is stored: ids of different texts may be equal.
+    reps = stored(reps.withColumn("id", F.monotonically_increasing_id()), "representatives")
     banded = reps.select("id", F.explode("bands").alias("key"))
     sizes = banded.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     members = stored(banded.join(sizes, "key").distinct(), "members")
     if members.isEmpty():
         links = None
     else:
-        involved = reps.select("h1", "h2", "id").join(members.select("id").distinct(), "id")
-        texts = _base(docs).join(involved, ["h1", "h2"]).filter("doc_id = id").dropDuplicates(["doc_id"])
-        texts = stored(texts.select("doc_id", "text").mapInArrow(_sign_finely, "doc_id long, text string, lanes binary"), "texts")
-        lanes = texts.select(F.col("doc_id").alias("id"), "lanes")
+        involved = reps.select("h1", "h2", "doc_id", "id").join(members.select("id").distinct(), "id")
+        texts = _base(docs).join(involved, ["h1", "h2", "doc_id"]).dropDuplicates(["id"])
+        texts = stored(texts.select("id", "text").mapInArrow(_sign_finely, "id long, text string, lanes binary"), "texts")
+        lanes = texts.select("id", "lanes")
         central = members.groupBy("id").agg(F.sum("n").alias("score"))
         hubs = members.join(central, "id").groupBy("key").agg(F.max_by("id", F.struct("score", -F.col("id"))).alias("hub"))
         pairs = members.join(hubs, "key").filter("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
@@ -289,10 +296,21 @@ def classes(docs: DataFrame) -> DataFrame:
             if more.isEmpty():
                 break
             tested = stored(tested.unionByName(verified(more, texts)), "tested")
-    joined = all_signed.select("doc_id", "h1", "h2").join(reps.select("h1", "h2", "id"), ["h1", "h2"])
-    joined = joined.withColumn("class", F.lit(None).cast("long")) if links is None else joined.join(links, "id", "left")
+    own = F.struct("doc_id", "h1", "h2")
+    if links is None:
+        return all_signed, reps.select("h1", "h2", "doc_id", own.alias("first"))
+    labels = links.unionByName(links.select(F.col("class").alias("id"), "class").distinct())
+    least = labels.join(reps.select("id", own.alias("own")), "id").groupBy("class").agg(F.min("own").alias("least"))
+    found = reps.select("id", "h1", "h2", "doc_id").join(labels.join(least, "class").select("id", "least"), "id", "left")
+    return all_signed, found.select("h1", "h2", "doc_id", F.coalesce("least", own).alias("first"))
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """(doc_id, class_id, exact_id): for each document the least id of its near-duplicate class and of its equal texts."""
+    all_signed, found = _classed(docs)
+    joined = all_signed.select("doc_id", "h1", "h2").join(found.select("h1", "h2", F.col("doc_id").alias("exact"), F.col("first.doc_id").alias("class")), ["h1", "h2"])
     real = lambda c: F.when(c != NO_ID, c)
-    return joined.select(real(F.col("doc_id")).alias("doc_id"), real(F.coalesce("class", "id")).alias("class_id"), real(F.col("id")).alias("exact_id"))
+    return joined.select(real(F.col("doc_id")).alias("doc_id"), real(F.col("class")).alias("class_id"), real(F.col("exact")).alias("exact_id"))
 
 
 def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,6 +323,8 @@ def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents, with all their columns, that have the least id of their class, each once."""
-    keep = classes(docs).filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__keep")).distinct()
-    return docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("__keep")), "left_semi").dropDuplicates(["doc_id"])
+    """One document of each class, with all its columns: that of the least id, among equal ids that of the least hashes."""
+    keep = _classed(docs)[1].filter("h1 = first.h1 AND h2 = first.h2")
+    names = ["__id", "__h1", "__h2"]
+    keyed = docs.withColumns(dict(zip(names, _keys(), strict=True)))
+    return keyed.join(keep.select(F.col("doc_id").alias("__id"), F.col("h1").alias("__h1"), F.col("h2").alias("__h2")), names, "left_semi").dropDuplicates(names).drop(*names)

@@ -110,6 +110,26 @@ def test_near_duplicates_match_brute_force(spark, extra):
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in rows_of(kept)) == sorted({c for _, c in want if c is not None})
 
 
+def test_texts_of_one_id_or_none_are_judged_apart(spark):
+    rng = random.Random(8)
+    say = lambda n: [rng.choice("abcdefgh") + str(rng.randrange(900)) for _ in range(n)]
+    near = lambda words: " ".join([*words[:-1], "changed"])
+    one, two, three, four = (say(120) for _ in range(4))
+    lone = [" ".join(say(60)) for _ in range(6)]
+    rows = [(5, " ".join(one)), (None, near(one)), (None, lone[0]), (None, lone[1]), (None, lone[1])]  # one text without id is near document 5
+    rows += [(7, " ".join(two)), (7, lone[2]), (7, lone[3]), (3, near(two))]  # one of three texts of id 7 is near document 3
+    rows += [(9, " ".join(three)), (9, near(three)), (None, " ".join(four)), (None, near(four)), (11, lone[4]), (12, lone[5])]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DOCS)
+    want = {t: i for i, t in rows} | {near(one): 5, " ".join(two): 3}
+    got = Counter((r["doc_id"], r["class_id"]) for r in rows_of(near_dedup.classes(docs)))
+    assert got == Counter((i, want[t]) for i, t in rows)
+    kept = rows_of(near_dedup.one_of_each(docs))
+    texts = [r["text"] for r in kept]
+    assert len(texts) == len(set(texts)) == 10
+    assert {*lone, " ".join(one), near(two)} <= set(texts) and near(one) not in texts and " ".join(two) not in texts
+    assert sum(t in texts for t in (" ".join(three), near(three))) == sum(t in texts for t in (" ".join(four), near(four))) == 1
+
+
 def test_near_duplicates_split_large_buckets(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "BUCKET", 6)
     docs = documents(spark, near_texts())
