@@ -52,14 +52,35 @@ def stratified_limit(df: DataFrame, group: str, order: list[str], total: int) ->
     return x.join(F.broadcast(quotas), group).filter("__n <= __quota").drop("__n", "__quota")
 
 
-def balanced_sample(df: DataFrame, group: list[str], positive: str, id_col: str, limit: int, seed: int) -> DataFrame:
-    """At most ``limit`` rows of each group with at least as many negatives as positives, drawn by hash."""
+def balanced_sample(df: DataFrame, group: list[str], positive: str, id_col: str, limit: int | Column, seed: int) -> DataFrame:
+    """``limit`` rows of each group, or all of a smaller one, drawn by hash: negatives no fewer than positives while there are enough.
+
+    Slots that scarce positives leave go to negatives, then those that scarce negatives leave to positives.
+    """
+    w = Window.partitionBy(*group)
+    good = F.coalesce(F.col(positive), F.lit(False))
+    x = df.withColumns({"__good": good, "__limit": F.greatest(F.lit(0), limit if isinstance(limit, Column) else F.lit(limit))})
+    x = x.withColumns({"__p": F.sum(F.col("__good").cast("int")).over(w), "__n": F.sum((~F.col("__good")).cast("int")).over(w)})
+    core = F.least("__p", "__n", F.floor(F.col("__limit") / 2))
+    negatives = F.least(F.col("__n"), F.col("__limit") - core)
+    positives = F.least(F.col("__p"), F.col("__limit") - negatives)
+    place = F.row_number().over(Window.partitionBy(*group, "__good").orderBy(stable_order(F.col(id_col), seed), id_col))
+    x = x.withColumn("__k", F.when(F.col("__good"), positives).otherwise(negatives)).withColumn("__i", place)
+    return x.filter("__i <= __k").drop("__good", "__limit", "__p", "__n", "__k", "__i")
+
+
+def classification_points(df: DataFrame, group: list[str], positive: str, surface: str, gap: str, id_col: str, limit: int, seed: int, surface_keep: int = 4, gap_keep: int = 4) -> DataFrame:
+    """``limit`` rows of each group: some surface and then some body-gap rows are reserved, the rest is a balanced sample."""
     w = Window.partitionBy(*group)
-    x = df.withColumns({"__p": F.sum(F.col(positive).cast("int")).over(w), "__n": F.sum((~F.col(positive)).cast("int")).over(w)})
-    positives = F.least("__p", "__n", F.lit(limit // 2))
-    negatives = F.least(F.col("__n"), F.lit(limit) - positives)
-    place = F.row_number().over(Window.partitionBy(*group, positive).orderBy(stable_order(F.col(id_col), seed), id_col))
-    return x.withColumn("__k", F.when(F.col(positive), positives).otherwise(negatives)).withColumn("__i", place).filter("__i <= __k").drop("__p", "__n", "__k", "__i")
+    place = lambda flag: F.row_number().over(Window.partitionBy(*group, flag).orderBy(stable_order(F.col(id_col), seed), id_col))
+    held = F.coalesce(F.sum(F.col("__held").cast("int")).over(w), F.lit(0))
+    x = df.withColumn("__flag", F.coalesce(F.col(surface), F.lit(False)))
+    x = x.withColumn("__held", F.col("__flag") & (place("__flag") <= min(limit, max(1, min(surface_keep, limit // 2)))))
+    x = x.withColumn("__flag", F.coalesce(F.col(gap), F.lit(False)) & ~F.col("__held")).withColumn("__quota", F.least(F.lit(gap_keep), F.lit(limit) - held))
+    x = x.withColumn("__held", F.col("__held") | (F.col("__flag") & (place("__flag") <= F.col("__quota"))))
+    x = x.withColumn("__rest", F.lit(limit) - held)
+    rest = balanced_sample(x.filter("NOT __held"), group, positive, id_col, F.col("__rest"), seed)
+    return x.filter("__held").unionByName(rest).drop("__flag", "__held", "__quota", "__rest")
 
 
 def radius_or_nearest(df: DataFrame, group: list[str], metric: str, id_col: str, radius: float, cap: int | None = None) -> DataFrame:

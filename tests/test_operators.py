@@ -138,6 +138,28 @@ def test_statistics(spark):
     assert b.low < b.estimate < b.high and b.estimate == pytest.approx(0.335)
 
 
+def test_balanced_sample_tops_up(spark):
+    sizes = {"scarce": (30, 10), "none": (50, 0), "bad": (0, 50), "few": (3, 60), "many": (60, 60), "small": (5, 4)}
+    rows = [(g, f"{g}{i}", i < p) for g, (p, n) in sizes.items() for i in range(p + n)]
+    df = spark.createDataFrame(rows, "g string, id string, good boolean")
+    count = lambda d: {(r["g"], r["good"]): r["count"] for r in d.groupBy("g", "good").count().collect()}
+    want = {("scarce", True): 30, ("scarce", False): 10, ("none", True): 40, ("bad", False): 40, ("few", True): 3, ("few", False): 37, ("many", True): 20, ("many", False): 20, ("small", True): 5, ("small", False): 4}
+    assert count(selection.balanced_sample(df, ["g"], "good", "id", 40, 7)) == want
+    assert count(selection.balanced_sample(df, ["g"], "good", "id", 1, 7)) == {(g, g == "none"): 1 for g in sizes}
+    assert selection.balanced_sample(df, ["g"], "good", "id", 0, 7).count() == 0
+    flagged = df.selectExpr("*", "NOT good AND id LIKE '%5' AS surface", "good AND id LIKE '%2' AS gap")
+    for limit in (1, 6, 40):
+        got = selection.classification_points(flagged, ["g"], "good", "surface", "gap", "id", limit, 7)
+        assert got.columns == flagged.columns and got.select("id").distinct().count() == got.count()
+        for g, (p, n) in sizes.items():
+            mine = [r for r in got.collect() if r["g"] == g]
+            all_of = [r for r in flagged.collect() if r["g"] == g]
+            assert len(mine) == min(limit, p + n)
+            kept = min(sum(r["surface"] for r in all_of), max(1, min(4, limit // 2)))
+            assert sum(r["surface"] for r in mine) >= kept
+            assert sum(r["gap"] for r in mine) >= min(sum(r["gap"] for r in all_of), 4, limit - kept)
+
+
 def test_selection(spark):
     df = spark.createDataFrame([(0, i, float(i % 4), float(i // 4)) for i in range(16)], "g int, id long, x double, y double")
     assert selection.thin(df, ["g"], ["id"], "x", "y", 1.5).count() == 4 + 4 or selection.thin(df, ["g"], ["id"], "x", "y", 1.5).count() >= 4
