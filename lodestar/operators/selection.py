@@ -166,6 +166,24 @@ def budgeted(df: DataFrame, group: list[str], required: str, metric: str, id_col
     return df.withColumn("__n", F.row_number().over(w)).filter(F.col(required) | (F.col("__n") <= limit)).drop("__n")
 
 
+def spaced_candidates(df: DataFrame, group: list[str], required: str, metric: str, id_col: str, x: str, y: str, limit: int, spacing: float) -> DataFrame:
+    """Required rows, then the nearest that are ``spacing`` from all chosen before them, up to a limit; of all these the nearest remain."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = pdf.sort_values([metric, id_col], kind="stable").drop_duplicates(id_col).reset_index(drop=True)
+        at = rows[[x, y]].to_numpy(float)
+        must = rows[required].fillna(False).to_numpy(bool)
+        chosen = list(np.flatnonzero(must))
+        for i in np.flatnonzero(~must):
+            if len(chosen) >= limit:
+                break
+            if not chosen or (((at[chosen] - at[i]) ** 2).sum(1) >= spacing**2).all():
+                chosen.append(i)
+        return rows.iloc[sorted(chosen)[:limit]]
+
+    return df.groupBy(*group).applyInPandas(run, df.schema)
+
+
 def best_pairs(starts: DataFrame, goals: DataFrame, lengths: DataFrame, group: list[str], top: int = 18) -> DataFrame:
     """The shortest known path between the first ``top`` starts and goals of each group.
 

@@ -160,6 +160,16 @@ def test_balanced_sample_tops_up(spark):
             assert sum(r["gap"] for r in mine) >= min(sum(r["gap"] for r in all_of), 4, limit - kept)
 
 
+def test_spaced_candidates(spark):
+    near = [("a", i, float(i), i == 3, 10.0 + i, 0.0) for i in range(6)]  # crowded, near; one is required
+    far = [("a", 10 + i, 20.0 + i, False, 100.0 * (i + 1), 0.0) for i in range(3)]
+    must = [("b", i, float(9 - i), True, 0.0, 0.0) for i in range(6)]
+    df = spark.createDataFrame(near + far + must + must[-1:], "g string, id long, depth double, must boolean, px double, py double")
+    got = selection.spaced_candidates(df, ["g"], "must", "depth", "id", "px", "py", 4, 30.0).collect()
+    assert {r["id"] for r in got if r["g"] == "a"} == {3, 10, 11, 12}
+    assert {r["id"] for r in got if r["g"] == "b"} == {2, 3, 4, 5}
+
+
 def test_selection(spark):
     df = spark.createDataFrame([(0, i, float(i % 4), float(i // 4)) for i in range(16)], "g int, id long, x double, y double")
     assert selection.thin(df, ["g"], ["id"], "x", "y", 1.5).count() == 4 + 4 or selection.thin(df, ["g"], ["id"], "x", "y", 1.5).count() >= 4
