@@ -27,12 +27,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see.
 
-    The cluster names it in ``spark.checkpoint.dir``.  Only where that is unset (tests, local
-    mode) a temporary folder of this machine is used.
+    The cluster names it in ``spark.checkpoint.dir``.  Only where that is unset and the master is
+    local (tests) a temporary folder of this machine is used; elsewhere that would be an error, as
+    executors would write to disks of their own.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not named:
         named = spark.conf.get("spark.lodestar.scratch", None)
+    if not named and not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not named:
         named = "file://" + tempfile.mkdtemp(prefix="lodestar-")
         spark.conf.set("spark.lodestar.scratch", named)
@@ -62,7 +65,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._scratch = path
+    return back
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more; frames that only derive from one keep it."""
+    for df in frames:
+        if path := df.__dict__.get("_scratch"):
+            drop_stored(df.sparkSession, path)
 
 
 def drop_stored(spark: SparkSession, path: str) -> None:

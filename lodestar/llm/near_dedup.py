@@ -1,25 +1,29 @@
 """Near-duplicate detection: DartMinHash signatures, banded joining, exact verification.
 
-A document is the multiset of its five-word shingles (white space words, letter case folded); the
-similarity of two documents is the weighted Jaccard coefficient of their multisets.  The c-th
-occurrence of a shingle is an element of unit weight.  Every element throws the same darts in every
-document: over the rank axis, cut into dyadic regions, a hashed Poisson number of darts for each
-region, each with a hashed rank and coordinate.  A document only looks at regions up to a rank that
-falls with its weight, so its darts number about k ln k however long it is, and keeps the earliest
-dart of each coordinate.
+A document is the weighted set of its five-word shingles (white space words, letter case folded), the
+weight being how often a shingle occurs; the similarity of two documents is the weighted Jaccard
+coefficient of their sets.  Every element throws the same darts in every document, into dyadic regions
+of the plane of weight and rank: a hashed Poisson number of darts for each region, each with a hashed
+weight, rank and coordinate.  A document takes the darts that lie under its element's weight and only
+looks at regions up to a rank that falls with its total weight, so its darts number about k ln k however
+long it is and whatever its weights are, and keeps the earliest dart of each coordinate.
 
 Equal texts collapse first.  Bands of coordinates are joined by their keys.  In a band's bucket all
 members are tied to its most central one (that which meets most others over all bands), never all
 to all; ties are verified exactly on whole texts.  Buckets whose members are then still apart are
 searched again by their signatures' agreement for pairs across components that have not been tested
-yet, until no bucket has one; large buckets are split by further bands first.  Components come from
-alternating star contractions, so neither links nor components are ever in one place.
+yet, until no bucket has one.  Large buckets are split by further bands first; what these leave large
+is dealt out to a grid of tasks, each of which compares two slices of the bucket, so no pair is lost and
+no task holds more than ``BUCKET`` members, about.  Components come from alternating star contractions,
+so neither links nor components are ever in one place; each round of search starts from the stars of
+the one before.
 
 Defined results: a text of one to four words is one shingle; null, empty and blank texts have none
 and count as equal texts.  Texts are what is compared; an id is only their attribute, so different
 texts that share an id, or have none, are judged apart.  A row without doc_id counts as the one with
 the largest id; a class of such rows alone has a null class_id.  Repeated rows are copies of each
-other.  An empty table gives an empty result; other columns are ignored, whatever their names.
+other.  A very long text is signed in one piece, by the task that holds its row.  An empty table gives
+an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,15 +36,17 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import bound_batches, stored
+from lodestar.llm.common import bound_batches, release, stored
 from lodestar.llm.substring_dedup import BASES, NO_ID, U, chunks, mixed, rolled, split_words, word_hashes
 
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 32, 6
 COORDINATES = BANDS * ROWS
-#: The first region of the rank axis is [0, FIRST); each further one doubles the end.
-FIRST = 2.0**-14
+#: The first region of the rank axis is [0, FIRST), that of the weight axis [0, UNIT); each further one doubles the end.
+FIRST, UNIT = 2.0**-14, 1.0
+#: Expected darts above which a region is cut into slabs along its weight axis.
+SLAB_DARTS = 16
 #: Coordinates of the finer signature that documents with a common band get, one byte of each.
 FINE = 1024
 #: Share of agreeing fine coordinates below which a pair isn't verified: four standard deviations under the threshold.
@@ -55,11 +61,11 @@ CHUNK_BYTES = 2_500_000
 CHUNK_COORDINATES = 250_000
 
 
-def elements(texts: pa.Array, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Document numbers (ascending) and hashes of all texts' unit-weight elements."""
+def elements(texts: pa.Array, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document numbers (ascending), hashes and weights of all texts' elements."""
     words, counts = split_words(pc.utf8_lower(texts))
     if not len(words):
-        return np.zeros(0, np.int64), np.zeros(0, U)
+        return np.zeros(0, np.int64), np.zeros(0, U), np.zeros(0)
     low, _ = word_hashes(words)
     size = np.where(counts >= shingle, counts - shingle + 1, np.minimum(counts, 1))
     begin = np.cumsum(counts) - counts
@@ -71,18 +77,16 @@ def elements(texts: pa.Array, shingle: int = SHINGLE) -> tuple[np.ndarray, np.nd
         for d in np.flatnonzero((counts > 0) & (counts < shingle)):  # a short text is one shingle of its own length
             part = low[begin[d] : begin[d] + counts[d]]
             x[np.searchsorted(doc, d)] = mixed(rolled(part, len(part), BASES[0]) + U(len(part)))[0]
-        order = np.lexsort((x, doc))
-        doc, x = doc[order], x[order]
-        new = np.r_[True, (x[1:] != x[:-1]) | (doc[1:] != doc[:-1])]
-        run = np.arange(len(x)) - np.maximum.accumulate(np.where(new, np.arange(len(x)), 0))
-        return doc, mixed(x + run.astype(U) * BASES[1])
+    order = np.lexsort((x, doc))
+    doc, x = doc[order], x[order]
+    first = np.flatnonzero(np.r_[True, (x[1:] != x[:-1]) | (doc[1:] != doc[:-1])])
+    return doc[first], x[first], np.diff(np.r_[first, len(x)]).astype(np.float64)
 
 
 def _poisson_steps(mean: float) -> np.ndarray:
-    """Cumulative probabilities of a Poisson count."""
-    p, out, total = np.exp(-mean), [], 0.0
-    n = 0
-    while total < 1 - 1e-15 and n < 10_000:
+    """Cumulative probabilities of a Poisson count with a mean of up to ``SLAB_DARTS``."""
+    p, out, total, n = np.exp(-mean), [], 0.0, 0
+    while total < 1 - 1e-15 and n < 200:
         total += p
         out.append(total)
         n += 1
@@ -90,39 +94,66 @@ def _poisson_steps(mean: float) -> np.ndarray:
     return np.array(out)
 
 
-def dart_signatures(doc: np.ndarray, x: np.ndarray, docs: int, k: int = COORDINATES) -> np.ndarray:
-    """(docs, k): for each document with elements the identity of each coordinate's earliest dart."""
+def _unit(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> U(11)).astype(np.float64) * 2.0**-53
+
+
+def _region(k: int, nr: int, nw: int) -> tuple[float, float, float, float, int]:
+    """Rank from and to, weight from, a slab's width along the weight axis and the number of slabs."""
+    low, high = (0.0, FIRST) if not nr else (FIRST * 2.0 ** (nr - 1), FIRST * 2.0**nr)
+    bottom, top = (0.0, UNIT) if not nw else (UNIT * 2.0 ** (nw - 1), UNIT * 2.0**nw)
+    slabs = 1 << max(0, int(np.ceil(np.log2(k * (high - low) * (top - bottom) / SLAB_DARTS))))
+    return low, high, bottom, (top - bottom) / slabs, slabs
+
+
+def dart_signatures(doc: np.ndarray, x: np.ndarray, weight: np.ndarray, docs: int, k: int = COORDINATES) -> np.ndarray:
+    """(docs, k): for each document with weight the identity of each coordinate's earliest dart."""
     value = np.zeros(docs * k, U)
-    weight = np.bincount(doc, minlength=docs)
-    limit = (np.log(k) + 2) / np.maximum(weight, 1)
-    todo = weight > 0
-    steps: dict[int, np.ndarray] = {}
+    total = np.bincount(doc, weights=weight, minlength=docs)
+    todo = total > 0
+    limit = (np.log(k) + 2) / np.where(todo, total, 1)
+    steps: dict[float, np.ndarray] = {}
     with np.errstate(over="ignore"):
         while todo.any():
-            pick = todo[doc]
-            d, e = doc[pick], x[pick]
+            pick = todo[doc] & (weight > 0)
+            d, e, w = doc[pick], x[pick], weight[pick]
             best = np.full(docs * k, np.inf)
-            region = 0
+            nr = 0
             while len(e):
-                low, high = (0.0, FIRST) if not region else (FIRST * 2.0 ** (region - 1), FIRST * 2.0**region)
-                cdf = steps.setdefault(region, _poisson_steps(k * (high - low)))
-                seed = mixed(e ^ mixed(np.array([region + 1], U)))
-                uniform = (seed >> U(11)).astype(np.float64) * 2.0**-53
-                some = np.flatnonzero(uniform >= cdf[0])
-                count = np.minimum(np.searchsorted(cdf, uniform[some], "right"), len(cdf) - 1)
-                which = np.repeat(some, count)
-                nth = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
-                dart = mixed(seed[which] + (nth.astype(U) + U(1)) * BASES[0])
-                rank = low + (dart >> U(11)).astype(np.float64) * 2.0**-53 * (high - low)
-                near = rank < limit[d[which]]
-                dart, rank, owner = mixed(dart[near] + BASES[1]), rank[near], d[which[near]]
-                slot = owner * k + (((dart >> U(32)) * U(k)) >> U(32)).astype(np.int64)
-                np.minimum.at(best, slot, rank)
-                won = rank == best[slot]
-                value[slot[won]] = dart[won]
+                heavy, nw = np.arange(len(e)), 0
+                while len(heavy):
+                    low, high, bottom, width, slabs = _region(k, nr, nw)
+                    if slabs == 1:
+                        of, slab = heavy, np.zeros(len(heavy), np.int64)
+                    else:
+                        under = np.clip(np.ceil((w[heavy] - bottom) / width), 1, slabs).astype(np.int64)
+                        of = np.repeat(heavy, under)
+                        slab = np.arange(len(of)) - np.repeat(np.cumsum(under) - under, under)
+                    seed = mixed(e[of] ^ mixed(U(nr + 1) + (U(nw) << U(12)) + (slab.astype(U) << U(24))))
+                    mean = k * (high - low) * width
+                    cdf = steps.setdefault(mean, _poisson_steps(mean))
+                    uniform = _unit(seed)
+                    some = np.flatnonzero(uniform >= cdf[0])
+                    count = np.minimum(np.searchsorted(cdf, uniform[some], "right"), len(cdf) - 1)
+                    which = np.repeat(some, count)
+                    nth = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
+                    dart = mixed(seed[which] + (nth.astype(U) + U(1)) * BASES[0])
+                    rank = low + _unit(dart) * (high - low)
+                    near = rank < limit[d[of[which]]]
+                    dart, rank, which = mixed(dart[near] + BASES[1]), rank[near], which[near]
+                    owner = of[which]
+                    if nw or (w[heavy] < UNIT).any():  # a lighter element takes only the darts below its weight
+                        height = bottom + (slab[which] + _unit(mixed(dart ^ BASES[0]))) * width
+                        lies = height < w[owner]
+                        dart, rank, owner = dart[lies], rank[lies], owner[lies]
+                    slot = d[owner] * k + (((dart >> U(32)) * U(k)) >> U(32)).astype(np.int64)
+                    np.minimum.at(best, slot, rank)
+                    won = rank == best[slot]
+                    value[slot[won]] = dart[won]
+                    heavy, nw = heavy[w[heavy] > bottom + width * slabs], nw + 1
                 more = high < limit[d]
-                d, e = d[more], e[more]
-                region += 1
+                d, e, w = d[more], e[more], w[more]
+                nr += 1
             empty = np.isinf(best.reshape(docs, k)).any(1)
             todo &= empty
             limit[todo] *= 2  # some coordinate met no dart yet: look further
@@ -136,8 +167,8 @@ VERIFY_BYTES = 1_500_000
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in chunks(batches, CHUNK_BYTES, CHUNK_COORDINATES // COORDINATES):
-        doc, x = elements(batch.column("text"))
-        values = dart_signatures(doc, x, batch.num_rows)
+        doc, x, weight = elements(batch.column("text"))
+        values = dart_signatures(doc, x, weight, batch.num_rows)
         has = np.bincount(doc, minlength=batch.num_rows) > 0
         with np.errstate(over="ignore"):
             keys = np.zeros((batch.num_rows, BANDS), U) + np.arange(BANDS, dtype=U)
@@ -149,9 +180,9 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sign_finely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in chunks(batches, CHUNK_BYTES // 4, CHUNK_COORDINATES // FINE):
-        doc, x = elements(batch.column("text"))
+        doc, x, weight = elements(batch.column("text"))
         # The low byte: the high bits of a dart choose its coordinate.
-        lanes = (dart_signatures(doc, mixed(x ^ BASES[1]), batch.num_rows, FINE) & U(255)).astype(np.uint8)
+        lanes = (dart_signatures(doc, mixed(x ^ BASES[1]), weight, batch.num_rows, FINE) & U(255)).astype(np.uint8)
         yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text"), pa.array([v.tobytes() for v in lanes], pa.binary())], ["id", "text", "lanes"])
 
 
@@ -167,11 +198,15 @@ def _base(docs: DataFrame) -> DataFrame:
     return docs.select(doc_id.alias("doc_id"), h1.alias("h1"), h2.alias("h2"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
-def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Weighted Jaccard of two element sets."""
-    shared = len(np.intersect1d(a, b, assume_unique=True))
-    total = len(a) + len(b) - shared
-    return shared / total if total else 1.0
+Weighed = tuple[np.ndarray, np.ndarray]
+
+
+def similarity(a: Weighed, b: Weighed) -> float:
+    """Weighted Jaccard coefficient of two sets of ascending hashes with their weights; 1 for two empty sets."""
+    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
+    shared = np.minimum(a[1][i], b[1][j]).sum()
+    total = a[1].sum() + b[1].sum() - shared
+    return float(shared / total) if total else 1.0
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,13 +214,14 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     last, left = None, None
     for whole in batches:
         for batch in chunks(iter([whole]), VERIFY_BYTES):
-            doc, x = elements(batch.column("right"))
+            doc, x, weight = elements(batch.column("right"))
             cut = np.searchsorted(doc, np.arange(batch.num_rows + 1))
             near = []
             for i, a in enumerate(batch.column("a").to_pylist()):
                 if a != last:
-                    last, left = a, elements(batch.column("text").slice(i, 1))[1]
-                near.append(similarity(left, x[cut[i] : cut[i + 1]]) >= THRESHOLD)
+                    last, left = a, elements(batch.column("text").slice(i, 1))[1:]
+                part = slice(cut[i], cut[i + 1])
+                near.append(similarity(left, (x[part], weight[part])) >= THRESHOLD)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(near, pa.bool_())], ["a", "b", "near"])
 
 
@@ -198,7 +234,10 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(id, class): the least id of each linked id's component, by alternating large and small stars."""
+    """(id, class): the least id of each linked id's component, by alternating large and small stars.
+
+    Stars that were found before may stand among the links: they are contracted already.
+    """
     e = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "links")
     seen = None
     while True:
@@ -207,10 +246,13 @@ def components(links: DataFrame) -> DataFrame:
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u")
-        e = stored(small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v"))).distinct(), "stars")
+        before, e = e, stored(small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v"))).distinct(), "stars")
+        release(before)
         mark = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == seen:
-            return e.select(F.col("u").alias("id"), F.col("v").alias("class"))
+            found = e.select(F.col("u").alias("id"), F.col("v").alias("class"))
+            found._scratch = e._scratch
+            return found
         seen = mark
 
 
@@ -244,23 +286,35 @@ def _unsettled(rows: DataFrame) -> DataFrame:
     return rows.join(sizes, "key")
 
 
+def _gridded(rows: DataFrame) -> DataFrame:
+    """(key, id, comp, lanes, tested): members of buckets that are still large, once for each pair of slices that holds theirs."""
+    slices = F.ceil(F.col("size") / (BUCKET // 2)).cast("int")
+    x = rows.withColumn("n", slices).withColumn("own", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
+    x = x.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    return x.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "id", "comp", "lanes", "tested")
+
+
 def _search(members: DataFrame, comps: DataFrame, lanes: DataFrame, tested: DataFrame) -> DataFrame:
-    """Pairs to test next."""
+    """Pairs to test next, stored."""
     x = members.join(comps.select("id", F.col("class").alias("c")), "id", "left").select("key", "id", F.coalesce("c", "id").alias("comp"))
     x = _unsettled(x)
     both = tested.select("a", "b").unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
     past = both.groupBy("a").agg(F.collect_set("b").alias("tested")).withColumnRenamed("a", "id")
     rows = stored(x.join(lanes, "id").join(past, "id", "left"), "unsettled")
-    ready = rows.filter(F.col("size") <= BUCKET)
-    large = rows.filter(F.col("size") > BUCKET).drop("size")
+    spent = [rows]
+    ready = rows.filter(F.col("size") <= BUCKET).drop("size")
+    large = rows.filter(F.col("size") > BUCKET)
     for turn in range(SPLIT_ROUNDS):
         if large.isEmpty():
             break
         parts = stored(_unsettled(_split_large(large, turn)), "split")
-        last = turn == SPLIT_ROUNDS - 1
-        ready = ready.unionByName(parts if last else parts.filter(F.col("size") <= BUCKET))
-        large = parts.filter(F.col("size") > BUCKET).drop("size")
-    return ready.drop("size").groupBy("key").applyInArrow(_agreeing, "a long, b long").distinct()
+        spent.append(parts)
+        ready = ready.unionByName(parts.filter(F.col("size") <= BUCKET).drop("size"))
+        large = parts.filter(F.col("size") > BUCKET)
+    ready = ready.unionByName(_gridded(large))
+    found = stored(ready.groupBy("key").applyInArrow(_agreeing, "a long, b long").distinct(), "proposed")
+    release(*spent)
+    return found
 
 
 def signed(docs: DataFrame) -> DataFrame:
@@ -290,12 +344,12 @@ def _classed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         pairs = members.join(hubs, "key").filter("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
         agreed = pairs.join(lanes.select(F.col("id").alias("a"), F.col("lanes").alias("la")), "a").join(lanes.select(F.col("id").alias("b"), F.col("lanes").alias("lb")), "b")
         tested = verified(agreed.mapInArrow(_likely, "a long, b long"), texts)
-        while True:
-            links = components(tested.filter("near").select("a", "b"))
-            more = stored(_search(members.select("key", "id"), links, lanes, tested), "proposed")
-            if more.isEmpty():
-                break
-            tested = stored(tested.unionByName(verified(more, texts)), "tested")
+        links = components(tested.filter("near").select("a", "b"))
+        while not (more := _search(members.select("key", "id"), links, lanes, tested)).isEmpty():
+            judged, stars, past = verified(more, texts), links, tested
+            links = components(stars.select(F.col("id").alias("a"), F.col("class").alias("b")).unionByName(judged.filter("near").select("a", "b")))
+            tested = stored(past.unionByName(judged), "tested")
+            release(more, judged, stars, past)
     own = F.struct("doc_id", "h1", "h2")
     if links is None:
         return all_signed, reps.select("h1", "h2", "doc_id", own.alias("first"))

@@ -43,6 +43,7 @@ def test_packing_is_whole_and_without_conflicts(spark, extra):
     docs = documents(spark, extra=extra)
     rows = rows_of(packing.pack(docs, capacity=64, block_items=16))
     source = {r["doc_id"]: r["source"] for r in rows_of(docs)}
+    texts = {r["doc_id"]: r["text"] or "" for r in rows_of(docs)}
     words, held = Counter(), defaultdict(list)
     for r in rows:
         words[r["doc_id"], r["copy"]] += r["n_words"]
@@ -52,6 +53,9 @@ def test_packing_is_whole_and_without_conflicts(spark, extra):
     for group in held.values():
         assert sum(r["n_words"] for r in group) <= 64 and {sum(r["n_words"] for r in group)} == {r["bin_words"] for r in group}
         assert len({source[r["doc_id"]] for r in group}) == len(group) == group[0]["bin_items"]
+        # Equal texts with letter case and white space folded are one cluster.
+        members = [" ".join(texts[r["doc_id"]].lower().split()) for r in group]
+        assert len(set(members)) == len(members)
     assert packing.pack(spark.createDataFrame([], DOCS)).count() == 0
 
 
@@ -76,7 +80,7 @@ def brute_classes(rows):
         for j in range(i):
             a, b = bags[i], bags[j]
             total = sum((a | b).values())
-            if nodes[i][1] == nodes[j][1] or nodes[i][0] == nodes[j][0] or (sum((a & b).values()) / total >= 0.8 if total else True):
+            if nodes[i][1] == nodes[j][1] or (sum((a & b).values()) / total >= 0.8 if total else True):
                 x, y = sorted((find(i), find(j)))
                 label[y] = x
     ids = {n: nodes[find(i)][0] for i, n in enumerate(nodes)}
@@ -141,20 +145,41 @@ def test_near_duplicates_empty(spark):
     assert near_dedup.classes(documents(spark, ["nothing alike here", "something else there", "third of them all"])).count() == 3
 
 
+def test_near_duplicates_beyond_all_splits(spark, monkeypatch):
+    """Buckets that no split makes small go to a grid of slices, and no link is lost."""
+    monkeypatch.setattr(near_dedup, "BUCKET", 6)
+    monkeypatch.setattr(near_dedup, "SPLIT_ROUNDS", 0)
+    docs = documents(spark, near_texts())
+    assert sorted(((r["doc_id"], r["class_id"]) for r in rows_of(near_dedup.classes(docs))), key=str) == brute_classes(rows_of(docs))
+
+
 @pytest.mark.parametrize("share", [0.3, 0.8])
 def test_signatures_estimate_weighted_jaccard(share):
     rng = np.random.default_rng(1)
     found = []
-    for n in (20, 400):
+    for n in (1, 20, 400):
         k = round(2 * n * share / (1 + share))
         for _ in range(20):
             x = rng.integers(0, 2**63, 2 * n - k, dtype=np.uint64)
-            v = near_dedup.dart_signatures(np.repeat([0, 1], n), np.concatenate([x[:n], x[n - k :]]), 2)
+            v = near_dedup.dart_signatures(np.repeat([0, 1], n), np.concatenate([x[:n], x[n - k :]]), np.ones(2 * n), 2)
             found.append((v[0] == v[1]).mean() - k / (2 * n - k))
     assert abs(np.mean(found)) < 0.02
 
 
-def test_elements_count_repeats():
-    doc, x = near_dedup.elements(pa.array(["a b c d e a b c d e a", "", "a", "a b c d e"]))
-    assert np.bincount(doc, minlength=4).tolist() == [7, 0, 1, 1]
-    assert len(np.unique(x[doc == 0])) == 7 and x[doc == 3][0] in x[doc == 0]
+@pytest.mark.parametrize("scale, k", [(1.0, 192), (0.01, 192), (300.0, 192), (5000.0, 1024)])
+def test_signatures_estimate_real_weights(scale, k):
+    rng = np.random.default_rng(2)
+    found = []
+    for n in (1, 3, 60):
+        for _ in range(10):
+            x = rng.integers(0, 2**63, n, dtype=np.uint64)
+            a, b = rng.random(n) * scale, rng.random(n) * scale
+            v = near_dedup.dart_signatures(np.repeat([0, 1], n), np.r_[x, x], np.r_[a, b], 2, k)
+            found.append((v[0] == v[1]).mean() - np.minimum(a, b).sum() / np.maximum(a, b).sum())
+    assert abs(np.mean(found)) < 0.02
+
+
+def test_elements_weigh_repeats():
+    doc, x, weight = near_dedup.elements(pa.array(["a b c d e a b c d e a", "", "a", "a b c d e"]))
+    assert np.bincount(doc, weight, minlength=4).tolist() == [7, 0, 1, 1]
+    assert len(x[doc == 0]) == 5 and sorted(weight[doc == 0]) == [1, 1, 1, 2, 2] and x[doc == 3][0] in x[doc == 0]
