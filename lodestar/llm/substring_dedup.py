@@ -1,25 +1,29 @@
 """Substring deduplication: words covered by a window that also starts earlier are removed.
 
 Pass 1, a count-min prefilter.  Two equal windows have the same least inner gram (their minimizer),
-so its count can't be smaller than the window's.  Tasks sketch the minimizers that they sample; the
-sketches, dealt out by ranges of the hash, are merged into count-min tables whose estimates never
-fall below the true counts.  Minimizers estimated to occur once are set aside; no repeated window is
+so how often minimizers occur is never below how often their windows do.  Each task counts the
+minimizers of its documents in count-min arrays: ``DEPTH`` rows with a cell for every ``CELL_TEXT``
+bytes of text of the table.  The arrays, kept sparse and dealt out by ranges of cells, are summed cell
+by cell; a merged cell overestimates what fell into it.  What goes back to a document is which of its
+cells hold more than one; windows with a cell that holds one are set aside, and no repeated window is
 lost with them.
 
-Pass 2, exact grouping.  Only windows whose minimizer may repeat are hashed to 128 bits and grouped.
+Pass 2, exact grouping.  Only windows whose every cell holds more are hashed to 128 bits and grouped.
 A task keeps just the first occurrence of a window that it sees several times, and knows the others
 as removable at once; so a passage that a third of all documents hold sends one entry per task.
 
 Defined results: words are ``[^\\x20\\x09-\\x0D]+``; a null or empty text has none, a text shorter than
-a window loses none.  Rows with equal doc_id count as one document as to what comes earlier; a row
-without doc_id comes after all others.  Results belong to a doc_id and a text, so repeated rows give
-repeated results.  Empty tables give empty results; other columns are ignored, whatever their names.
+a window loses none.  A very long text is one row of one task, in memory as a whole.  Rows with equal
+doc_id count as one document as to what comes earlier; a row without doc_id comes after all others.
+Results belong to a doc_id and a text, so repeated rows give repeated results.  Empty tables give
+empty results; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +33,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.llm.common import shuffle_partitions
+
 WINDOW = 20
 #: Words of the grams whose least one stands for a window.
 GRAM = 10
@@ -36,9 +42,11 @@ GRAM = 10
 CHUNK_BYTES = 6_000_000
 #: Bytes of text for each shard of hashes and each block of documents.
 SHARD_BYTES = 16_000_000
-#: Rows of a count-min table, and its cells for each entry.
+#: Rows of the count-min arrays, and bytes of text for each cell of a row.
 DEPTH = 2
-CELLS = 4
+CELL_TEXT = 8
+#: Minimizers that a task counts before it sends what its arrays hold.
+SKETCH_ENTRIES = 1_000_000
 NO_ID = 2**63 - 1
 
 U = np.uint64
@@ -46,7 +54,7 @@ BASES = (U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F))
 
 REPLY = "block long, docs binary, owners binary, entries binary"
 FOUND = "doc_id long, sig long, found binary"
-SHIPPED = "shard long, docs binary, owners binary, entries binary, starts binary"
+SHIPPED = "shard long, docs binary, owners binary, entries binary, numbers binary"
 #: Bytes of a window's exact hash that are shipped: 96 bits.
 EXACT = 12
 
@@ -136,9 +144,14 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(zstandard.ZstdDecompressor().decompress(data), "<i4"), dtype=np.int64)
 
 
-def _short(hashes: np.ndarray) -> np.ndarray:
-    """40 bits of a hash, as five bytes each.  They only tell apart what is in one shard, or in one document."""
-    return np.ascontiguousarray(mixed(hashes ^ U(5)).view(np.uint8).reshape(-1, 8)[:, :5])
+def cells_of(hashes: np.ndarray, row: int, width: int) -> np.ndarray:
+    """The cell of each hash in a row of ``width`` cells."""
+    return (mixed(hashes ^ BASES[row]) % U(width)).astype(np.int64)
+
+
+def _narrow(values: np.ndarray, size: int) -> np.ndarray:
+    """Whole numbers as so many bytes each."""
+    return np.ascontiguousarray(values.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :size])
 
 
 def _wide(data: bytes | np.ndarray, size: int) -> np.ndarray:
@@ -149,9 +162,8 @@ def _wide(data: bytes | np.ndarray, size: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def _pieces(key: np.ndarray, doc: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
+def _dealt(shard: np.ndarray, doc: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """For each shard that has entries: their places, by document."""
-    shard = (mixed(key) % U(shards)).astype(np.int64)
     order = np.lexsort((doc, shard))
     cuts = np.flatnonzero(np.diff(shard[order])) + 1
     if len(order):
@@ -159,6 +171,10 @@ def _pieces(key: np.ndarray, doc: np.ndarray, shards: int) -> Iterator[tuple[int
             yield int(shard[part[0]]), part
 
 
+def _hashed(key: np.ndarray, shards: int) -> np.ndarray:
+    return (mixed(key) % U(shards)).astype(np.int64)
+
+
 def _named(doc: np.ndarray, ids: np.ndarray, sigs: np.ndarray) -> tuple[bytes, bytes]:
     """Ids and signatures of the documents that entries name, and the entries' places among them (0: none)."""
     known = np.unique(doc[doc >= 0])
@@ -167,7 +183,7 @@ def _named(doc: np.ndarray, ids: np.ndarray, sigs: np.ndarray) -> tuple[bytes, b
 
 def _replies(owner: np.ndarray, entries: np.ndarray, ids: np.ndarray, sigs: np.ndarray, blocks: int) -> Iterator[tuple[int, bytes, bytes, bytes]]:
     """What was found, in a row for each block of documents."""
-    for block, at in _pieces(ids[owner].view(U) ^ U(7), owner, blocks):
+    for block, at in _dealt(_hashed(ids[owner].view(U) ^ U(7), blocks), owner):
         yield block, *_named(owner[at], ids, sigs), entries[at].tobytes()
 
 
@@ -191,33 +207,66 @@ def _batch(rows: list, names: list[str], kinds: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
 
-_SHIPPED = (["shard", "docs", "owners", "entries", "starts"], [pa.int64(), *[pa.binary()] * 4])
+_SHIPPED = (["shard", "docs", "owners", "entries", "numbers"], [pa.int64(), *[pa.binary()] * 4])
 _REPLY = (["block", "docs", "owners", "entries"], [pa.int64(), *[pa.binary()] * 3])
 
 
-def _sketches(window: int, gram: int, shards: int, blocks: int):
-    """Pass 1, map side: sampled minimizers by shard; with a document for those seen once, without (-1) for the others."""
+@dataclass(frozen=True)
+class Sketch:
+    """The shape of the count-min arrays: ``DEPTH`` rows, each dealt out in ``shards`` ranges of ``cells`` cells."""
+
+    shards: int
+    cells: int
+
+    @property
+    def width(self) -> int:
+        return self.shards * self.cells
+
+    @property
+    def offset_bytes(self) -> int:
+        return max(1, -(-(self.cells - 1).bit_length() // 8))
+
+    @property
+    def code_bytes(self) -> int:
+        """Bytes of a cell's code, which is its number with the rows laid end to end."""
+        return max(1, -(-(DEPTH * self.width - 1).bit_length() // 8))
+
+    def codes(self, hashes: np.ndarray) -> list[np.ndarray]:
+        return [cells_of(hashes, row, self.width) + row * self.width for row in range(DEPTH)]
+
+
+def _sketches(window: int, gram: int, sketch: Sketch, blocks: int):
+    """Pass 1, map side: a task's count-min arrays by range of cells.  A cell that holds one names its document (else -1)."""
+
+    def sent(least: np.ndarray, doc: np.ndarray, ids: np.ndarray, sigs: np.ndarray) -> pa.RecordBatch:
+        rows = []
+        for code in sketch.codes(least):
+            cell, first, back, count = np.unique(code, return_index=True, return_inverse=True, return_counts=True)
+            owner = np.where(count == 1, doc[first], -1)
+            offset = _narrow(cell % sketch.cells, sketch.offset_bytes)
+            rows += [(s, *_named(owner[at], ids, sigs), offset[at].tobytes(), _packed(count[at])) for s, at in _dealt(cell // sketch.cells, owner)]
+            again = np.unique(doc * len(cell) + back, return_index=True)[1]
+            again = again[count[back[again]] > 1]
+            rows += _known(doc[again], _narrow(code[again], sketch.code_bytes), ids, sigs, blocks)
+        return _batch(rows, *_SHIPPED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held, docs = [], 0, 0
         for batch in chunks(batches):
             words, counts = split_words(batch.column("text"))
             starts, doc = _valid(counts, window, len(words))
             if not len(starts):
                 continue
-            ids, sigs = (batch.column(c).to_numpy() for c in ("doc_id", "sig"))
             least, place = window_minimizers(word_hashes(words)[0], window, gram)
             least, place = least[starts], place[starts]
             new = np.r_[True, (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])]
-            least, doc = least[new], doc[new]
-            values, back, count = np.unique(least, return_inverse=True, return_counts=True)
-            first = np.zeros(len(values), np.int64)
-            first[back] = doc
-            first[count > 1] = -1
-            short = _short(values)
-            rows = [(s, *_named(first[at], ids, sigs), short[at].tobytes(), None) for s, at in _pieces(values, first, shards)]
-            again = count[back] > 1
-            rows += _known(doc[again], _short(least[again]), ids, sigs, blocks)
-            yield _batch(rows, *_SHIPPED)
+            parts.append((least[new], doc[new] + docs, batch.column("doc_id").to_numpy(), batch.column("sig").to_numpy()))
+            held, docs = held + len(parts[-1][0]), docs + batch.num_rows
+            if held >= SKETCH_ENTRIES:
+                yield sent(*map(np.concatenate, zip(*parts, strict=True)))
+                parts, held, docs = [], 0, 0
+        if parts:
+            yield sent(*map(np.concatenate, zip(*parts, strict=True)))
 
     return run
 
@@ -237,22 +286,18 @@ def _gathered(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(docs, 1), np.concatenate([np.where(o >= 0, o + b, -1) for o, b in zip(owners, base, strict=False)])
 
 
-def _merge(table: pa.Table, blocks: int) -> pa.Table:
-    """Pass 1, merge side: the documents' minimizers that the merged count-min table takes for repeated."""
+def _merge(table: pa.Table, sketch: Sketch, blocks: int) -> pa.Table:
+    """Pass 1, merge side: a range of the tasks' arrays, summed cell by cell; the documents' cells that hold more than one."""
     done = _passed_on(table)
     if done is not None:
         return done
     every, owner = _gathered(table)
-    raw = np.concatenate([np.frombuffer(b, np.uint8) for b in table.column("entries").to_pylist()]).reshape(-1, 5)
-    hashes = _wide(raw, 5)
-    width = 1 << int(len(hashes) * CELLS).bit_length()
-    weight = np.where(owner >= 0, 1, 2)
-    estimate = np.full(len(hashes), np.iinfo(np.int64).max)
-    for row in range(DEPTH):
-        cell = (mixed(hashes ^ BASES[row]) & U(width - 1)).astype(np.int64)
-        estimate = np.minimum(estimate, np.bincount(cell, weights=weight, minlength=width).astype(np.int64)[cell])
-    keep = np.flatnonzero((estimate > 1) & (owner >= 0))
-    return pa.Table.from_batches([_batch(list(_replies(owner[keep], raw[keep], *every, blocks)), *_REPLY)])
+    cell = _wide(b"".join(table.column("entries").to_pylist()), sketch.offset_bytes).astype(np.int64)
+    merged = np.zeros(sketch.cells, np.int64)
+    np.add.at(merged, cell, np.concatenate([_unpacked(b) for b in table.column("numbers").to_pylist()]))
+    keep = np.flatnonzero((merged[cell] > 1) & (owner >= 0))
+    code = _narrow(cell[keep] + table.column("shard")[0].as_py() * sketch.cells, sketch.code_bytes)
+    return pa.Table.from_batches([_batch(list(_replies(owner[keep], code, *every, blocks)), *_REPLY)])
 
 
 def _earliest(h1: np.ndarray, h2: np.ndarray, doc_id: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -264,8 +309,8 @@ def _earliest(h1: np.ndarray, h2: np.ndarray, doc_id: np.ndarray, start: np.ndar
     return order, (doc_id != doc_id[first]) | (start != start[first])
 
 
-def _windows(window: int, gram: int, shards: int, blocks: int):
-    """Pass 2, map side: exact hashes of the windows that may repeat."""
+def _windows(window: int, gram: int, sketch: Sketch, blocks: int):
+    """Pass 2, map side: exact hashes of the windows that are estimated to repeat."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
@@ -275,13 +320,14 @@ def _windows(window: int, gram: int, shards: int, blocks: int):
             ids, sigs = (batch.column(c).to_numpy() for c in ("doc_id", "sig"))
             low, high = word_hashes(words)
             least, _ = window_minimizers(low, window, gram)
-            short = _wide(_short(least), 5)
+            codes = sketch.codes(least)
             begin = np.r_[0, np.cumsum(counts)]
             marked = []
             for i, found in enumerate(batch.column("found").to_pylist()):
                 n = counts[i] - window + 1
                 if n > 0:
-                    marked.append(begin[i] + np.flatnonzero(np.isin(short[begin[i] : begin[i] + n], _wide(found, 5))))
+                    more = _wide(found, sketch.code_bytes)
+                    marked.append(begin[i] + np.flatnonzero(np.logical_and.reduce([np.isin(c[begin[i] : begin[i] + n], more) for c in codes])))
             at = np.concatenate(marked) if marked else np.zeros(0, np.int64)
             if not len(at):
                 continue
@@ -292,7 +338,7 @@ def _windows(window: int, gram: int, shards: int, blocks: int):
             gone, kept = np.sort(order[late]), np.sort(order[~late])
             # Windows that come first here are shipped; equal places (of repeated rows) stand for each other.
             exact = np.concatenate([h1[kept].view(np.uint8).reshape(-1, 8), h2[kept].view(np.uint8).reshape(-1, 8)[:, : EXACT - 8]], 1)
-            rows = [(s, *_named(doc[kept[x]], ids, sigs), exact[x].tobytes(), _packed(start[kept[x]])) for s, x in _pieces(h1[kept], doc[kept], shards)]
+            rows = [(s, *_named(doc[kept[x]], ids, sigs), exact[x].tobytes(), _packed(start[kept[x]])) for s, x in _dealt(_hashed(h1[kept], sketch.shards), doc[kept])]
             rows += _known(*_runs(doc[gone], start[gone]), ids, sigs, blocks)
             yield _batch(rows, *_SHIPPED)
 
@@ -306,7 +352,7 @@ def _group(table: pa.Table, blocks: int) -> pa.Table:
         return done
     every, owner = _gathered(table)
     raw = np.concatenate([np.frombuffer(b, np.uint8) for b in table.column("entries").to_pylist()]).reshape(-1, EXACT)
-    start = np.concatenate([_unpacked(b) for b in table.column("starts").to_pylist()])
+    start = np.concatenate([_unpacked(b) for b in table.column("numbers").to_pylist()])
     order, late = _earliest(_wide(raw[:, :8], 8), _wide(raw[:, 8:], EXACT - 8), every[0][owner], start)
     gone = order[late]
     gone = gone[np.lexsort((start[gone], owner[gone]))]
@@ -359,15 +405,21 @@ def _removable(base: DataFrame, window: int, gram: int) -> DataFrame:
     """(doc_id, sig, found): runs of removable windows as pairs of 32-bit integers."""
     size = base.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     shards = blocks = max(1, -(-size // SHARD_BYTES))
+    sketch = Sketch(shards, max(1, SHARD_BYTES // CELL_TEXT))
 
     def answered(shipped: DataFrame, judge, width: int, runs: bool) -> DataFrame:
         """Shards answer in a row for each block of documents, blocks in a row for each document."""
-        replies = shipped.groupBy("shard").applyInArrow(lambda t: judge(t, blocks), REPLY)
-        return replies.groupBy("block").applyInArrow(lambda t: _per_document(t, width, runs), FOUND)
+        replies = _spread(shipped, "shard", DEPTH * shards).groupBy("shard").applyInArrow(judge, REPLY)
+        return _spread(replies, "block", blocks).groupBy("block").applyInArrow(lambda t: _per_document(t, width, runs), FOUND)
 
-    maybe = answered(base.mapInArrow(_sketches(window, gram, shards, blocks), SHIPPED), _merge, 5, False)
+    maybe = answered(base.mapInArrow(_sketches(window, gram, sketch, blocks), SHIPPED), lambda t: _merge(t, sketch, blocks), sketch.code_bytes, False)
     again = base.join(maybe, ["doc_id", "sig"]).select("doc_id", "sig", "text", "found")
-    return answered(again.mapInArrow(_windows(window, gram, shards, blocks), SHIPPED), _group, 8, True)
+    return answered(again.mapInArrow(_windows(window, gram, sketch, blocks), SHIPPED), lambda t: _group(t, blocks), 8, True)
+
+
+def _spread(rows: DataFrame, key: str, groups: int) -> DataFrame:
+    """Rows dealt out by a key; with more groups than partitions, as many partitions as groups."""
+    return rows.repartition(groups, key) if groups > shuffle_partitions(rows.sparkSession) else rows
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int | None = None, digest: bool = False) -> DataFrame:

@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import re
 
+import numpy as np
 import pytest
 
 from lodestar.llm import decontamination, secrets, substring_dedup
@@ -40,6 +41,31 @@ def test_substring_dedup_matches_brute_force(spark, extra):
     assert found == brute_substrings(rows_of(docs))
 
 
+@pytest.mark.parametrize("shard, chunk, cell, entries", [(500, 300, 8, 10), (2000, 700, 400, 100), (1 << 20, 1 << 20, 1 << 20, 1)])
+def test_substring_dedup_with_many_shards_and_narrow_arrays(spark, monkeypatch, shard, chunk, cell, entries):
+    """Down to a single cell in a row, no repeated window is lost and none is made up."""
+    for name, value in {"SHARD_BYTES": shard, "CHUNK_BYTES": chunk, "CELL_TEXT": cell, "SKETCH_ENTRIES": entries}.items():
+        monkeypatch.setattr(substring_dedup, name, value)
+    docs = documents(spark).repartition(3)
+    found = sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in rows_of(substring_dedup.digests(docs))), key=str)
+    assert found == brute_substrings(rows_of(docs))
+
+
+def test_sketches_add_up(spark):
+    """Arrays of two tasks, summed cell by cell, are those of one task that has both inputs, and never below the true counts."""
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 2**63, 500, dtype=np.uint64)
+    values = np.r_[x, x[:100], x[:20]]
+    for width in (1, 64, 4096):
+        for row in range(substring_dedup.DEPTH):
+            cells = substring_dedup.cells_of(values, row, width)
+            parts = [np.bincount(c, minlength=width) for c in np.split(cells, [250])]
+            merged = parts[0] + parts[1]
+            assert (merged == np.bincount(cells, minlength=width)).all()
+            true = np.r_[np.full(20, 3), np.full(80, 2), np.ones(400)]
+            assert (merged[cells[:500]] >= true).all()
+
+
 def test_substring_dedup_empty(spark):
     assert substring_dedup.digests(spark.createDataFrame([], DOCS)).count() == 0
 
