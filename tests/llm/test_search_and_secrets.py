@@ -1,7 +1,9 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -111,11 +113,44 @@ def test_decontamination_empty_sides(spark):
     assert decontamination.digests(spark.createDataFrame([], DOCS), none).count() == 0
 
 
-def test_proximity(spark):
-    docs = documents(spark, ["red fox jumps over the lazy dog", "dog sleeps while the brown lazy cat watches a very old red fox", "red", None, "dog red", "fox"])
-    phrases = spark.createDataFrame([(1, "fox red"), (2, "dog fox"), (3, "unicorn red")], "item_id long, text string")
-    got = {(r["doc_id"], r["item_id"]) for r in rows_of(decontamination.proximity_matches(docs, phrases, 3))}
-    assert got - {(None, "1"), (None, "2")} == {(0, "1"), (1, "1")}
+def test_index_is_of_postings(spark):
+    docs = spark.createDataFrame([(1, "Red fox, red dog"), (2, None), (3, "fox")], "doc_id long, text string")
+    places = decontamination.places_of(decontamination.items_of(spark.createDataFrame([(1, "fox red"), (2, "red")], "item_id long, text string")))
+    terms = {r["term"]: r["place"] for r in rows_of(places.filter("size = 2"))}
+    got = sorted((r["doc_id"], terms.get(r["term"]), r["pos"]) for r in rows_of(decontamination.build_index(docs, places)) if r["term"] != decontamination.LENGTH)
+    assert got == [(1, 0, 1), (1, 1, 0), (1, 1, 2), (3, 0, 0)]
+
+
+def test_common_words_and_shared_items(spark):
+    """Windows of one frequent word, items of equal words, items without id and repeated documents."""
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("a b".split()) for _ in range(rng.randrange(60))) for _ in range(60)] + ["a " * 300, "b a"]
+    items = [(1, "a " * 12), (2, "a " * 12), (None, "b b b b"), (3, "a b a b a b a b a b a b a"), (4, "b"), (5, "c a")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = documents(spark, texts)
+    found = sorted(((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in rows_of(decontamination.digests(docs, bench))), key=str)
+    assert found == brute_hits(rows_of(docs), rows_of(bench))
+
+
+@pytest.mark.parametrize("within", [1, 3, 9])
+def test_proximity(spark, within):
+    texts = ["red fox jumps over the lazy dog", "dog sleeps while the brown lazy cat watches a very old red fox", "red", None, "dog red", "fox", "fox red red a b c red", ""]
+    items = [(1, "fox red"), (2, "dog fox"), (3, "unicorn red"), (4, "red"), (5, None)]
+    docs = documents(spark, texts)
+    phrases = spark.createDataFrame(items, "item_id long, text string")
+    split = {(r["doc_id"], tuple(TOKEN.findall(lower(r["text"])))) for r in rows_of(docs)}
+    freq = Counter(w for r in rows_of(docs) for w in TOKEN.findall(lower(r["text"])))
+    want = set()
+    for item, text in items:
+        terms = set(TOKEN.findall(lower(text)))
+        if not terms or not all(freq[t] for t in terms):
+            continue
+        least = min(freq[t] for t in terms)
+        rarest = {t for t in terms if freq[t] == least}
+        assert len(rarest) == 1  # else either may be taken
+        for doc, w in split:
+            want |= {(doc, str(item), i) for i, x in enumerate(w) if x in rarest and all(t in w[max(0, i - within) : i + within + 1] for t in terms)}
+    assert {(r["doc_id"], r["item_id"], r["pos"]) for r in rows_of(decontamination.proximity_matches(docs, phrases, within))} == want
 
 
 SECRET_TEXTS = [
