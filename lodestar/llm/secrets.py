@@ -1,14 +1,17 @@
 """Secret scans with a trigram inverted index, in DataFrame functions alone.
 
 Each rule's pattern is parsed into a Boolean query over trigrams: an OR of clauses, each an AND of
-trigrams that any match must contain (case folded).  The trigrams that occur in a query are posted
-by document, a clause's postings are intersected, and a rule's pattern runs only over documents that
-satisfy one of its clauses.  A pattern without mandatory trigrams runs over all documents.
-
-Defined results: a null text is an empty one and has no span.  Results belong to a doc_id and a
-text, so differing texts under one id stay apart, and repeated rows stay repeated.  Spans are in
-code points, the end exclusive; spans of equal start come in the rules' order.  An empty table
-gives an empty result; other columns are ignored, whatever their names.
+trigrams that any match must contain (case folded).  One pass over the texts lists their own trigrams,
+as far as some query asks for them; the postings (trigram, doc_id, sig) are dealt out by trigram and
+stored.  A clause's lists are intersected from the shortest on, and a rule's pattern runs only over
+documents that satisfy one of its clauses.  A pattern without mandatory trigrams runs over all documents.
+
+Defined results: a null text is an empty one and has no span.  A very long text is scanned whole, by the
+task that holds its row, and places are summed up in blocks, so many spans cost little more than few.
+Letters in either case are A-Z and a-z alone: no other character that folds to one counts.  Results
+belong to a doc_id and a text, so differing texts under one id stay apart, and repeated rows stay
+repeated.  Spans are in code points, the end exclusive; spans of equal start come in the rules' order.
+An empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,6 +23,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.llm.common import shuffle_partitions, stored
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -31,9 +36,15 @@ class Rule:
     least: int = 1
 
 
+def either_case(word: str) -> str:
+    """A pattern for an ASCII word in either case."""
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+
+
+NAMES = "|".join(map(either_case, ("password", "passwd", "secret", "token", "api_?key")))
 #: The base rules, and the ones that the method adds.
 BASE = (
-    Rule("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 6),
+    Rule("assign", rf"""(?:{NAMES})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 6),
     Rule("access", r"AKIA[A-Z0-9]+", 0, 20),
     # Matches of [0-9a-f]+ are whole runs, so asking for 24 at once drops just the short ones.
     Rule("hex", r"[0-9a-f]{24,}", 0, 24),
@@ -47,6 +58,12 @@ ADDED = (
 RULES = BASE + ADDED
 #: Alternatives a pattern may branch into before what is known so far is closed off.
 MAX_CLAUSES = 64
+#: A trigram's list has a slice for so many partitions of the index.
+PARTITIONS_A_SLICE = 8
+#: Up to so many candidates (two longs and the names of rules each) are broadcast; more are joined by shuffle.
+MAX_BROADCAST_CANDIDATES = 500_000
+#: Places that are summed up one after the other.
+BLOCK = 256
 
 
 def _grams(run: str) -> frozenset[str]:
@@ -62,6 +79,9 @@ def trigram_query(pattern: str) -> list[frozenset[str]]:
 
     def follow(items, alts: set) -> set:
         for op, arg in items:
+            folded = {chr(x).lower() for o, x in arg if o is names.LITERAL} if op is names.IN else ()
+            if len(folded) == 1 and all(o is names.LITERAL for o, _ in arg):  # one letter in either case
+                op, arg = names.LITERAL, ord(folded.pop())
             if op is names.LITERAL:
                 alts = {(need, run + chr(arg).lower()) for need, run in alts}
             elif op is names.SUBPATTERN:
@@ -89,44 +109,69 @@ def trigram_query(pattern: str) -> list[frozenset[str]]:
     return [] if frozenset() in least else sorted(least, key=sorted)
 
 
-def posting_lists(docs: DataFrame, grams: list[str]) -> DataFrame:
-    """(trigram, doc_id, sig): the inverted index, over the trigrams that some rule asks for."""
-    folded = F.lower("text")
-    present = F.array_compact(F.array(*[F.when(F.contains(folded, F.lit(g)), F.lit(g)) for g in grams]))
-    return docs.select("doc_id", "sig", F.explode(present).alias("trigram"))
+def _pattern(grams: list[str]) -> str:
+    """A pattern that finds each place of the trigrams, overlapping ones too, by their first two characters."""
+    tails: dict[str, dict[str, list[str]]] = {}
+    for a, b, c in grams:
+        tails.setdefault(re.escape(a), {}).setdefault(re.escape(b), []).append(re.escape(c))
+    heads = [f"{a}(?:{'|'.join(f'{b}(?:{"|".join(c)})' for b, c in rest.items())})" for a, rest in tails.items()]
+    return f"(?=({'|'.join(heads)}))"
+
+
+def build_index(docs: DataFrame, grams: list[str]) -> DataFrame:
+    """(trigram, doc_id, sig): the posting lists of the trigrams that some rule asks for, in the shared folder."""
+    own = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_pattern(grams)), F.lit(1)))
+    lists = docs.select("doc_id", "sig", F.explode(own).alias("trigram"))
+    slices = -(-shuffle_partitions(docs.sparkSession) // PARTITIONS_A_SLICE)
+    dealt = lists.withColumn("slice", F.pmod(F.xxhash64("doc_id", "sig"), F.lit(slices))).repartition("trigram", "slice")
+    return stored(dealt.select("trigram", "doc_id", "sig"), "trigrams")
 
 
 def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame | None:
-    """(doc_id, sig, kinds): the rules that a document may satisfy, by intersecting postings; None: no rule has trigrams."""
+    """(doc_id, sig, kinds): the rules that a document may satisfy, by intersecting lists; None: no rule has trigrams."""
     asked = {r.kind: q for r in rules if (q := trigram_query(r.pattern))}
     if not asked:
         return None
-    grams = sorted({g for q in asked.values() for c in q for g in c})
-    lists = posting_lists(docs, grams)
-    # A posting takes part in every clause that names its trigram; the table of these is the rules'.
-    members = [(k, i) for k, q in asked.items() for i, _ in enumerate(q)]
-    found = lists.groupBy("doc_id", "sig").agg(F.collect_set("trigram").alias("has"))
-    holds = [F.when(F.size(F.array_except(F.array(*[F.lit(g) for g in sorted(asked[k][i])]), "has")) == 0, F.lit(k)) for k, i in members]
-    return found.select("doc_id", "sig", F.array_distinct(F.array_compact(F.array(*holds))).alias("kinds")).filter(F.size("kinds") > 0)
+    index = build_index(docs, sorted({g for q in asked.values() for c in q for g in c}))
+    named = [(kind, i, gram, 1 << at, (1 << len(clause)) - 1) for kind, q in asked.items() for i, clause in enumerate(q) for at, gram in enumerate(sorted(clause))]
+    rows = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(i).alias("clause"), F.lit(g).alias("trigram"), F.lit(bit).cast("long").alias("bit"), F.lit(need).cast("long").alias("need")) for k, i, g, bit, need in named])
+    members = docs.sparkSession.range(1).select(F.explode(rows).alias("x")).select("x.*")
+    # A clause's shortest list leads; the others' postings count only where it has the document.
+    lengths = index.groupBy("trigram").agg(F.count("*").alias("n"))
+    ranked = members.join(lengths, "trigram")
+    leads = ranked.groupBy("kind", "clause").agg(F.min_by("trigram", F.struct("n", "trigram")).alias("lead"))
+    posted = stored(index.join(F.broadcast(members.join(F.broadcast(leads), ["kind", "clause"])), "trigram"), "clauses")
+    first = posted.filter("trigram = lead").select(*[F.col(c).alias(f"__{c}") for c in ("kind", "clause", "doc_id", "sig")])
+    led = posted.join(first, F.expr("kind = __kind AND clause = __clause AND doc_id <=> __doc_id AND sig = __sig"), "left_semi")
+    met = led.groupBy("kind", "clause", "need", "doc_id", "sig").agg(F.bit_or("bit").alias("bits")).filter("bits = need")
+    return stored(met.groupBy("doc_id", "sig").agg(F.collect_set("kind").alias("kinds")), "candidates")
 
 
 SPANS = "array<struct<start:int,rank:int,kind:string,end:int>>"
 
 
-def spans_of(text: Column, rule: Rule, rank: int) -> Column:
-    """The rule's spans, leftmost and non-overlapping: places come from the lengths of what lies between matches."""
-    whole = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-    kept = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group))
-    parts = F.arrays_zip(F.transform(F.split(text, rule.pattern, -1), lambda x: F.char_length(x)).alias("gap"), F.transform(whole, lambda x: F.char_length(x)).alias("size"), F.transform(kept, lambda x: F.char_length(x)).alias("held"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out"))
+def running(sizes: Column, block: int = BLOCK) -> Column:
+    """For each element the sum of those before it: within blocks, and over the blocks."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    sums = lambda xs: F.aggregate(xs, start, lambda acc, x: F.struct((acc.at + x).alias("at"), F.concat(acc.out, F.array(acc.at)).alias("out")))
+    cuts = F.sequence(F.lit(0), F.greatest(F.size(sizes) - 1, F.lit(0)), F.lit(block))
+    inner = F.transform(cuts, lambda at: sums(F.slice(sizes, at + 1, F.lit(block))))
+    outer = sums(F.transform(inner, lambda b: b.at)).out
+    return F.flatten(F.transform(F.arrays_zip(inner.alias("inner"), outer.alias("base")), lambda z: F.transform(z["inner"]["out"], lambda v: v + z["base"])))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc.at + x["gap"]
-        end = begin + F.coalesce(x["size"], F.lit(0))
-        span = F.struct(begin.alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), end.alias("end"))
-        return F.struct(end.alias("at"), F.when(x["held"] >= rule.least, F.concat(acc.out, F.array(span))).otherwise(acc.out).alias("out"))
 
-    return F.aggregate(F.arrays_zip(parts["gap"].alias("gap"), parts["size"].alias("size"), parts["held"].alias("held")), start, step, lambda acc: acc.out)
+def spans_of(text: Column, rule: Rule, rank: int) -> Column:
+    """The rule's spans, leftmost and non-overlapping: places come from the lengths of what lies between matches."""
+    lengths = lambda xs: F.transform(xs, lambda x: F.char_length(x))
+    size = lengths(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)))
+    held = lengths(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group))) if rule.group else size
+    gap = lengths(F.split(text, rule.pattern, -1))
+    names = ("gap", "size", "held")
+    parts = F.arrays_zip(*[x.alias(n) for x, n in zip((gap, size, held), names, strict=True)])
+    before = running(F.transform(parts, lambda x: x["gap"] + F.coalesce(x["size"], F.lit(0))))
+    placed = F.filter(F.arrays_zip(parts.alias("x"), before.alias("at")), lambda z: z["x"]["held"] >= rule.least)
+    begin = lambda z: z["at"] + z["x"]["gap"]
+    return F.transform(placed, lambda z: F.struct(begin(z).alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), (begin(z) + z["x"]["size"]).alias("end")))
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -136,8 +181,9 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     if able is None:
         x = base.withColumn("kinds", F.array().cast("array<string>"))
     else:
+        count = able.count()
         able = able.select(F.col("doc_id").alias("id"), F.col("sig").alias("s"), "kinds")
-        x = base.join(able, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("sig") == F.col("s")), "left")
+        x = base.join(F.broadcast(able) if count <= MAX_BROADCAST_CANDIDATES else able, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("sig") == F.col("s")), "left")
     none = F.array().cast(SPANS)
     found = []
     for rank, rule in enumerate(rules):

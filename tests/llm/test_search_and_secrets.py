@@ -166,7 +166,8 @@ SECRET_TEXTS = [
     "-----BEGIN RSA PRIVATE KEY-----\nMIIE\n-----END RSA PRIVATE KEY-----",
     "eyJhbGciOiJI.eyJzdWIiOiIx.c2ln " * 3,
     "nothing here " * 2000,
-    "passwd=longenough\n" * 50,
+    "passwd=longenough\n" * 700,
+    "pa\u017f\u017fword=longenough to\u212aen=longenough PASSWORD=longenough",
 ]
 
 
@@ -188,7 +189,7 @@ def test_secrets_match_brute_force(spark, extra):
     assert secrets.digests(spark.createDataFrame([], DOCS)).count() == 0
 
 
-@pytest.mark.parametrize("pattern, query", [("abcd", [{"abc", "bcd"}]), ("ab|xyz", []), ("a[0-9]bcd", [{"bcd"}]), ("(?i:KEY)s?", [{"key"}]), ("x*abc+", [{"abc"}]), ("(abc){2}", [{"abc", "bca", "cab"}]), (".*", [])])
+@pytest.mark.parametrize("pattern, query", [("abcd", [{"abc", "bcd"}]), ("ab|xyz", []), ("a[0-9]bcd", [{"bcd"}]), ("(?i:KEY)s?", [{"key"}]), ("[Kk][eE][Yy]s?", [{"key"}]), ("[ab]bcd", [{"bcd"}]), ("x*abc+", [{"abc"}]), ("(abc){2}", [{"abc", "bca", "cab"}]), (".*", [])])
 def test_trigram_queries(pattern, query):
     assert [set(c) for c in secrets.trigram_query(pattern)] == query
 
