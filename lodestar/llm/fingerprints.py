@@ -7,9 +7,10 @@ fingerprint is the root and, after it, the shortened hashes of the leaves, so th
 texts can be told from their fingerprints alone.
 
 Defined results: a null text is an empty one, which has one empty section with one empty paragraph
-without a piece.  Rows keep their number; rows with equal doc_id are ordered by text, rows without
-one come last.  An empty table gives an empty result; other columns are ignored, whatever their
-names.
+without a piece.  A very long text is one row of one task; its tree and labels are in memory at once.
+Rows keep their number; rows with equal doc_id are ordered by text.  Rows without a doc_id have no
+place in the order: an empty text follows each, and they follow none.  An empty table gives an empty
+result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -63,20 +64,21 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def differing(a: Column, b: Column) -> Column:
-    """Where two trees of paragraph hashes differ: ``array<struct<section, paragraph>>``, counted from 0.
+    """Where two trees of paragraph hashes differ: ``array<struct<side, section, paragraph>>``, counted from 0 on each side.
 
-    Equal sections are skipped whole.  Places are those of the longer of the two.
+    Children are aligned by their hashes: a section that the other tree holds too is skipped whole,
+    wherever it stands, and of the others only the paragraphs that no differing section of the other
+    tree holds are edits.  So an inserted section marks none of those after it.
     """
-    longest = F.greatest(F.size(a), F.size(b))
-    none = F.array().cast("array<string>")
+    alone = lambda x, y: F.filter(F.transform(x, lambda s, i: F.struct(i.alias("section"), s.alias("held"))), lambda z: ~F.array_contains(F.transform(y, lambda s: F.array_join(s, ",")), F.array_join(z["held"], ",")))
 
-    def branch(i: Column) -> Column:
-        left, right = F.coalesce(F.get(a, i), none), F.coalesce(F.get(b, i), none)
-        count = F.greatest(F.size(left), F.size(right))
-        places = F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), lambda j: F.struct(i.alias("section"), j.alias("paragraph"), (~F.get(left, j).eqNullSafe(F.get(right, j))).alias("differs")))
-        return F.when(left == right, F.filter(places, lambda _: F.lit(False))).otherwise(F.filter(places, lambda x: x.differs))
+    def edits(mine: Column, theirs: Column, side: str) -> Column:
+        other = F.flatten(F.transform(theirs, lambda z: z["held"]))
+        places = F.flatten(F.transform(mine, lambda z: F.transform(z["held"], lambda h, j: F.struct(z["section"].alias("section"), j.alias("paragraph"), h.alias("hash")))))
+        return F.transform(F.filter(places, lambda x: ~F.array_contains(other, x["hash"])), lambda x: F.struct(F.lit(side).alias("side"), x["section"].alias("section"), x["paragraph"].alias("paragraph")))
 
-    return F.transform(F.flatten(F.transform(F.sequence(F.lit(0), longest - 1), branch)), lambda x: F.struct(x.section.alias("section"), x.paragraph.alias("paragraph")))
+    left, right = alone(a, b), alone(b, a)
+    return F.concat(edits(left, right, "left"), edits(right, left, "right"))
 
 
 def compare(pairs: DataFrame, left: str, right: str) -> DataFrame:
@@ -117,24 +119,23 @@ def with_next(docs: DataFrame) -> DataFrame:
     cuts = [i / ranges for i in range(1, ranges)]
     ids = base.filter(F.col("doc_id").isNotNull())
     bounds = sorted(set(ids.agg(F.percentile_approx("doc_id", cuts, 50 * ranges).alias("q")).first().q or [])) if cuts else []
-    # Ascending bounds; range numbers fall with the id, rows without an id come after all.
-    number = F.when(F.col("doc_id").isNull(), F.lit(len(bounds) + 1)).otherwise(F.lit(len(bounds)) - _bucket(F.col("doc_id"), bounds))
-    order = [F.col("doc_id").desc_nulls_last(), F.col("text")]
-    spread = base.withColumn("at", number.cast("int"))
+    # Ascending bounds; range numbers fall with the id.  Rows without an id are dealt out by their text.
+    number = F.lit(len(bounds)) - _bucket(F.col("doc_id"), bounds)
+    alone = -1 - F.pmod(F.xxhash64("text"), F.lit(ranges))
+    spread = base.withColumn("at", F.when(F.col("doc_id").isNull(), alone).otherwise(number).cast("int"))
     # One key for each range that has rows: its largest id.  As many rows as ranges.
-    heads = {r["at"]: r["top"] for r in spread.groupBy("at").agg(F.max("doc_id").alias("top")).collect()}
+    heads = {r["at"]: r["top"] for r in spread.filter("at >= 0").groupBy("at").agg(F.max("doc_id").alias("top")).collect()}
     used = sorted(heads)
-    if not used:
-        return base.withColumn("next", F.col("text"))
-    before = {used[i]: used[i - 1] for i in range(len(used))}  # the range before the first is the last
-    previous = F.create_map(*[F.lit(x) for k in used for x in (k, before[k])])
-    # Among rows with the largest id of a range, the one that sorts first is its head.
-    is_head = F.col("doc_id").eqNullSafe(F.create_map(*[y for k in used for y in (F.lit(k), F.lit(heads[k]).cast("long"))])[F.col("at")])
+    before = {at: used[i - 1] for i, at in enumerate(used)}  # the range before the first is the last
+    listed = lambda found, kind: F.array(*[F.lit(found.get(k)).cast(kind) for k in range(len(bounds) + 1)])
     own = F.struct(F.col("at").alias("at"), F.lit(False).alias("guest"))
-    guest = F.struct(previous[F.col("at")].alias("at"), F.lit(True).alias("guest"))
+    guest = F.struct(F.get(listed(before, "int"), F.col("at")).alias("at"), F.lit(True).alias("guest"))
+    # Among rows with the largest id of a range, the one that sorts first is its head.
+    is_head = F.coalesce(F.col("doc_id") == F.get(listed(heads, "long"), F.col("at")), F.lit(False))
     dealt = spread.select("doc_id", "text", F.explode(F.when(is_head, F.array(own, guest)).otherwise(F.array(own))).alias("to")).select("doc_id", "text", "to.at", "to.guest")
-    seen = Window.partitionBy("at").orderBy("guest", *order)
-    return dealt.withColumn("next", F.lead("text").over(seen)).filter(~F.col("guest")).select("doc_id", "text", "next")
+    seen = Window.partitionBy("at").orderBy("guest", F.col("doc_id").desc(), F.col("text"))
+    following = F.when(F.col("doc_id").isNull(), F.lit("")).otherwise(F.lead("text").over(seen))
+    return dealt.withColumn("next", following).filter(~F.col("guest")).select("doc_id", "text", "next")
 
 
 def edited(text: Column, following: Column) -> Column:
@@ -154,7 +155,7 @@ def near_texts(docs: DataFrame) -> DataFrame:
 
 ORACLE_SQL = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-o AS (SELECT doc_id, t, coalesce(lead(t) OVER (ORDER BY doc_id DESC), first_value(t) OVER (ORDER BY doc_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS nxt FROM d),
+o AS (SELECT doc_id, t, coalesce(lead(t) OVER (ORDER BY doc_id DESC), first_value(t) OVER (ORDER BY doc_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS nxt FROM d WHERE doc_id IS NOT NULL UNION ALL SELECT doc_id, t, '' FROM d WHERE doc_id IS NULL),
 e AS (SELECT *, substring(t, 1, length(t) - length(t) // 2) || substring(nxt, 1, length(t) // 2) AS edited FROM o),
 l AS (SELECT doc_id, length(t) AS n_chars, sha256(edited) AS edited_sha256, unnest(['t', 'e', 'n']) AS which, unnest([t, edited, nxt]) AS text FROM e),
 k AS (SELECT doc_id, n_chars, edited_sha256, which, list_transform(string_split(text, chr(10) || chr(10)), lambda s: list_transform(string_split(s, chr(10)), lambda p: list_transform(regexp_extract_all(p, '(?s).{{1,{PIECE_CHARS}}}'), lambda x: sha256(x)))) AS tree FROM l),

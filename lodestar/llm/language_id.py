@@ -11,7 +11,7 @@ which any compressor shortens, less the size of that piece alone; these sizes ar
 
 Defined results: a null or empty text, or one without a letter, is ``und`` with score 0 and is
 rejected.  Rows keep their number: repeated rows give repeated results, an empty table gives an
-empty result.  Ties go to the language that sorts first.  Other columns of the input are ignored,
+empty result.  A very long text is compressed block by block.  Ties go to the language that sorts first.  Other columns of the input are ignored,
 whatever their names.  With a single learned language every lettered text gets it with score 1.
 """
 
@@ -27,12 +27,15 @@ from pyspark.sql import functions as F
 
 from lodestar.llm.common import bound_batches
 
-#: Bounds of the training sample: documents of each language, characters cut from each of them, and
-#: bytes of each dictionary; languages with the most sampled text come first.
+#: Bounds of the training sample: documents of each language, characters cut from each of them, bytes of
+#: each dictionary, and bytes of all of them.  Every labelled language is learned; where there are so many
+#: that the last bound binds, each gets an equal share of it, in documents as in bytes.
 SAMPLE_DOCS = 400
 SAMPLE_CHARS = 600
 DICTIONARY_BYTES = 240_000
-MAX_LANGUAGES = 256
+ALL_BYTES = 64_000_000
+#: Up to so many languages' shares are broadcast; more are joined by shuffle.
+MAX_BROADCAST_LANGUAGES = 100_000
 #: Bytes that are compressed on their own, so that all parts of a long text weigh alike.
 BLOCK_BYTES = 1024
 LEVEL = 9
@@ -61,18 +64,21 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS, dictionary_bytes: int = DICTIONARY_BYTES) -> dict[str, bytes]:
     """Raw dictionary content of each language, from text and lang of rows that are not held out.
 
-    The sample is bounded by the three parameters, so what reaches the driver is too.  Which rows
+    The sample is bounded by the three parameters and ``ALL_BYTES``, so what reaches the driver is too.  Which rows
     are drawn depends on a hash of the id; of a long text an excerpt at a hashed place is taken.
     Languages are counted first, and only rows whose hash is low enough for about twice the sample
     are ranked, so what is shuffled doesn't grow with the table.
     """
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(MAX_LANGUAGES).collect()}
-    if not sizes:
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n")).select(F.col("lang").alias("__lang"), "n")
+    languages = sizes.count()
+    if not languages:
         return {}
-    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, (2 * sample_docs + 100) / n)])
+    dictionary_bytes = max(8, min(dictionary_bytes, ALL_BYTES // languages))
+    sample_docs = max(1, min(sample_docs, ALL_BYTES // (languages * sample_chars)))
     unit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 52)) / float(1 << 52)
-    labelled = labelled.filter(unit < F.try_element_at(share, F.col("lang")))
+    known = F.broadcast(sizes) if languages <= MAX_BROADCAST_LANGUAGES else sizes
+    labelled = labelled.select("doc_id", "text", "lang").join(known, F.col("lang") == F.col("__lang")).filter(unit < (2 * sample_docs + 100) / F.col("n"))
     length = F.char_length("text")
     start = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(length - sample_chars + 1, F.lit(1))) + 1
     cut = labelled.select("lang", unit.alias("draw"), F.substring(F.col("text"), start.cast("int"), F.lit(sample_chars)).alias("piece"))

@@ -2,13 +2,14 @@
 
 Lines become 128-bit key hashes.  The hashes are dealt out by equal ranges of their leading bits,
 sorted by hash, document and position, and streamed: the first document of a run of equal hashes
-keeps its lines.  A hash is first judged within one of ``SALTS`` slices of the documents, and only
-each slice's first holders meet again, so a line that a third of all documents hold makes no large
-run anywhere.  What comes back to a document is not text but a sparse bitmap: 64-bit words of
+keeps its lines.  A hash is first judged within a slice of the documents, and only each slice's first
+holders meet again.  There is a slice for every ``SLICE_DOCS`` documents, so a line that a third of all
+documents hold makes no run that grows with the table.  What comes back to a document is not text but a sparse bitmap: 64-bit words of
 dropped positions, with all-zero words left out.
 
 Defined results: a null or empty text is one empty line.  Rows with equal doc_id are one document
-as to who holds a key first; bitmaps belong to a doc_id and a text, so differing texts under one id
+as to who holds a key first; a very long text is split by the task that holds its row and is rows from
+there on; bitmaps belong to a doc_id and a text, so differing texts under one id
 stay apart.  A row without doc_id keeps all its lines and holds nothing.  Repeated rows stay
 repeated; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
@@ -23,7 +24,8 @@ from lodestar.llm.common import ascii_lower
 #: Stripped at both ends of a line: [\x20\x09-\x0D].
 BLANKS = " \t\n\x0b\x0c\r"
 MIN_KEY_CHARS = 10
-SALTS = 32
+#: Slices of the documents at least, and documents of a slice beyond that.
+SALTS, SLICE_DOCS = 32, 100_000
 #: Leading bits of a hash that name its range.
 RANGE_BITS = 12
 
@@ -45,8 +47,9 @@ def _held(docs: DataFrame, min_key_chars: int) -> DataFrame:
     return long.select(F.shiftrightunsigned("x.h1", 64 - RANGE_BITS).cast("int").alias("range"), "x.h1", "x.h2", "doc_id", "sig", "x.pos")
 
 
-def dropped_lines(docs: DataFrame, min_key_chars: int = MIN_KEY_CHARS, salts: int = SALTS) -> DataFrame:
+def dropped_lines(docs: DataFrame, min_key_chars: int = MIN_KEY_CHARS, salts: int | None = None) -> DataFrame:
     """(doc_id, sig, pos) of lines whose key a smaller doc_id holds."""
+    salts = salts or max(SALTS, -(-docs.count() // SLICE_DOCS))
     rows = _held(docs, min_key_chars).withColumn("slice", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")).repartition("range", "slice")
     in_slice = Window.partitionBy("range", "h1", "h2", "slice").orderBy("doc_id", "pos")
     judged = rows.withColumn("first", F.first("doc_id").over(in_slice.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
@@ -65,7 +68,7 @@ def drop_bitmaps(dropped: DataFrame) -> DataFrame:
     return words.groupBy("doc_id", "sig").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("words"))
 
 
-def deduplicate(docs: DataFrame, min_key_chars: int = MIN_KEY_CHARS, salts: int = SALTS) -> DataFrame:
+def deduplicate(docs: DataFrame, min_key_chars: int = MIN_KEY_CHARS, salts: int | None = None) -> DataFrame:
     """(doc_id, n_lines, n_dropped, kept): the documents with what is left of their texts."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return _applied(base, min_key_chars, salts).select("doc_id", F.col("__lines").alias("n_lines"), F.col("__dropped").alias("n_dropped"), F.col("__kept").alias("kept"))
@@ -73,13 +76,13 @@ def deduplicate(docs: DataFrame, min_key_chars: int = MIN_KEY_CHARS, salts: int
 
 def without_repeated_lines(docs: DataFrame) -> DataFrame:
     """The documents with all their columns; text is what is left of it and n_chars its length.  A null text stays null."""
-    x = _applied(docs, MIN_KEY_CHARS, SALTS)
+    x = _applied(docs, MIN_KEY_CHARS, None)
     text = F.when(F.col("text").isNotNull(), F.col("__kept"))
     new = {"text": text, "n_chars": F.char_length(text).cast("long")}
     return x.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
 
 
-def _applied(docs: DataFrame, min_key_chars: int, salts: int) -> DataFrame:
+def _applied(docs: DataFrame, min_key_chars: int, salts: int | None) -> DataFrame:
     """``docs`` and __lines (how many), __dropped (how many), __kept (the text that is left)."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     maps = drop_bitmaps(dropped_lines(base, min_key_chars, salts)).select(F.col("doc_id").alias("__id"), F.col("sig").alias("__sig"), F.col("words").alias("__words"))

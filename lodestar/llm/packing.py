@@ -10,11 +10,12 @@ one of the duplicate clusters that it holds.
 Only ids and lengths are shuffled, never text.  A hot source only adds bins, it makes no hot task:
 blocks depend on the hash of the id, and equal rows are counted before they are dealt.
 
-Defined results: a null or empty text is one piece of length 0.  A null source is a source of its
-own.  The cluster of a document is the hash of its text with white space and letter case folded,
+Defined results: a null or empty text is one piece of length 0.  All rows without a source are of one
+further source.  The cluster of a document is the hash of its text with white space and letter case folded,
 unless a column is named.  Repeated rows are packed as often as they occur, told apart by ``copy``.
 Ties in length go by id, piece and copy; ties in room go to the older bin.  An empty table gives an
-empty result; other columns are ignored, whatever their names.
+empty result; other columns are ignored, whatever their names.  A very long text is many pieces, which
+count towards the number of blocks like any others.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.llm.common import stored
+
 CAPACITY = 2048
 #: Items of a block, about; the only price of more blocks is one tail of half-filled bins for each.
 BLOCK_ITEMS = 8192
@@ -112,13 +115,15 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, cluster: str | None = None,
     """``SCHEMA`` rows, one for each piece of a document.  A 64-bit cluster hash that met another one's would only keep two documents apart."""
     label = F.xxhash64(F.col(cluster).cast("string")) if cluster else _cluster(F.col("text").cast("string"))
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), label.alias("cluster"), word_count(F.col("text").cast("string")).cast("long").alias("total"))
-    counted = sized.groupBy("doc_id", "source", "cluster", "total").agg(F.count("*").alias("copies"))
     pieces = F.greatest(F.ceil(F.col("total") / capacity).cast("int"), F.lit(1))
-    items = counted.select("doc_id", "source", "cluster", "total", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"), pieces.alias("pieces"))
+    counted = sized.groupBy("doc_id", "source", "cluster", "total").agg(F.count("*").alias("copies")).withColumn("pieces", pieces)
+    counted = stored(counted, "sizes")  # ids and lengths alone: counted first, then packed
+    total_items = counted.agg(F.sum(F.col("pieces") * F.col("copies")).alias("n")).first().n or 0
+    items = counted.select("doc_id", "source", "cluster", "total", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"), "pieces")
     items = items.select("doc_id", "source", "cluster", "copy", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), F.col("total"))
     size = F.least(F.lit(capacity).cast("long"), F.col("total") - F.col("piece") * capacity)
     items = items.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.col("source").isNull().alias("no_source"), "cluster", "copy", "piece", size.alias("n_words"))
-    blocks = max(1, -(-sized.count() // block_items))
+    blocks = max(1, -(-total_items // block_items))
     items = items.withColumn("block", F.pmod(F.xxhash64("doc_id", "cluster", "copy", "piece"), F.lit(blocks)).cast("int"))
 
     def run(block: pd.DataFrame) -> pd.DataFrame:

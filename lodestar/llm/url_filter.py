@@ -9,7 +9,7 @@ The canonical URL is the lower-cased host with a dot before it, a boundary symbo
 can equal, and the path; so a host rule can't match inside a path.
 
 Defined results: a null url or one without ``://`` has an empty host and path, no rule and the
-default verdict.  Of several fitting rules the longest wins; among equally long ones that with
+default verdict.  A very long url is stepped through whole.  Of several fitting rules the longest wins; among equally long ones that with
 the longer host, then the smaller text.  Repeated rows give repeated results, an empty table an
 empty result; other columns of the input are ignored, whatever their names.
 """

@@ -10,7 +10,8 @@ Unbroken stretches of candidates are contracted, and pointer jumping from the st
 over what is left (doubling the jumps each round) marks the records that can be reached.  Magic
 lines inside payloads are not reached; their pieces are put back into the payload that holds them.
 
-Defined results: a null payload is an empty one.  A page without id is always a response.  Repeated
+Defined results: a null payload is an empty one; a very long one is a row of its own, however many
+magic lines it holds.  A page without id is always a response.  Repeated
 rows give repeated records.  Line ends in a url are percent-encoded; a null url has no header.  A
 record without a length, or with one that doesn't lead to another record or the end of the file,
 ends its file's chain: nothing after it is returned.  Empty tables give empty archives and results;
@@ -189,8 +190,9 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> Dat
     owner = F.last(F.when(F.col("holds"), F.col("start")), ignorenulls=True).over(Window.partitionBy("file").orderBy("start"))
     parts = parts.withColumn("owner", owner).join(pieces(spark, path, True).select("file", "split", "idx", "raw"), ["file", "split", "idx"])
     joined = parts.groupBy("file", "owner").agg(F.array_sort(F.collect_list(F.struct("start", "raw"))).alias("p"))
-    magic = F.lit(MAGIC.encode())
-    text = F.aggregate("p", F.lit(b""), lambda a, p: F.concat(a, magic, p.raw))
+    magic = MAGIC.encode().hex().upper()
+    # Joined as hexadecimal text, in one go: appending piece by piece would copy what is there each time.
+    text = F.unhex(F.concat(F.lit(magic), F.array_join(F.transform("p", lambda p: F.hex(p.raw)), magic)))
     full = joined.select(F.col("file").alias("f"), "owner", text.alias("bytes")).join(holders, (F.col("f") == holders["file"]) & (F.col("owner") == holders["start"]))
     block = F.expr(f"substring(bytes, int(head) + {len(MAGIC) + 1}, int(body))")
     rest = full.withColumn("block", block).select("urn", "uri", "type", size, F.sha2("block", 256).alias("digest"), "refers", F.col("block").alias("payload") if payloads else F.lit(None).cast("binary").alias("payload"))

@@ -43,6 +43,13 @@ def test_line_dedup_long_document_and_hot_line(spark):
     assert found == brute_lines(rows_of(docs))
 
 
+@pytest.mark.parametrize("salts", [1, 7, 5000])
+def test_line_dedup_by_slices(spark, salts):
+    docs = documents(spark, [f"a shared line of text\nanother one, number {i % 9}" for i in range(80)])
+    found = sorted((r["doc_id"], r["n_dropped"]) for r in rows_of(line_dedup.deduplicate(docs.filter("doc_id IS NOT NULL"), salts=salts)))
+    assert found == [(d, n) for d, _, n, _ in sorted(x for x in brute_lines(rows_of(docs)) if x[0] is not None)]
+
+
 def test_line_dedup_keeps_columns_and_empty_tables(spark):
     docs = documents(spark)
     out = line_dedup.without_repeated_lines(docs)
@@ -51,10 +58,11 @@ def test_line_dedup_keeps_columns_and_empty_tables(spark):
 
 
 def brute_near(rows):
-    texts = sorted(((r["doc_id"], r["text"] or "") for r in rows), key=lambda p: (p[0] is None, -(p[0] or 0), p[1]))
+    texts = sorted(((r["doc_id"], r["text"] or "") for r in rows if r["doc_id"] is not None), key=lambda p: (-p[0], p[1]))
+    pairs = [(*x, texts[(i + 1) % len(texts)][1]) for i, x in enumerate(texts)] + [(None, r["text"] or "", "") for r in rows if r["doc_id"] is None]
     out = []
-    for i, (doc, text) in enumerate(texts):
-        following, half = texts[(i + 1) % len(texts)][1], len(text) // 2
+    for doc, text, following in pairs:
+        half = len(text) // 2
         out.append((doc, len(text), sha(text[: len(text) - half] + following[:half])))
     return sorted(out, key=str)
 
@@ -77,12 +85,20 @@ def test_fingerprints_of_edited_texts(spark, extra):
 
 def test_differing_branches_locate_edits(spark):
     a = "one\ntwo\n\nthree\nfour\n\nfive"
-    pairs = spark.createDataFrame([(a, a), (a, a.replace("four", "4")), (a, a + "\nsix"), (a, ""), ("", "")], "l string, r string")
-    got = [(r.left_root == r.right_root, r.likeness, [(d.section, d.paragraph) for d in r.differing]) for r in fingerprints.compare(pairs, "l", "r").collect()]
+    pairs = spark.createDataFrame([(a, a), (a, a.replace("four", "4")), (a, a + "\nsix"), (a, ""), ("", ""), (a, "new\n\n" + a), (a, "zero\n" + a)], "l string, r string")
+    got = [(r.left_root == r.right_root, r.likeness, [(d.side, d.section, d.paragraph) for d in r.differing]) for r in fingerprints.compare(pairs, "l", "r").collect()]
     assert got[0] == (True, 1.0, []) and got[4] == (True, 1.0, [])
-    assert got[1][0] is False and got[1][2] == [(1, 1)]
-    assert got[2][2] == [(2, 1)]
-    assert (0, 0) in got[3][2]
+    assert got[1][0] is False and got[1][2] == [("left", 1, 1), ("right", 1, 1)]
+    assert got[2][2] == [("right", 2, 1)]
+    assert got[3][2] == [("left", 0, 0), ("left", 0, 1), ("left", 1, 0), ("left", 1, 1), ("left", 2, 0), ("right", 0, 0)]
+    assert got[5][2] == got[6][2] == [("right", 0, 0)]  # what was inserted marks nothing after it
+
+
+def test_fingerprints_of_many_rows_without_id(spark):
+    rows = [(None, f"text {i % 7} " * (i % 5), "en", "s", 1) for i in range(60)] + [(i, f"own text {i}", "en", "s", 1) for i in range(40)]
+    docs = spark.createDataFrame(rows, DOCS)
+    found = rows_of(fingerprints.near_texts(docs))
+    assert sorted(((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in found), key=str) == brute_near(rows_of(docs))
 
 
 def test_fingerprints_of_few_rows(spark):

@@ -59,6 +59,13 @@ def test_packing_is_whole_and_without_conflicts(spark, extra):
     assert packing.pack(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_blocks_are_bounded_by_pieces(spark):
+    docs = spark.createDataFrame([(i, "w " * 900, "en", f"s{i}", 1800) for i in range(5)], DOCS)
+    rows = rows_of(packing.pack(docs, capacity=10, block_items=50))
+    blocks = Counter(r["bin_id"].split("-")[0] for r in rows)
+    assert len(rows) == 450 and len(blocks) > 5 and max(blocks.values()) < 90
+
+
 def bag(text):
     w = (text or "").lower().replace("\t", " ").replace("\x0b", " ").replace("\x0c", " ").replace("\r", " ").replace("\n", " ").split(" ")
     w = [x for x in w if x]

@@ -4,6 +4,7 @@ import fnmatch
 import hashlib
 import itertools
 import random
+import re
 
 import pytest
 
@@ -31,7 +32,8 @@ def test_shift_and_agrees_with_globs():
 
 
 def brute_url(url):
-    host, path = url_filter.split_url(url)
+    found = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url or "")
+    host, path = (re.sub("[A-Z]", lambda m: m[0].lower(), found[1]), found[2]) if found else ("", "")
     fits = [r for r in url_filter.RULES if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
     best = max(fits, key=lambda r: (len(r.text), len(r.host)), default=None)
     return host, path, best and best.text, best.verdict if best else "allow"
@@ -75,5 +77,12 @@ def test_warc_round_trip(spark, split):
     assert got[None]["record_type"] == "response" and len(got) == len(NASTY) + 1
 
 
+def test_payload_of_magic_lines_alone(spark):
+    """Pieces of one payload are joined in one go, however many there are."""
+    text = "WARC/1.1\r\n" * 60_000
+    rows = rows_of(warc.round_trip(spark.createDataFrame([(1, "u", text), (2, "v", "w" * 200)], PAGES)))
+    assert {r["page_id"]: r["payload_digest"] for r in rows} == {1: hashlib.sha256(text.encode()).hexdigest(), 2: hashlib.sha256(b"w" * 200).hexdigest()}
+
+
 def test_warc_empty(spark):
     assert warc.round_trip(spark.createDataFrame([], PAGES)).count() == 0
