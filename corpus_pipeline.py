@@ -1,8 +1,13 @@
 """The corpus pipeline: stages that each read what the one before kept.
 
 Each stage is called with the session, the documents that the one before returned, and the data
-folder.  All but the last return the columns of ``documents``.  An empty table passes through all
-stages as an empty table.
+folder.  All but the last return the columns of ``documents``.
+
+Defined results: null, empty and letterless texts go with the first stage.  Repeated rows and rows
+without doc_id pass it like any others; of equal or near texts one row stays, that of the least
+doc_id, and a row without one counts as having the largest.  Very long texts stay whole in all stages;
+packing cuts them into pieces.  An empty table passes through all stages as an empty table.  Further
+columns are kept up to the last stage, whatever their names.
 """
 
 from __future__ import annotations
@@ -13,7 +18,7 @@ from lodestar.llm import decontamination, language_id, line_dedup, near_dedup, p
 from lodestar.llm.common import stored, table
 
 #: Language identification compresses texts, signatures are hashed and packing is sequential within
-#: its blocks: DuckDB has no words for these, so tests hold the stages against brute force.
+#: its blocks: DuckDB has no words for these, so tests hold all stages together against a plain version.
 ORACLE_SQL = None
 
 
