@@ -85,7 +85,7 @@ def drop_stored(spark: SparkSession, path: str) -> None:
 
 
 #: Bounds of the batches in which rows go to Python: rows, and bytes where this Spark bounds them.
-BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 500, 4 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:

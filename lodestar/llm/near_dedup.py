@@ -56,9 +56,9 @@ BUCKET = 2048
 SPLIT_BANDS, SPLIT_ROWS, SPLIT_ROUNDS = 24, 4, 3
 #: Partners of a document that one search of a bucket may propose.  What is left over comes in the next round.
 PROPOSALS = 32
-CHUNK_BYTES = 2_500_000
+CHUNK_BYTES = 1_000_000
 #: Coordinates of all documents that a task signs at once.
-CHUNK_COORDINATES = 250_000
+CHUNK_COORDINATES = 120_000
 
 
 def elements(texts: pa.Array, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -162,7 +162,7 @@ def dart_signatures(doc: np.ndarray, x: np.ndarray, weight: np.ndarray, docs: in
 
 SIGNED = "doc_id long, h1 long, h2 long, bands array<long>"
 #: Bytes of text of the pairs that are verified at once.
-VERIFY_BYTES = 1_500_000
+VERIFY_BYTES = 800_000
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
