@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import bound_batches
+from lodestar.llm.common import bound_batches, stored
 
 #: Bounds of the training sample: documents of each language, characters cut from each of them, bytes of
 #: each dictionary, and bytes of all of them.  Every labelled language is learned; where there are so many
@@ -70,7 +70,7 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAM
     are ranked, so what is shuffled doesn't grow with the table.
     """
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n")).select(F.col("lang").alias("__lang"), "n")
+    sizes = stored(labelled.groupBy("lang").agg(F.count("*").alias("n")).select(F.col("lang").alias("__lang"), "n"), "languages")
     languages = sizes.count()
     if not languages:
         return {}
