@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import tempfile
 from collections import deque
 
 import numpy as np
@@ -75,20 +76,38 @@ def hop_levels(edges: DataFrame, sources: DataFrame, rounds: int) -> DataFrame:
     return relax(edges.withColumn("distance", F.lit(1.0)), sources, rounds).select("source", "node", F.col("distance").cast("int").alias("hops"))
 
 
-def components(edges: DataFrame, nodes: DataFrame, checkpoint_every: int = 4) -> DataFrame:
-    """(node, component): least node id of each component, by repeated least-neighbour labels."""
-    labels = nodes.select("node", F.col("node").alias("component"))
-    both = edges.select(F.col("src").alias("node"), F.col("dst").alias("other")).unionByName(edges.select(F.col("dst").alias("node"), F.col("src").alias("other"))).distinct()
-    turn = 0
+def _settled(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed to the shared folder of ``spark.checkpoint.dir``; only a local master falls back to a temporary one."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        named = context.getConf().get("spark.checkpoint.dir", None)
+        if named is None and context.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="lodestar-graph-"))
+    return df.checkpoint()
+
+
+def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, component): least node id of each component, a node without edges its own.
+
+    Alternating star contractions: each round ties a node's larger neighbours to its least one and
+    then its smaller ones, so long chains shrink by a factor, not by a hop.  Rounds are checkpointed
+    and hold no more edges than there were; a null end of an edge ties nothing.
+    """
+    e = _settled(edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).filter("u <> v").distinct())
+    before = None
     while True:
-        near = both.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("component").alias("least"))
-        fresh = labels.join(near, "node", "left").select("node", F.least("component", F.coalesce("least", "component")).alias("component"), F.col("component").alias("old"))
-        turn += 1
-        fresh = fresh.checkpoint() if turn % checkpoint_every == 0 else fresh.persist()
-        changed = fresh.filter("component <> old").limit(1).count()
-        labels = fresh.select("node", "component")
-        if not changed:
-            return labels
+        mutual = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        hub = mutual.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        outer = mutual.filter("v > u").join(hub, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        low = outer.groupBy("u").agg(F.min("v").alias("m"))
+        inner = outer.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        e = _settled(inner.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == before:
+            break
+        before = now
+    return nodes.join(e.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
 def segment_cells(x0: int, y0: int, x1: int, y1: int) -> list[tuple[int, int]]:

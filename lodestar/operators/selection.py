@@ -10,16 +10,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def capped_top(df: DataFrame, group: str, order: list[Column], caps: dict[str, int]) -> DataFrame:
-    """The first rows of each group, as many as its cap says; groups without a cap are left out."""
+def capped_top(df: DataFrame, group: str, order: list[Column], caps: DataFrame) -> DataFrame:
+    """The first rows of each group, as many as its cap says; groups without a cap are left out.
+
+    ``caps`` has the group's column and ``cap``, one row for each group.
+    """
     place = F.row_number().over(Window.partitionBy(group).orderBy(*order))
-    cap = F.coalesce(*[F.when(F.col(group) == k, F.lit(n)) for k, n in caps.items()])
-    return df.withColumn("place", place).filter(F.col("place") <= cap)
+    return df.join(caps.select(group, F.col("cap").alias("__cap")), group).withColumn("place", place).filter("place <= __cap").drop("__cap")
 
 
 def stable_order(id_col: Column, seed: int) -> Column:
     """A shuffled order that depends on the id and the seed alone."""
-    return F.xxhash64(id_col.cast("string"), F.lit(seed))
+    return F.md5(F.concat(id_col.cast("string"), F.lit(f":{seed}")))
 
 
 def stable_sample(df: DataFrame, group: list[str], id_col: str, n: int, seed: int) -> DataFrame:
@@ -49,7 +51,7 @@ def stratified_limit(df: DataFrame, group: str, order: list[str], total: int) ->
     before = F.coalesce(F.sum(spare).over(Window.orderBy(group).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     quotas = quotas.withColumn("__quota", F.col("__quota") + F.greatest(F.lit(0), F.least(spare, F.col("__left") - before))).select(group, "__quota")
     x = df.withColumn("__n", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
-    return x.join(F.broadcast(quotas), group).filter("__n <= __quota").drop("__n", "__quota")
+    return x.join(quotas, group).filter("__n <= __quota").drop("__n", "__quota")
 
 
 def balanced_sample(df: DataFrame, group: list[str], positive: str, id_col: str, limit: int | Column, seed: int) -> DataFrame:

@@ -29,10 +29,20 @@ def neighbour_lists(pairs: DataFrame, group: list[str]) -> DataFrame:
 
 
 def relations(objects: DataFrame, group: list[str], id_col: str) -> DataFrame:
-    """(group, target, anchor, type, margin) for ordered pairs of boxes with centre cx, cy, cz and size sx, sy, sz."""
-    side = lambda p: objects.select(*group, F.col(id_col).alias(f"{p}id"), *[F.col(c).alias(f"{p}{c}") for c in ("cx", "cy", "cz", "sx", "sy", "sz")])
-    x = side("a_").join(side("b_"), group).filter("a_id <> b_id")
+    """(group, target, anchor, type, margin) for ordered pairs of boxes with centre cx, cy, cz and size sx, sy, sz.
+
+    Every relation bounds the gap between the boxes in the plane, so pairs meet through cells as wide
+    as the group's largest box and that gap; boxes farther apart than two cells are never paired.
+    """
     c = F.col
+    reach = objects.groupBy(*group).agg((F.max(F.greatest("sx", "sy")) + NEAR_GAP + INSIDE_SLACK).alias("__reach"))
+    sized = objects.join(reach, group)
+    cell = lambda name: F.floor(c(name) / c("__reach")).cast("long")
+    side = lambda p: sized.select(*group, F.col(id_col).alias(f"{p}id"), cell("cx").alias(f"{p}gx"), cell("cy").alias(f"{p}gy"), *[F.col(n).alias(f"{p}{n}") for n in ("cx", "cy", "cz", "sx", "sy", "sz")])
+    around = F.explode(F.sequence(F.lit(-1), F.lit(1)))
+    left = side("a_").withColumnsRenamed({"a_gx": "__gx", "a_gy": "__gy"})
+    right = side("b_").withColumn("__dx", around).withColumn("__dy", around).withColumns({"__gx": c("b_gx") + c("__dx"), "__gy": c("b_gy") + c("__dy")})
+    x = left.join(right, [*group, "__gx", "__gy"]).filter("a_id <> b_id")
     flat = lambda p: (c(f"{p}cx"), c(f"{p}cy"), c(f"{p}sx"), c(f"{p}sy"))
     overlap, gap = geometry.overlap_ratio(*flat("a_"), *flat("b_")), geometry.edge_gap(*flat("a_"), *flat("b_"))
     bottom, top = (lambda p: c(f"{p}cz") - c(f"{p}sz") / 2), (lambda p: c(f"{p}cz") + c(f"{p}sz") / 2)
@@ -109,10 +119,19 @@ def path_deviation(predicted: DataFrame, reference: DataFrame, group: list[str],
     return near.groupBy(*group).agg(F.avg("d").alias("deviation"))
 
 
-def box_collisions(points: DataFrame, boxes: DataFrame, group: list[str], point_id: str, inflate: float) -> DataFrame:
-    """Share of each group's points inside any inflated box (cx, cy, sx, sy, yaw)."""
+def box_collisions(points: DataFrame, boxes: DataFrame, group: list[str], point_id: str, inflate: float, box_id: str | None = None) -> DataFrame:
+    """Share of each group's points inside any inflated box (cx, cy, sx, sy, yaw); with ``box_id`` a point's own box doesn't count.
+
+    Points meet boxes through cells as wide as half the diagonal of the group's largest box and the margin.
+    """
+    reach = boxes.groupBy(*group).agg((F.max(F.hypot("sx", "sy")) / 2 + inflate + 1e-9).alias("__reach"))
+    cell = lambda c: F.floor(F.col(c) / F.col("__reach")).cast("long")
+    around = F.explode(F.sequence(F.lit(-1), F.lit(1)))
+    near = boxes.join(reach, group).withColumn("__dx", around).withColumn("__dy", around).withColumns({"__gx": cell("cx") + F.col("__dx"), "__gy": cell("cy") + F.col("__dy")}).drop("__reach", "__dx", "__dy")
+    placed = points.join(reach, group).withColumns({"__gx": cell("x"), "__gy": cell("y")}).drop("__reach")
     inside = geometry.box_distance(F.col("x"), F.col("y"), F.col("cx"), F.col("cy"), F.col("sx"), F.col("sy"), F.col("yaw")) <= inflate
-    hit = points.join(boxes, group, "left").groupBy(*group, point_id).agg(F.max(F.coalesce(inside, F.lit(False)).cast("int")).alias("hit"))
+    other = F.lit(True) if box_id is None else F.coalesce(F.col(box_id) != F.col(point_id), F.lit(True))
+    hit = placed.join(near, [*group, "__gx", "__gy"], "left").groupBy(*group, point_id).agg(F.max(F.coalesce(inside & other, F.lit(False)).cast("int")).alias("hit"))
     return hit.groupBy(*group).agg(F.avg("hit").alias("collision_rate"))
 
 

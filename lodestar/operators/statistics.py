@@ -58,25 +58,62 @@ def apportion(weights: DataFrame, weight: str, name: str, total: int) -> DataFra
     return x.withColumn("__left", left).withColumn("__n", F.row_number().over(order)).select(*weights.columns, (F.col("__floor") + F.when(F.col("__n") <= F.col("__left"), 1).otherwise(0)).cast("long").alias("target"))
 
 
-def cluster_bootstrap(df: DataFrame, value: str, cluster: str, replicates: int, seed: int) -> DataFrame:
-    """(estimate, low, high): mean with a 95% interval from resampling whole clusters.
-
-    Clusters collapse to sums first; each then draws a hashed Poisson(1) weight for every replicate,
-    so nothing but (replicate, sum, count) is shuffled.
-    """
-    sums = df.groupBy(cluster).agg(F.sum(value).cast("double").alias("s"), F.count(value).alias("n"))
-    drawn = sums.select("s", "n", cluster, F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
-    u = F.pmod(F.xxhash64(F.col(cluster).cast("string"), "replicate", F.lit(seed)), F.lit(1 << 52)) / float(1 << 52)
+def _poisson_steps() -> list[float]:
+    """Cumulative probabilities of a Poisson(1) count below 11."""
     steps, p, total = [], 0.36787944117144233, 0.0
     for i in range(1, 12):
         total += p
         steps.append(total)
         p /= i
-    weight = sum((F.when(u >= t, 1).otherwise(0) for t in steps), F.lit(0))
-    means = drawn.groupBy("replicate").agg((F.sum(F.col("s") * weight) / F.sum(F.col("n") * weight)).alias("m"))
-    interval = means.agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
+    return steps
+
+
+POISSON_STEPS = _poisson_steps()
+
+
+def resampled(sums: DataFrame, group: list[str], cluster: str, replicates: int, seed: int) -> DataFrame:
+    """(group, replicate, m): means of resampled clusters; ``sums`` has the group, the cluster, and s and n of each.
+
+    Each cluster draws a hashed Poisson(1) weight for every replicate, the same in every group; a replicate
+    without any cluster has no mean.  Nothing but (replicate, sum, count) is shuffled.
+    """
+    drawn = sums.select(*group, "s", "n", cluster, F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
+    digest = F.md5(F.concat_ws(":", F.col(cluster).cast("string"), F.col("replicate").cast("string"), F.lit(str(seed))))
+    u = F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
+    weight = sum((F.when(F.col("__u") >= t, 1).otherwise(0) for t in POISSON_STEPS), F.lit(0))
+    weighed = drawn.withColumn("__u", u).withColumn("__w", weight)
+    total = F.sum(F.col("n") * F.col("__w"))
+    return weighed.groupBy(*group, "replicate").agg(F.sum(F.col("s") * F.col("__w")).alias("__s"), total.alias("__n")).filter("__n > 0").select(*group, "replicate", (F.col("__s") / F.col("__n")).alias("m"))
+
+
+def _interval() -> list[Column]:
+    return [F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high")]
+
+
+def cluster_bootstrap(df: DataFrame, value: str, cluster: str, replicates: int, seed: int) -> DataFrame:
+    """(estimate, low, high): mean with a 95% interval from resampling whole clusters, which collapse to sums first."""
+    sums = df.groupBy(cluster).agg(F.sum(value).cast("double").alias("s"), F.count(value).alias("n"))
     point = sums.agg((F.sum("s") / F.sum("n")).alias("estimate"))
-    return point.crossJoin(F.broadcast(interval))
+    return point.crossJoin(F.broadcast(resampled(sums, [], cluster, replicates, seed).agg(*_interval())))
+
+
+def paired_bootstrap(df: DataFrame, group: list[str], cluster: str, before: str, after: str, replicates: int, seed: int) -> DataFrame:
+    """(group, low, high): 95% interval of the mean difference of two measurements of the same items."""
+    sums = df.groupBy(*group, cluster).agg(F.sum(F.col(after) - F.col(before)).cast("double").alias("s"), F.count(F.col(after) - F.col(before)).alias("n"))
+    return resampled(sums, group, cluster, replicates, seed).groupBy(*group).agg(*_interval())
+
+
+def cross_benchmark(df: DataFrame, benchmark: str, cluster: str, before: str, after: str, replicates: int, seed: int, digits: int = 6) -> DataFrame:
+    """Per benchmark both means, their difference and its paired interval; then the mean over benchmarks (macro) and over all items (pooled)."""
+    means = [F.count("*").alias("n"), F.avg(before).alias("before"), F.avg(after).alias("after")]
+    per = df.groupBy(benchmark).agg(*means)
+    whole = per.join(paired_bootstrap(df, [benchmark], cluster, before, after, replicates, seed), benchmark)
+    unknown = F.lit(None).cast("double")
+    macro = per.agg(F.sum("n").alias("n"), F.avg("before").alias("before"), F.avg("after").alias("after")).select(F.lit("macro").alias(benchmark), "n", "before", "after", unknown.alias("low"), unknown.alias("high"))
+    pooled = df.agg(*means).select(F.lit("pooled").alias(benchmark), "n", "before", "after", unknown.alias("low"), unknown.alias("high"))
+    rounded = lambda c: F.round(c, digits)
+    rows = whole.unionByName(macro).unionByName(pooled)
+    return rows.select(benchmark, "n", rounded("before").alias("before"), rounded("after").alias("after"), rounded(F.col("after") - F.col("before")).alias("delta"), rounded("low").alias("low"), rounded("high").alias("high"))
 
 
 def collapse_warnings(counts: DataFrame, axis: str, n: str, threshold: float = 0.9) -> DataFrame:

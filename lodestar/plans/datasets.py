@@ -75,8 +75,7 @@ SELECT p_brand, p_type, score, parts, place FROM r WHERE place <= CASE WHEN p_br
 def hard_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hardest bundles of each brand, up to its cap."""
     x = facts(spark, sf_dir).groupBy("p_brand", "p_type").agg(F.max("score").alias("score"), F.count("*").alias("parts"))
-    brands = [r.p_brand for r in Tables(spark, sf_dir).part.select("p_brand").distinct().collect()]  # a fixed, small domain
-    caps = {b: 5 if b in ("Brand#11", "Brand#12", "Brand#13") else 2 for b in brands}
+    caps = Tables(spark, sf_dir).part.select("p_brand").distinct().withColumn("cap", F.when(F.col("p_brand").isin("Brand#11", "Brand#12", "Brand#13"), 5).otherwise(2))
     return selection.capped_top(x, "p_brand", [F.col("score").desc(), F.col("p_type")], caps)
 
 
@@ -180,12 +179,42 @@ def relative_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("event_id", F.round(stats.mean_relative_accuracy(answer, F.col("user_id") + 1), 4).alias("mra"))
 
 
-@query()
+def _poisson_sql(u: str) -> str:
+    """The hashed weight: how many steps of the Poisson(1) distribution lie at or below u."""
+    return "(" + " + ".join(f"({u} >= {step!r})::INT" for step in statistics.POISSON_STEPS) + ")"
+
+
+@query(f"""WITH s AS (SELECT source, sum(quality)::DOUBLE AS s, count(quality) AS n FROM documents JOIN labels USING (doc_id) GROUP BY source),
+d AS (SELECT s, n, r, ('0x' || substr(md5(source || ':' || r || ':7'), 1, 13))::BIGINT / {float(1 << 52)!r} AS u FROM s, (SELECT unnest(range(10000)) AS r)),
+m AS (SELECT r, sum(s * {_poisson_sql("u")}) / sum(n * {_poisson_sql("u")}) AS m FROM d GROUP BY r HAVING sum(n * {_poisson_sql("u")}) > 0)
+SELECT (SELECT round(sum(s) / sum(n), 6) FROM s) AS estimate, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m""")
 def bootstrap_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share of documents of good quality with an interval from resampled sources."""
+    """Share of documents of good quality with an interval from 10,000 resamples of whole sources."""
     t = Tables(spark, sf_dir)
     x = t.documents.select("doc_id", "source").join(t.labels, "doc_id")
-    return statistics.cluster_bootstrap(x, "quality", "source", 1000, 7)
+    found = statistics.cluster_bootstrap(x, "quality", "source", 10_000, 7)
+    return found.select(*[F.round(c, 6).alias(c) for c in found.columns])
+
+
+_PAIRED = """
+c AS (SELECT user_id % 50 AS cluster, event_type AS benchmark, value > 50 AS before, value > 45 AS after FROM events),
+p AS (SELECT benchmark, cluster, sum(after::INT - before::INT)::DOUBLE AS s, count(*) AS n FROM c GROUP BY benchmark, cluster),
+"""
+
+
+@query(f"""WITH {_PAIRED}
+d AS (SELECT benchmark, s, n, r, ('0x' || substr(md5(cluster || ':' || r || ':11'), 1, 13))::BIGINT / {float(1 << 52)!r} AS u FROM p, (SELECT unnest(range(2000)) AS r)),
+m AS (SELECT benchmark, r, sum(s * {_poisson_sql("u")}) / sum(n * {_poisson_sql("u")}) AS m FROM d GROUP BY benchmark, r HAVING sum(n * {_poisson_sql("u")}) > 0),
+i AS (SELECT benchmark, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM m GROUP BY benchmark),
+a AS (SELECT benchmark, count(*) AS n, avg(before::INT) AS before, avg(after::INT) AS after FROM c GROUP BY benchmark)
+SELECT benchmark, n, round(before, 6) AS before, round(after, 6) AS after, round(after - before, 6) AS delta, round(low, 6) AS low, round(high, 6) AS high FROM a JOIN i USING (benchmark)
+UNION ALL SELECT 'macro', sum(n)::BIGINT, round(avg(before), 6), round(avg(after), 6), round(avg(after) - avg(before), 6), NULL, NULL FROM a
+UNION ALL SELECT 'pooled', count(*), round(avg(before::INT), 6), round(avg(after::INT), 6), round(avg(after::INT) - avg(before::INT), 6), NULL, NULL FROM c""")
+def cross_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accuracy before and after for each benchmark with a paired interval, then the mean over benchmarks and over all items."""
+    events = Tables(spark, sf_dir).events
+    rows = events.select((F.col("user_id") % 50).alias("cluster"), F.col("event_type").alias("benchmark"), (F.col("value") > 50).cast("int").alias("before"), (F.col("value") > 45).cast("int").alias("after"))
+    return statistics.cross_benchmark(rows, "benchmark", "cluster", "before", "after", 2000, 11)
 
 
 @query("""WITH r AS (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY role ORDER BY conv_id, turn) AS n, count(*) OVER (PARTITION BY role) AS c FROM conversations) SELECT conv_id, turn, role FROM r WHERE n <= greatest(1, floor(c * 0.2))""")
@@ -203,7 +232,10 @@ def stratified_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.stratified_limit(Tables(spark, sf_dir).customer.select("c_custkey", "c_mktsegment"), "c_mktsegment", ["c_custkey"], 101)
 
 
-@query()
+@query("""WITH g AS (SELECT doc_id, source, coalesce(quality = 1, false) AS good FROM documents JOIN labels USING (doc_id)),
+c AS (SELECT source, sum(good::INT) AS p, sum((NOT good)::INT) AS n FROM g GROUP BY source), k AS (SELECT *, least(n, 40 - least(p, n, 20)) AS neg FROM c),
+r AS (SELECT *, row_number() OVER (PARTITION BY source, good ORDER BY md5(doc_id || ':7'), doc_id) AS i FROM g)
+SELECT doc_id, r.source, good FROM r JOIN k ON r.source = k.source WHERE i <= CASE WHEN good THEN least(p, 40 - neg) ELSE neg END""")
 def balanced_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each source at most 40 documents with no more good than bad ones."""
     t = Tables(spark, sf_dir)

@@ -8,7 +8,7 @@ their balances differ.  A route must end in the region of the order's customer.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.operators import scoring, sets
@@ -38,34 +38,33 @@ def suppliers(t: Tables) -> DataFrame:
     return t.supplier.join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "region", F.col("s_acctbal").alias("bal"))
 
 
-def answers(t: Tables) -> DataFrame:
-    """(question_id, path): the suppliers of each order in line order."""
-    lines = t.lineitem.select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("x"))
-    return lines.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x.l_suppkey).alias("path")).withColumnRenamed("l_orderkey", "question_id")
-
-
 def walked(t: Tables) -> DataFrame:
-    """(question_id, path, hops, legal_hops, first_legal, length).
+    """(question_id, path, hops, legal_hops, first_legal, length, and supplier, region and balance of both ends).
 
-    Whether a hop is legal follows from its two suppliers, so no table of edges is formed.  The rows
-    stay dealt by question from the first aggregate on, so the second one moves nothing.
+    Whether a hop is legal follows from its two suppliers, so no table of edges is formed.  A line
+    takes its supplier's facts before it meets the next line of its order, so lines are joined once;
+    the rows are dealt by order once, for the window and the aggregate.  No array is on a row of a hop.
     """
-    side = lambda p: suppliers(t).select(F.col("s_suppkey").alias(p), F.col("region").alias(f"{p}_region"), F.col("bal").alias(f"{p}_bal"))
-    each = answers(t).select("question_id", "path", F.posexplode_outer(hops(F.col("path"))).alias("pos", "hop")).select("question_id", "path", "pos", "hop.src", "hop.dst")
-    legal = (F.col("src") != F.col("dst")) & (F.col("src_region") == F.col("dst_region"))
-    x = each.join(side("src"), "src", "left").join(side("dst"), "dst", "left").withColumn("distance", F.when(legal, F.round(F.abs(F.col("src_bal") - F.col("dst_bal")), 2)))
-    return x.groupBy("question_id").agg(F.first("path").alias("path"), *hop_sums())
+    known = suppliers(t).select(F.col("s_suppkey").alias("l_suppkey"), "region", "bal")
+    lines = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").join(known, "l_suppkey", "left")
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    ahead = lambda c: F.lead(c).over(w)
+    x = lines.select(F.col("l_orderkey").alias("question_id"), (F.row_number().over(w) - 1).alias("pos"), F.col("l_suppkey").alias("src"), "region", "bal", ahead("l_suppkey").alias("dst"), ahead("region").alias("dst_region"), ahead("bal").alias("dst_bal"))
+    legal = (F.col("src") != F.col("dst")) & (F.col("region") == F.col("dst_region"))
+    x = x.withColumn("distance", F.when(legal, F.round(F.abs(F.col("bal") - F.col("dst_bal")), 2)))
+    ends = [f(F.struct("src", "region", "bal"), "pos").alias(name) for f, name in ((F.min_by, "first"), (F.max_by, "last"))]
+    path = F.transform(F.array_sort(F.collect_list(F.struct("pos", "src"))), lambda p: p.src)
+    per = x.groupBy("question_id").agg(path.alias("path"), *hop_sums(), *ends)
+    return per.select("question_id", "path", "hops", "legal_hops", "first_legal", "length", *[F.col(f"{e}.{c}").alias(f"{e}_{n}") for e in ("first", "last") for c, n in (("src", "sup"), ("region", "region"), ("bal", "bal"))])
 
 
 def flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each question with all gates."""
     t = Tables(spark, sf_dir)
-    side = lambda p: suppliers(t).select(F.col("s_suppkey").alias(f"{p}_sup"), F.col("region").alias(f"{p}_region"), F.col("bal").alias(f"{p}_bal"))
     nation = t.nation.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_regionkey").alias("home"))
     asked = t.orders.join(t.customer.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(nation), "c_nationkey")
     asked = asked.select(F.col("o_orderkey").alias("question_id"), F.col("o_orderpriority").alias("run"), F.col("o_orderstatus").alias("task"), "home")
-    x = walked(t).join(asked, "question_id")
-    x = x.withColumns({"first_sup": F.get("path", 0), "last_sup": F.element_at("path", -1)}).join(side("first"), "first_sup").join(side("last"), "last_sup")
+    x = walked(t).join(asked, "question_id").filter("first_region IS NOT NULL AND last_region IS NOT NULL")
     odd = lambda n: F.col("question_id") % n == 0
     empty = F.array().cast("array<bigint>")
     x = x.withColumns(
@@ -128,12 +127,13 @@ def prefix_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {ROUTE_SQL},
-m AS (SELECT task, quantile_cont(n::DOUBLE, 0.5) AS med FROM t GROUP BY task)
+m AS (SELECT o_orderstatus AS task, quantile_cont(n::DOUBLE, 0.5) AS med FROM (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey) JOIN orders ON l_orderkey = o_orderkey GROUP BY o_orderstatus)
 SELECT t.task, n > med AS heavy, count(*) AS questions, round(avg((first_legal = 1 AND at_goal)::INT), 6) AS anchored_rate, round(sum((first_legal = 1 AND at_goal AND legal_hops < hops)::INT) / greatest(sum((first_legal = 1 AND at_goal)::INT), 1), 6) AS suffix_failure FROM t JOIN m ON t.task = m.task GROUP BY t.task, heavy""")
 def construct_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Anchored answers (first hop legal, goal hit) and their illegal middles, by load above or up to the task's median."""
-    x = flagged(spark, sf_dir)
-    x = x.join(F.broadcast(x.groupBy("task").agg(F.percentile("n", F.lit(0.5)).alias("med"))), "task")
+    t = Tables(spark, sf_dir)
+    loads = t.lineitem.groupBy("l_orderkey").agg(F.count("*").alias("n")).join(t.orders.select("o_orderkey", F.col("o_orderstatus").alias("task")), F.col("l_orderkey") == F.col("o_orderkey"))
+    x = flagged(spark, sf_dir).join(loads.groupBy("task").agg(F.percentile("n", F.lit(0.5)).alias("med")), "task")
     anchored = (F.col("first_legal") == 1) & (F.size("goals") > 0)
     failing = anchored & (F.col("legal_hops") < F.col("hops"))
     count = lambda c: F.sum(c.cast("int"))

@@ -182,14 +182,13 @@ def path_deviation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.path_deviation(p.filter("vec_id % 2 = 0"), p.filter("vec_id % 2 = 1"), ["label"], "x", "y").withColumn("deviation", F.round("deviation", 6))
 
 
-@query(f"""WITH {_POINTS}, h AS (SELECT a.label, a.vec_id, max((sqrt(pow(greatest(abs(a.x - b.x) - b.sx / 2, 0), 2) + pow(greatest(abs(a.y - b.y) - b.sy / 2, 0), 2)) <= 0.01)::INT) AS hit FROM pt AS a JOIN pt AS b ON a.label = b.label WHERE a.vec_id % 2 = 0 AND b.vec_id % 10 = 1 GROUP BY a.label, a.vec_id)
+@query(f"""WITH {_POINTS}, h AS (SELECT a.label, a.vec_id, max((sqrt(pow(greatest(abs(a.x - b.x) - b.sx / 2, 0), 2) + pow(greatest(abs(a.y - b.y) - b.sy / 2, 0), 2)) <= 0.01)::INT) AS hit FROM pt AS a JOIN pt AS b ON a.label = b.label WHERE a.vec_id <> b.vec_id GROUP BY a.label, a.vec_id)
 SELECT label, round(avg(hit), 6) AS collision_rate FROM h GROUP BY label""")
 def box_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share of points inside an inflated box."""
+    """Share of points inside an inflated box other than their own."""
     p = points(spark, sf_dir)
-    boxes = p.filter("vec_id % 10 = 1").select("label", F.col("x").alias("cx"), F.col("y").alias("cy"), "sx", "sy", F.lit(0.0).alias("yaw"))
-    even = p.filter("vec_id % 2 = 0").select("label", "vec_id", "x", "y").join(boxes.select("label").distinct(), "label", "left_semi")
-    return spatial.box_collisions(even, boxes, ["label"], "vec_id", 0.01).withColumn("collision_rate", F.round("collision_rate", 6))
+    boxes = p.select("label", F.col("vec_id").alias("box"), F.col("x").alias("cx"), F.col("y").alias("cy"), "sx", "sy", F.lit(0.0).alias("yaw"))
+    return spatial.box_collisions(p.select("label", "vec_id", "x", "y"), boxes, ["label"], "vec_id", 0.01, "box").withColumn("collision_rate", F.round("collision_rate", 6))
 
 
 @query("""WITH x AS (SELECT s_suppkey, s_nationkey, s_suppkey % 3 AS color, s_acctbal FROM supplier),
@@ -215,18 +214,18 @@ e AS (SELECT s, d, 1.0::DOUBLE + abs(s - d) % 5 AS w FROM e0 UNION ALL SELECT d,
 """
 
 
-@query(f"""WITH RECURSIVE {_NATIONS}, r(source, node, distance, hops) AS (SELECT n_nationkey::BIGINT, n_nationkey::BIGINT, 0.0::DOUBLE, 0 FROM nation WHERE n_nationkey < 4 UNION SELECT r.source, e.d, r.distance + e.w, r.hops + 1 FROM r JOIN e ON r.node = e.s WHERE r.hops < 6)
+@query(f"""WITH RECURSIVE {_NATIONS}, r(source, node, distance, hops) AS (SELECT n_nationkey::BIGINT, n_nationkey::BIGINT, 0.0::DOUBLE, 0 FROM nation UNION SELECT r.source, e.d, r.distance + e.w, r.hops + 1 FROM r JOIN e ON r.node = e.s WHERE r.hops < 6)
 SELECT source, node, min(distance) AS distance FROM r GROUP BY source, node""")
 def bounded_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Least distances from four nations over up to six hops."""
-    sources = Tables(spark, sf_dir).nation.filter("n_nationkey < 4").select(F.col("n_nationkey").cast("long").alias("source"))
+    """Least distances from each nation over up to six hops."""
+    sources = Tables(spark, sf_dir).nation.select(F.col("n_nationkey").cast("long").alias("source"))
     return graph.relax(_nation_edges(spark, sf_dir), sources, 6)
 
 
-@query(f"""WITH RECURSIVE {_NATIONS}, r(source, node, hops) AS (SELECT n_nationkey::BIGINT, n_nationkey::BIGINT, 0 FROM nation WHERE n_nationkey < 4 UNION SELECT r.source, e.d, r.hops + 1 FROM r JOIN e ON r.node = e.s WHERE r.hops < 5)
+@query(f"""WITH RECURSIVE {_NATIONS}, r(source, node, hops) AS (SELECT n_nationkey::BIGINT, n_nationkey::BIGINT, 0 FROM nation UNION SELECT r.source, e.d, r.hops + 1 FROM r JOIN e ON r.node = e.s WHERE r.hops < 5)
 SELECT source, node, min(hops) AS hops FROM r GROUP BY source, node""")
 def hop_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sources = Tables(spark, sf_dir).nation.filter("n_nationkey < 4").select(F.col("n_nationkey").cast("long").alias("source"))
+    sources = Tables(spark, sf_dir).nation.select(F.col("n_nationkey").cast("long").alias("source"))
     return graph.hop_levels(_nation_edges(spark, sf_dir), sources, 5)
 
 
