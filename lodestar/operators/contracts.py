@@ -48,6 +48,12 @@ def delta_gates(after: DataFrame, before: DataFrame, key: str, thresholds: dict[
     return x.select(key, *[d.alias(f"delta_{m}") for m, d in delta.items()], failing.alias("failing"), (F.size(failing) == 0).alias("passed"))
 
 
+def multiset_difference(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Rows that the tables hold differently often, with how much more often the left one has them; nulls are equal."""
+    signed = left.withColumn("__sign", F.lit(1).cast("long")).unionByName(right.withColumn("__sign", F.lit(-1).cast("long")))
+    return signed.groupBy(*left.columns).agg(F.sum("__sign").alias("surplus")).filter("surplus <> 0")
+
+
 def same_multiset(left: DataFrame, right: DataFrame) -> bool:
     """Whether two tables have the same rows, as often."""
-    return left.exceptAll(right).isEmpty() and right.exceptAll(left).isEmpty()
+    return multiset_difference(left, right).isEmpty()
