@@ -214,6 +214,116 @@ def grid_routes(cells: DataFrame, questions: DataFrame, graph: str) -> DataFrame
     return questions.groupBy(graph).cogroup(cells.groupBy(graph)).applyInPandas(run, f"{graph} {kind}, question_id long, steps int, length double, reachable long")
 
 
+def _grid(cells: pd.DataFrame) -> tuple[np.ndarray, int, int]:
+    """Free cells as an array, and the cell of its corner; cells that aren't listed aren't free."""
+    x0, y0 = int(cells["gx"].min()), int(cells["gy"].min())
+    free = np.zeros((int(cells["gx"].max()) - x0 + 1, int(cells["gy"].max()) - y0 + 1), bool)
+    free[cells["gx"] - x0, cells["gy"] - y0] = ~cells["occupied"].to_numpy(bool)
+    return free, x0, y0
+
+
+def _snapped(free: np.ndarray, at: tuple[int, int], reach: int) -> tuple[int, int] | None:
+    """The cell, or the first free one of the nearest square ring around it."""
+    for r in range(reach + 1):
+        for dx in range(-r, r + 1):
+            for dy in range(-r, r + 1):
+                x, y = at[0] + dx, at[1] + dy
+                if max(abs(dx), abs(dy)) == r and 0 <= x < free.shape[0] and 0 <= y < free.shape[1] and free[x, y]:
+                    return x, y
+    return None
+
+
+def _straightened(free: np.ndarray, path: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """From each kept point on to the farthest one that a free straight line reaches; neighbours always do."""
+    kept, i = [path[0]], 0
+    while i < len(path) - 1:
+        j = next(j for j in range(len(path) - 1, i, -1) if j == i + 1 or all(free[c] for c in segment_cells(*path[i], *path[j])))
+        kept.append(path[j])
+        i = j
+    return kept
+
+
+def _said(path: list[tuple[int, int]], yaw: float, least: float = 15.0) -> list[str]:
+    """A turn where the heading changes by at least so many degrees, then the way ahead in cells."""
+    out = []
+    for a, b in zip(path, path[1:], strict=False):
+        heading = np.arctan2(b[1] - a[1], b[0] - a[0])
+        change = np.degrees((heading - yaw + np.pi) % (2 * np.pi) - np.pi)
+        if abs(change) >= least:
+            out.append("left" if change > 0 else "right")
+        out.append(f"forward {np.hypot(b[0] - a[0], b[1] - a[1]):.2f}")
+        yaw = heading
+    return out
+
+
+def navigation_truth(cells: DataFrame, questions: DataFrame, graph: str, reach: int = 50) -> DataFrame:
+    """(graph, question_id, path, length, directions, clearances): the way from a start to a goal on its graph's grid.
+
+    ``cells``: graph, gx, gy, occupied; ``questions``: graph, question_id, sx, sy, tx, ty, yaw.  Ends move to
+    the nearest free cell within ``reach`` rings; the way is the shortest over eight neighbours, straightened
+    where a line stays free.  A clearance is the distance to the nearest occupied cell, null without one.
+    All is null where an end has no free cell or no way leads to the goal.  One grid is one task.
+    """
+    kind = dict(questions.dtypes)[graph]
+
+    def run(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        if len(held):
+            free, x0, y0 = _grid(held)
+            walls = held[held["occupied"].astype(bool)][["gx", "gy"]].to_numpy(float)
+        for q in asked.itertuples():
+            ends = [_snapped(free, (int(a) - x0, int(b) - y0), reach) for a, b in ((q.sx, q.sy), (q.tx, q.ty))] if len(held) else [None, None]
+            path = _grid_route(free, *ends) if None not in ends else []
+            if not path:
+                rows.append((getattr(q, graph), q.question_id, None, None, None, None))
+                continue
+            path = _straightened(free, path)
+            placed = [(x + x0, y + y0) for x, y in path]
+            near = [float(np.hypot(walls[:, 0] - x, walls[:, 1] - y).min()) if len(walls) else None for x, y in placed]
+            length = float(sum(np.hypot(a[0] - b[0], a[1] - b[1]) for a, b in zip(path, path[1:], strict=False)))
+            rows.append((getattr(q, graph), q.question_id, [{"x": int(x), "y": int(y)} for x, y in placed], length, _said(path, float(q.yaw)), near))
+        return pd.DataFrame(rows, columns=[graph, "question_id", "path", "length", "directions", "clearances"])
+
+    return questions.groupBy(graph).cogroup(cells.groupBy(graph)).applyInPandas(run, f"{graph} {kind}, question_id long, path array<struct<x:long,y:long>>, length double, directions array<string>, clearances array<double>")
+
+
+def refined(points: list[tuple[int, int]], keep: list[int], blocked: set[tuple[int, int]], pad: int) -> list[int]:
+    """Indices of a drawn path: between kept ones on to the farthest whose straight line, widened by ``pad``, meets no blocked pixel; none if there is no way."""
+    hits = lambda a, b: any((x + i, y + j) in blocked for x, y in segment_cells(*a, *b) for i in range(-pad, pad + 1) for j in range(-pad, pad + 1))
+    out = keep[:1]
+    for end in keep[1:]:
+        while out[-1] < end:
+            at = out[-1]
+            to = next((j for j in range(end, at, -1) if not hits(points[at], points[j])), None)
+            if to is None:
+                return []
+            out.append(to)
+    return out
+
+
+def drawn_paths(paths: DataFrame, masks: DataFrame, group: list[str], key: str, pad: int = 2) -> DataFrame:
+    """(group, key, ids): paths as they can be drawn in an image without crossing its blocked pixels; empty if impossible.
+
+    ``paths``: group, key, nodes (array of id, px, py; null pixels aren't seen); ``masks``: group, px, py of
+    blocked pixels.  Unseen ids and immediate repeats go first.  One image is one task.
+    """
+    kinds = dict(paths.dtypes)
+
+    def run(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        blocked = set(zip(held["px"].astype(int), held["py"].astype(int), strict=True))
+        rows = []
+        for at, nodes in zip(asked[[*group, key]].itertuples(index=False), asked["nodes"], strict=True):
+            seen = [n for n in (nodes if nodes is not None else ()) if n["px"] is not None and n["py"] is not None]
+            seen = [n for i, n in enumerate(seen) if not i or n["id"] != seen[i - 1]["id"]]
+            points = [(int(n["px"]), int(n["py"])) for n in seen]
+            found = refined(points, [0, len(points) - 1], blocked, pad) if len(points) > 1 else list(range(len(points)))
+            rows.append((*at, [int(seen[i]["id"]) for i in found]))
+        return pd.DataFrame(rows, columns=[*group, key, "ids"])
+
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in (*group, key)) + ", ids array<bigint>"
+    return paths.groupBy(*group).cogroup(masks.groupBy(*group)).applyInPandas(run, schema)
+
+
 def distance_field(cells: DataFrame, group: list[str], radius: int) -> DataFrame:
     """Each free cell's distance to the nearest occupied one, up to a radius in cells; null beyond."""
     ring = [(i, j) for i in range(-radius, radius + 1) for j in range(-radius, radius + 1) if 0 < i * i + j * j <= radius * radius]
