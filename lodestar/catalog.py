@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.plans import answers, datasets, registry, releases, reports, routes, rows, spaces, texts  # noqa: F401  (they register their queries)
+from lodestar.plans import answers, datasets, files, registry, releases, reports, routes, rows, spaces, texts  # noqa: F401  (they register their queries)
 
 QUERIES = registry.QUERIES
 ORACLE_SQL = registry.ORACLE_SQL

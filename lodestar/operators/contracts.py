@@ -39,6 +39,14 @@ def window_gates(counts: dict[str, int], windows: dict[str, tuple[int, int]]) ->
     return [k for k, (low, high) in windows.items() if not low <= counts.get(k, 0) <= high]
 
 
+def window_checks(counts: DataFrame, name: str, n: str, windows: dict[str, tuple[int, int]]) -> DataFrame:
+    """(name, n, low, high, inside) for every window; a name that isn't counted counts 0."""
+    rows = F.array(*[F.struct(F.lit(k).alias(name), F.lit(low).cast("long").alias("low"), F.lit(high).cast("long").alias("high")) for k, (low, high) in windows.items()])
+    asked = counts.sparkSession.range(1).select(F.explode(rows).alias("w")).select("w.*")
+    x = asked.join(counts.select(name, F.col(n).cast("long").alias("__n")), name, "left").withColumn(n, F.coalesce("__n", F.lit(0).cast("long")))
+    return x.select(name, n, "low", "high", F.col(n).between(F.col("low"), F.col("high")).alias("inside"))
+
+
 def delta_gates(after: DataFrame, before: DataFrame, key: str, thresholds: dict[str, float]) -> DataFrame:
     """Rounded deltas of metrics between two runs and the names of those below their thresholds."""
     b = before.select(key, *[F.col(m).alias(f"__{m}") for m in thresholds])

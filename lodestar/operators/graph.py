@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import heapq
-import tempfile
 from collections import deque
 
 import numpy as np
@@ -11,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.sources import scratch
+
 
 def relax(edges: DataFrame, sources: DataFrame, rounds: int) -> DataFrame:
     """(source, node, distance): least distances over at most ``rounds`` hops, for many sources at once.
@@ -80,10 +81,7 @@ def _settled(df: DataFrame) -> DataFrame:
     """``df`` checkpointed to the shared folder of ``spark.checkpoint.dir``; only a local master falls back to a temporary one."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        named = context.getConf().get("spark.checkpoint.dir", None)
-        if named is None and context.master.split("[")[0] != "local":
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="lodestar-graph-"))
+        context.setCheckpointDir(scratch.shared(df.sparkSession))
     return df.checkpoint()
 
 
@@ -333,6 +331,21 @@ def distance_field(cells: DataFrame, group: list[str], radius: int) -> DataFrame
     return cells.filter("NOT occupied").join(near, [*group, "gx", "gy"], "left")
 
 
+def reference_checks(routes: DataFrame, edges: DataFrame, keys: list[str], goals: str = "goals", path: str = "path") -> DataFrame:
+    """(keys, hops, legal_hops, length, ends_in_goal, status) of reference paths: every hop an edge, the end among the goals.
+
+    The length is null unless the whole path is legal.
+    """
+    from lodestar.operators.joins import route_edges
+
+    per = route_edges(routes, edges, keys, path)
+    ends = routes.select(*keys, F.coalesce(F.array_contains(F.col(goals), F.element_at(path, -1)), F.lit(False)).alias("ends_in_goal"))
+    x = ends.join(per, keys, "left").withColumns({"hops": F.coalesce("hops", F.lit(0)), "legal_hops": F.coalesce("legal_hops", F.lit(0))})
+    legal = (F.col("hops") > 0) & (F.col("hops") == F.col("legal_hops"))
+    status = F.when(F.col("hops") == 0, F.lit("no_hops")).when(~legal, F.lit("illegal_edge")).when(~F.col("ends_in_goal"), F.lit("wrong_end")).otherwise(F.lit("ok"))
+    return x.select(*keys, "hops", "legal_hops", F.when(legal, F.col("length")).alias("length"), "ends_in_goal", status.alias("status"))
+
+
 def edge_status(hops, legal_hops, has_pairs):
     """Status of a route's edges; without a table of pairs a sparse route passes."""
     return F.when(hops == 0, F.lit("no_hops")).when(~has_pairs, F.lit("ok_sparse")).when(hops == legal_hops, F.lit("ok")).otherwise(F.lit("illegal_edge"))

@@ -122,8 +122,8 @@ def thin(df: DataFrame, group: list[str], order: list[str], x: str, y: str, spac
     return df.groupBy(*group).applyInPandas(run, df.schema)
 
 
-def greedy(df: DataFrame, group: list[str], id_col: str, objective: Callable[[dict, list[dict]], float], limit: int) -> DataFrame:
-    """Rows chosen one at a time by the greatest gain given what is chosen (ties: greater id); stops when no gain is left.
+def greedy(df: DataFrame, group: list[str], id_col: str, objective: Callable[[dict, list[dict]], float], limit: int, least_wins: bool = False) -> DataFrame:
+    """Rows chosen one at a time by the greatest gain given what is chosen (ties: greater id, or the least); stops when no gain is left.
 
     Meant for summaries (a row for each scene): a group is chosen from in one task.
     """
@@ -133,7 +133,9 @@ def greedy(df: DataFrame, group: list[str], id_col: str, objective: Callable[[di
         rows = pdf.to_dict("records")
         chosen: list[dict] = []
         while rows and len(chosen) < limit:
-            gain, _, best = max(((objective(r, chosen), r[id_col], i) for i, r in enumerate(rows)), key=lambda t: t[:2])
+            scored = [(objective(r, chosen), r[id_col], i) for i, r in enumerate(rows)]
+            top = max(s[0] for s in scored)
+            gain, _, best = (min if least_wins else max)((s for s in scored if s[0] == top), key=lambda s: s[1])
             if gain <= 0:
                 break
             chosen.append(rows.pop(best) | {"place": len(chosen) + 1, "gain": float(gain)})
@@ -162,6 +164,44 @@ def coverage_objective(items: str, weight: float = 6.0, base: str | None = None)
     return gain
 
 
+def diversity_objective(base: str, items: str, bonus: float, overlap: float) -> Callable[[dict, list[dict]], float]:
+    """A base score, a bonus for each item that no chosen row has, less the largest Jaccard overlap with a chosen row."""
+
+    def gain(row: dict, chosen: list[dict]) -> float:
+        mine = set(row[items])
+        seen = {x for c in chosen for x in c[items]}
+        share = max((len(mine & set(c[items])) / max(len(mine | set(c[items])), 1) for c in chosen), default=0.0)
+        return row[base] + bonus * len(mine - seen) - overlap * share
+
+    return gain
+
+
+def camera_objective(items: str, score: str, weight: float, clearance: str, x: str, y: str, spacing: float) -> Callable[[dict, list[dict]], float]:
+    """Newly covered items, a share of all visible ones and the path score, shrunk by scarce clearance and by nearness to chosen cameras."""
+
+    def gain(row: dict, chosen: list[dict]) -> float:
+        seen = {i for c in chosen for i in c[items]}
+        value = 6.0 * len(set(row[items]) - seen) + 0.3 * len(row[items]) + weight * row[score]
+        nearest = min((float(np.hypot(row[x] - c[x], row[y] - c[y])) for c in chosen), default=spacing)
+        return value * min(1.0, row[clearance]) * min(1.0, nearest / spacing)
+
+    return gain
+
+
+def deficit_objective(counts: list[str], targets: list[int], penalty: float) -> Callable[[dict, list[dict]], float]:
+    """Stages in order: what a row takes off the first target that isn't met yet, less a penalty for what it adds beyond any target."""
+
+    def gain(row: dict, chosen: list[dict]) -> float:
+        have = [sum(c[k] for c in chosen) for k in counts]
+        stage = next((i for i, (h, t) in enumerate(zip(have, targets, strict=True)) if h < t), None)
+        if stage is None:
+            return 0.0
+        over = sum(max(0, h + row[k] - t) - max(0, h - t) for h, k, t in zip(have, counts, targets, strict=True))
+        return min(row[counts[stage]], targets[stage] - have[stage]) - penalty * over
+
+    return gain
+
+
 def budgeted(df: DataFrame, group: list[str], required: str, metric: str, id_col: str, limit: int) -> DataFrame:
     """Required rows first, then the nearest, up to a limit for each group."""
     w = Window.partitionBy(*group).orderBy(F.col(required).desc(), metric, id_col)

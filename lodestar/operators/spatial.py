@@ -111,6 +111,24 @@ def lattice_edges(nodes: DataFrame, group: list[str], id_col: str, gx: str, gy:
     return a.join(nodes.select(*group, F.col(id_col).alias("target"), gx, gy), [*group, gx, gy]).filter("target > source").select(*group, "source", "target")
 
 
+def snapped_paths(paths: DataFrame, points: DataFrame, group: list[str], key: str, id_col: str, step: float, reach: float) -> DataFrame:
+    """(group, key, ids): the points that a path passes, in order and without immediate repeats.
+
+    ``paths``: group, key, hop, x0, y0, x1, y1, a row for each straight hop; ``points``: group, id, x, y.  Hops
+    are sampled at equal steps; a sample takes the nearest point within ``reach`` (ties: least id), found
+    through cells, and one without any is skipped.
+    """
+    c = F.col
+    spots = paths.select(*group, key, "hop", F.posexplode(geometry.segment_samples(c("x0"), c("y0"), c("x1"), c("y1"), step)).alias("i", "p"))
+    spots = spots.select(*group, key, "hop", "i", c("p.x").alias("__px"), c("p.y").alias("__py"))
+    near = cell_join(spots, points.select(*group, c(id_col).alias("__id"), c("x").alias("__qx"), c("y").alias("__qy")), group, c("__px"), c("__py"), c("__qx"), c("__qy"), reach)
+    metric = F.hypot(c("__px") - c("__qx"), c("__py") - c("__qy"))
+    taken = near.groupBy(*group, key, "hop", "i").agg(F.min(F.struct(F.round(metric, 9).alias("d"), "__id")).alias("b")).select(*group, key, "hop", "i", c("b.__id").alias("id"))
+    w = Window.partitionBy(*group, key).orderBy("hop", "i")
+    kept = taken.withColumn("__before", F.lag("id").over(w)).filter(~c("id").eqNullSafe(c("__before")))
+    return kept.groupBy(*group, key).agg(F.transform(F.array_sort(F.collect_list(F.struct("hop", "i", "id"))), lambda x: x.id).alias("ids"))
+
+
 def path_deviation(predicted: DataFrame, reference: DataFrame, group: list[str], x: str, y: str) -> DataFrame:
     """Mean over the predicted points of the distance to the nearest reference point."""
     b = reference.select(*group, F.col(x).alias("__x"), F.col(y).alias("__y"))

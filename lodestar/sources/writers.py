@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,12 +10,20 @@ from pyspark.sql import functions as F
 
 from lodestar.functions.hashing import hash_bucket
 from lodestar.operators.ranking import display_ids
+from lodestar.sources.readers import exists
 
 
 def json_lines(df: DataFrame, path: str, append: bool = False) -> None:
     df.write.mode("append" if append else "overwrite").json(path)
 
 
+def cached(spark: SparkSession, path: str, build: Callable[[], DataFrame], keys: list[str]) -> DataFrame:
+    """A sidecar table, partitioned by its keys: read where it was written in full before, else built and written once."""
+    if not exists(spark, f"{path}/_SUCCESS"):
+        build().write.mode("overwrite").partitionBy(*keys).parquet(path)
+    return spark.read.parquet(path)
+
+
 def csv_union(frames: list[DataFrame], path: str) -> None:
     """One table with the union of all columns, in first-seen order."""
     reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames).write.mode("overwrite").option("header", True).csv(path)

@@ -126,3 +126,38 @@ def test_greedy_selection_matches_a_plain_loop(spark):
     df = spark.createDataFrame([(0, i, n) for i, n in sizes.items()], "g int, i int, n int")
     got = selection.greedy(df, ["g"], "i", selection.window_objective("n", 60, 55, 66), 8)
     assert [r.i for r in got.orderBy("place").collect()] == chosen
+
+
+def test_objectives_of_greedy_choices(spark):
+    rows = [(0, 1, 1.0, ["a", "b"], 1.0, 0.0, 0.0), (0, 2, 1.0, ["a", "b"], 1.0, 9.0, 0.0), (0, 3, 0.5, ["c"], 0.5, 0.1, 0.0), (0, 4, 0.1, ["a"], 1.0, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "g int, i int, score double, items array<string>, clearance double, x double, y double")
+    order = lambda objective, n, **kw: [r.i for r in selection.greedy(df, ["g"], "i", objective, n, **kw).orderBy("place").collect()]
+    assert order(selection.diversity_objective("score", "items", 2.0, 3.0), 2) == [2, 3]
+    assert order(selection.diversity_objective("score", "items", 2.0, 3.0), 2, least_wins=True) == [1, 3]
+    # Camera 3 is new but close to camera 1 and short of clearance; camera 2 shows nothing new from afar.
+    assert order(selection.camera_objective("items", "score", 1.0, "clearance", "x", "y", 1.0), 2, least_wins=True) == [1, 2]
+    counts = spark.createDataFrame([(0, 1, 3, 0), (0, 2, 1, 5), (0, 3, 2, 1), (0, 4, 0, 2)], "g int, i int, a int, b int")
+    got = selection.greedy(counts, ["g"], "i", selection.deficit_objective(["a", "b"], [4, 3], 0.5), 4).orderBy("place").collect()
+    assert [r.i for r in got] == [1, 3, 4] and [r.gain for r in got] == [3.0, 0.5, 2.0]
+
+
+def test_cached_sidecars_are_built_once(spark, tmp_path):
+    from lodestar.sources import writers
+
+    calls = []
+
+    def build():
+        calls.append(1)
+        return spark.createDataFrame([(1, "x"), (2, "y")], "view int, v string")
+
+    for _ in range(3):
+        assert writers.cached(spark, f"{tmp_path}/side", build, ["view"]).count() == 2
+    assert len(calls) == 1
+
+
+def test_snapped_paths_of_several_hops(spark):
+    hops = spark.createDataFrame([(0, 1, 0, 0.0, 0.0, 1.0, 0.0), (0, 1, 1, 1.0, 0.0, 1.0, 1.0), (0, 2, 0, 5.0, 5.0, 6.0, 5.0)], "g int, k int, hop int, x0 double, y0 double, x1 double, y1 double")
+    from lodestar.operators import spatial
+
+    nodes = spark.createDataFrame([(0, 1, 0.0, 0.0), (0, 2, 1.0, 0.0), (0, 3, 1.0, 1.0), (0, 4, 1.0, 0.0)], "g int, id int, x double, y double")
+    assert {r.k: r.ids for r in spatial.snapped_paths(hops, nodes, ["g"], "k", "id", 0.25, 0.6).collect()} == {1: [1, 2, 3]}
