@@ -108,9 +108,9 @@ def sidecar_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     each = s.withColumn("dst", ahead).filter("dst IS NOT NULL").select("view", F.create_map(F.col("s_suppkey").cast("string"), F.array(F.struct(F.col("dst").alias("display_id"), F.when(F.col("s_suppkey") % 3 == 0, 1.5).alias("distance_m")))).alias("neighbors"))
     path = folder(spark, "sidecar")
     for _ in range(2):  # the second call reads what the first has written
-        kept = writers.cached(spark, path, lambda: each, ["view"])
+        kept = writers.cached(spark, path, lambda: each, ["view"], "neighbors map<string,array<struct<display_id:bigint,distance_m:double>>>, view long")
     places = s.select("view", F.col("s_suppkey").alias("display_id"), F.array("b", F.lit(0.0)).alias("world_xyz"))
-    found = readers.direct_pairs(kept.select(F.col("view").cast("long").alias("view"), "neighbors"), places.withColumn("view", F.col("view").cast("long")))
+    found = readers.direct_pairs(kept.select("view", "neighbors"), places.withColumn("view", F.col("view").cast("long")))
     return found.withColumn("distance", F.round("distance", 6))
 
 

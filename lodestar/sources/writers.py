@@ -17,11 +17,14 @@ def json_lines(df: DataFrame, path: str, append: bool = False) -> None:
     df.write.mode("append" if append else "overwrite").json(path)
 
 
-def cached(spark: SparkSession, path: str, build: Callable[[], DataFrame], keys: list[str]) -> DataFrame:
-    """A sidecar table, partitioned by its keys: read where it was written in full before, else built and written once."""
+def cached(spark: SparkSession, path: str, build: Callable[[], DataFrame], keys: list[str], schema: str) -> DataFrame:
+    """A sidecar table, partitioned by its keys: read where it was written in full before, else built and written once.
+
+    The schema is stated, as a table without rows leaves no file to read it from.
+    """
     if not exists(spark, f"{path}/_SUCCESS"):
         build().write.mode("overwrite").partitionBy(*keys).parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def csv_union(frames: list[DataFrame], path: str) -> None:

@@ -151,8 +151,10 @@ def test_cached_sidecars_are_built_once(spark, tmp_path):
         return spark.createDataFrame([(1, "x"), (2, "y")], "view int, v string")
 
     for _ in range(3):
-        assert writers.cached(spark, f"{tmp_path}/side", build, ["view"]).count() == 2
+        assert writers.cached(spark, f"{tmp_path}/side", build, ["view"], "v string, view int").count() == 2
     assert len(calls) == 1
+    none = lambda: build().limit(0)
+    assert writers.cached(spark, f"{tmp_path}/none", none, ["view"], "v string, view int").columns == ["v", "view"]
 
 
 def test_snapped_paths_of_several_hops(spark):
