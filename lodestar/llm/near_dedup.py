@@ -377,7 +377,10 @@ def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """One document of each class, with all its columns: that of the least id, among equal ids that of the least hashes."""
+    """One document of each class, with all its columns: that of the least id, among equal ids that of the least hashes.
+
+    Of rows with the same id and text any one stays; they can only differ in other columns.
+    """
     keep = _classed(docs)[1].filter("h1 = first.h1 AND h2 = first.h2")
     names = ["__id", "__h1", "__h2"]
     keyed = docs.withColumns(dict(zip(names, _keys(), strict=True)))
