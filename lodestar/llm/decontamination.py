@@ -43,9 +43,9 @@ def _signature(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
 
 
-def _bounded(df: DataFrame) -> DataFrame:
-    """A stored table of the benchmark's, to be broadcast if its count allows."""
-    return F.broadcast(df) if df.count() <= MAX_BROADCAST_ROWS else df
+def _bounded(df: DataFrame, rows: int) -> DataFrame:
+    """A table to be broadcast if the count of its rows, or of more than those, allows."""
+    return F.broadcast(df) if rows <= MAX_BROADCAST_ROWS else df
 
 
 def items_of(benchmark: DataFrame) -> DataFrame:
@@ -64,7 +64,7 @@ def build_index(docs: DataFrame, places: DataFrame) -> DataFrame:
     """(term, doc_id, sig, pos): the postings of the terms in ``places`` and each document's length, in the shared folder."""
     spark = docs.sparkSession
     asked = places.select("term").distinct().unionByName(spark.range(1).select(F.lit(LENGTH).cast("long").alias("term")))
-    asked = _bounded(stored(asked, "terms"))
+    asked = _bounded(asked, places.count())
     # The word after the last is null, and its position the document's length.
     every = F.array_append(words(F.col("text").cast("string")), F.lit(None).cast("string"))
     tokens = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _signature(F.col("text")).alias("sig"), F.posexplode(every).alias("pos", "word"))
@@ -107,12 +107,13 @@ def _holding(rows: DataFrame, index: DataFrame) -> DataFrame:
 
 def alignments(index: DataFrame, windows: DataFrame) -> DataFrame:
     """(item, doc_id, sig, offset): where an item may lie, by the lists of its windows' two rarest terms."""
-    found = index.join(_bounded(windows), "term")
+    rows = windows.count()
+    found = index.join(_bounded(windows, rows), "term")
     offset = F.col("pos") - F.col("place")
     found = found.select("item", "doc_id", "sig", offset.alias("offset"), F.col("term2").alias("term"), (offset + F.col("place2")).alias("pos")).distinct()
     found = stored(found, "rarest")
     # A list that several windows share is read once; only lists of second rarest terms take part.
-    second = index.join(_bounded(stored(windows.select(F.col("term2").alias("term")).filter("term IS NOT NULL").distinct(), "second")), "term", "left_semi")
+    second = index.join(_bounded(windows.select(F.col("term2").alias("term")).filter("term IS NOT NULL").distinct(), rows), "term", "left_semi")
     both = _holding(found.filter("term IS NOT NULL"), second)
     # A window of a single word has no second term.
     return both.unionByName(found.filter("term IS NULL")).select("item", "doc_id", "sig", "offset").distinct()
@@ -122,9 +123,9 @@ def phrase_hits(index: DataFrame, places: DataFrame, window: int = WINDOW) -> Da
     """(doc_id, sig, item, first, last): word ranges that windows of an item cover."""
     windows = stored(ranked_windows(places, frequencies(index), window), "windows")
     lying = stored(alignments(index, windows), "alignments")
-    documents = stored(lying.select("doc_id", "sig").distinct(), "documents")
-    mine = index.join(_right(_bounded(documents)), F.expr(_SAME), "left_semi")
-    wanted = lying.join(_bounded(places), "item").withColumn("pos", F.col("offset") + F.col("place")).filter("pos >= 0")
+    documents = lying.select("doc_id", "sig").distinct()
+    mine = index.join(_right(_bounded(documents, lying.count())), F.expr(_SAME), "left_semi")
+    wanted = lying.join(_bounded(places, places.count()), "item").withColumn("pos", F.col("offset") + F.col("place")).filter("pos >= 0")
     met = _holding(wanted, mine)
     one = ["item", "doc_id", "sig", "offset"]
     run = F.col("place") - F.row_number().over(Window.partitionBy(*one).orderBy("place"))
@@ -166,7 +167,7 @@ def proximity_matches(docs: DataFrame, phrases: DataFrame, within: int = WINDOW)
     terms = places.select("item", "term").distinct().join(frequencies(index), "term", "left")
     per = terms.groupBy("item").agg(F.min(F.struct("freq", "term")).alias("r"), F.count("*").alias("n"), F.count("freq").alias("known"), F.collect_list("term").alias("all")).filter("n = known")
     per = stored(per.select("item", F.col("r.term").alias("term"), "n", "all"), "rarest")
-    found = index.join(_bounded(per), "term").select("item", "doc_id", "sig", "pos", "n", F.explode("all").alias("wanted")).distinct()
+    found = index.join(_bounded(per, per.count()), "term").select("item", "doc_id", "sig", "pos", "n", F.explode("all").alias("wanted")).distinct()
     cell = lambda pos: F.floor(pos / (within + 1))
     probes = found.select("*", F.explode(F.sequence(cell(F.col("pos") - within), cell(F.col("pos") + within))).alias("cell"))
     lists = _right(index.withColumn("cell", cell(F.col("pos"))))
@@ -187,7 +188,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     index = build_index(docs, places)
     per = _hit_documents(index, items, places, WINDOW)
     release(index, places)
-    dirty = _bounded(per.select(F.col("doc_id").alias("__id"), F.col("sig").alias("__sig")))
+    dirty = _bounded(per.select(F.col("doc_id").alias("__id"), F.col("sig").alias("__sig")), per.count())
     return docs.join(dirty, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (_signature(F.col("text")) == F.col("__sig")), "left_anti")
 
 
