@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 
 from lodestar.llm.common import ascii_lower, release, shuffle_partitions, stored
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Runs of what isn't [\x00-\x2F\x3A-\x60\x7B-\x7F], said by what they hold: Java matches that ten times faster.
+WORD = r"[0-9a-z\x{80}-\x{10FFFF}]+"
 WINDOW = 10
 #: The term under which a document's number of words is posted.
 LENGTH = 0
