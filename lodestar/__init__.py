@@ -1 +1,8 @@
 """A Spark-native engine for decision analytics over question, prediction and route tables."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run on executors travel by value, so a cluster needs no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

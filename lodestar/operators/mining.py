@@ -56,11 +56,10 @@ def entity_counts(rows: DataFrame, label: str, labels: list[str], entities: dict
 
 def cell_table(rows: DataFrame, axes: list[str], levels: list[str]) -> DataFrame:
     """Counts of every combination of levels, those that don't occur included."""
-    spark = rows.sparkSession
-    domain = None
+    domain = rows.sparkSession.range(0, 1, 1, 1)  # one partition: joins of local lists would multiply theirs
     for a in axes:
-        one = spark.createDataFrame([(x,) for x in levels], f"{a} string")
-        domain = one if domain is None else domain.crossJoin(one)  # a fixed, small domain
+        domain = domain.withColumn(a, F.explode(F.array(*map(F.lit, levels))))
+    domain = domain.drop("id")
     counts = rows.groupBy(*axes).agg(F.count("*").alias("n"))
     return F.broadcast(domain).join(counts, axes, "left").select(*axes, F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 

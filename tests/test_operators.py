@@ -1,10 +1,14 @@
 from __future__ import annotations
 
+import subprocess
+import sys
+
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from lodestar.functions import geometry, ladders, parse, stats, text
-from lodestar.operators import contracts, graph, joins, ranking, scoring, selection, sets, spatial, statistics
+from lodestar.functions import geometry, ladders, nested, parse, stats, text
+from lodestar.operators import contracts, graph, joins, mining, ranking, scoring, selection, sets, spatial, statistics
 
 
 def one(spark, column, **values):
@@ -18,6 +22,27 @@ def test_id_lists(spark, raw, ids):
     assert df.select(parse.id_list(F.col("t")).alias("x")).first().x == ids
 
 
+def test_functions_travel_by_value(tmp_path):
+    """A Python that doesn't have the package runs the functions that executors get."""
+    route = lambda: graph._dijkstra({1: {2: 1.0}}, 1, {2})
+    (tmp_path / "f").write_bytes(cloudpickle.dumps((nested._ids, route, graph._adjacency)))
+    program = "import sys, pickle\nf = pickle.load(open('f', 'rb'))\nassert f[1]() == (1.0, [1, 2]) and 'lodestar' not in sys.modules"
+    subprocess.run([sys.executable, "-c", program], cwd=tmp_path, env={}, check=True)
+
+
+def test_cells_come_from_one_partition(spark):
+    rows = spark.createDataFrame([("low", "high"), ("low", "high"), ("high", "low"), (None, "low")], "a string, b string")
+    table = mining.cell_table(rows, ["a", "b"], ["low", "high"])
+    assert sorted(map(tuple, table.collect())) == [("high", "high", 0), ("high", "low", 1), ("low", "high", 2), ("low", "low", 0)]
+    assert "CartesianProduct" not in table._jdf.queryExecution().executedPlan().toString()
+
+
+def test_long_lines_are_read_once(spark):
+    """Two megabytes on one line before the last, and as much white space within: a quadratic pattern wouldn't end."""
+    long = "a" * 2_000_000 + " " * 200_000 + "b\n[1]\x0b \n"
+    assert one(spark, text.format_class(F.col("t")), t=long) == "plain_plus_tail"
+
+
 def test_other_answers(spark):
     t = F.col("t")
     assert one(spark, parse.first_list(t), t="<think>[9]</think> take [4, 5] or [6]") == [4, 5]
