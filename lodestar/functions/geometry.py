@@ -11,22 +11,27 @@ def distance(a: list[Column], b: list[Column]) -> Column:
     return F.sqrt(sum(((x - y) * (x - y) for x, y in zip(a, b, strict=True)), F.lit(0.0)))
 
 
+def _positive(x: Column) -> Column:
+    """At least 0, null for null: ``greatest`` alone would skip the null."""
+    return F.when(x.isNotNull(), F.greatest(x, F.lit(0.0)))
+
+
 def box_distance(px: Column, py: Column, cx: Column, cy: Column, sx: Column, sy: Column, yaw: Column) -> Column:
-    """Distance in the plane to a rotated rectangle; 0 inside."""
+    """Distance in the plane to a rotated rectangle; 0 inside, null if anything is unknown."""
     dx, dy = px - cx, py - cy
     u, v = dx * F.cos(yaw) + dy * F.sin(yaw), dy * F.cos(yaw) - dx * F.sin(yaw)
-    return F.hypot(F.greatest(F.abs(u) - sx / 2, F.lit(0.0)), F.greatest(F.abs(v) - sy / 2, F.lit(0.0)))
+    return F.hypot(_positive(F.abs(u) - sx / 2), _positive(F.abs(v) - sy / 2))
 
 
 def overlap_ratio(ax: Column, ay: Column, aw: Column, ah: Column, bx: Column, by: Column, bw: Column, bh: Column) -> Column:
     """Area shared by two upright boxes over the smaller area."""
-    side = lambda c, s, d, t: F.greatest(F.least(c + s / 2, d + t / 2) - F.greatest(c - s / 2, d - t / 2), F.lit(0.0))
+    side = lambda c, s, d, t: F.when((c + s + d + t).isNotNull(), F.greatest(F.least(c + s / 2, d + t / 2) - F.greatest(c - s / 2, d - t / 2), F.lit(0.0)))
     return side(ax, aw, bx, bw) * side(ay, ah, by, bh) / F.greatest(F.least(aw * ah, bw * bh), F.lit(1e-9))
 
 
 def edge_gap(ax: Column, ay: Column, aw: Column, ah: Column, bx: Column, by: Column, bw: Column, bh: Column) -> Column:
     """Distance between the edges of two upright boxes."""
-    side = lambda c, s, d, t: F.greatest(F.abs(c - d) - (s + t) / 2, F.lit(0.0))
+    side = lambda c, s, d, t: _positive(F.abs(c - d) - (s + t) / 2)
     return F.hypot(side(ax, aw, bx, bw), side(ay, ah, by, bh))
 
 
@@ -94,7 +99,7 @@ def image_box(points: Column, width: int, height: int) -> Column:
     seen = F.filter(points, lambda p: p.isNotNull())
     low, high = (lambda f: F.array_min(F.transform(seen, f))), (lambda f: F.array_max(F.transform(seen, f)))
     x0, x1, y0, y1 = low(lambda p: p.px), high(lambda p: p.px), low(lambda p: p.py), high(lambda p: p.py)
-    clip = lambda v, size: F.greatest(F.lit(0), F.least(F.lit(size - 1), v))
+    clip = lambda v, size: F.when(v.isNotNull(), F.greatest(F.lit(0), F.least(F.lit(size - 1), v)))
     area = F.greatest(clip(x1, width) - clip(x0, width), F.lit(0)) * F.greatest(clip(y1, height) - clip(y0, height), F.lit(0))
     return F.when(F.size(seen) >= 3, F.struct(x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"), area.alias("area")))
 

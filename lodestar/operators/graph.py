@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.functions.geometry import box_distance
+from lodestar.operators.spatial import met_boxes
 from lodestar.sources import scratch
 
 
@@ -129,10 +131,8 @@ def clear_segments(segments: DataFrame, occupied: DataFrame, group: list[str], k
 
 def occupancy(boxes: DataFrame, cells: DataFrame, group: list[str], inflate: float) -> DataFrame:
     """Cells (gx, gy, x, y) with whether any box (cx, cy, sx, sy, yaw), inflated, covers their centre."""
-    from lodestar.functions.geometry import box_distance
-
     inside = box_distance(F.col("x"), F.col("y"), F.col("cx"), F.col("cy"), F.col("sx"), F.col("sy"), F.col("yaw")) <= inflate
-    return cells.join(boxes, group, "left").groupBy(*group, "gx", "gy").agg(F.max(F.coalesce(inside, F.lit(False))).alias("occupied"))
+    return met_boxes(cells, boxes, group, inflate, "left").groupBy(*group, "gx", "gy").agg(F.max(F.coalesce(inside, F.lit(False))).alias("occupied"))
 
 
 def _flood(free: np.ndarray, start: tuple[int, int]) -> np.ndarray:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestar.operators.joins import closest
+
 
 def cohort_winners(df: DataFrame, cohort: list[str], measure: str, id_col: str, eps: float, farthest: bool = False) -> DataFrame:
     """One row for each cohort: the extreme's least id, the extreme, how many ids tie within ``eps``, and the cohort's size."""
@@ -107,14 +109,14 @@ def start_anchor(df: DataFrame, group: list[str], id_col: str, snap: float) -> D
     ``df`` has anchor_distance, screen_x, screen_y, depth; an unknown depth comes last.
     """
     order = F.struct("anchor_distance", F.abs("screen_x").alias("x"), F.abs(F.col("screen_y") + 1).alias("y"), F.coalesce("depth", F.lit(1e9)).alias("d"), F.col(id_col).alias("i"))
-    return df.groupBy(*group).agg(F.min(order).alias("o")).filter(F.col("o.anchor_distance") <= snap).select(*group, F.col("o.i").alias(id_col), "o.anchor_distance")
+    return df.filter(F.col("anchor_distance") <= snap).groupBy(*group).agg(F.min(order).alias("o")).select(*group, F.col("o.i").alias(id_col), "o.anchor_distance")
 
 
 def anchor_distances(df: DataFrame, anchors: DataFrame, group: list[str], id_col: str) -> DataFrame:
     """Each candidate's least screen distance to any anchor of its group; both have screen_x and screen_y."""
-    b = anchors.select(*group, F.col("screen_x").alias("__x"), F.col("screen_y").alias("__y"))
-    d = F.hypot(F.col("screen_x") - F.col("__x"), F.col("screen_y") - F.col("__y"))
-    return df.join(b, group).groupBy(*group, id_col).agg(F.min(d).alias("anchor_distance"))
+    place = [*group, "screen_x", "screen_y"]
+    found = closest(df, anchors, group, ["screen_x", "screen_y"]).withColumnRenamed("distance", "anchor_distance")
+    return df.select(*place, id_col).join(found, place).groupBy(*group, id_col).agg(F.min("anchor_distance").alias("anchor_distance"))
 
 
 def candidate_pools(df: DataFrame, group: list[str], id_col: str) -> DataFrame:

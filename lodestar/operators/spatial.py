@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions import geometry
-from lodestar.operators.joins import cell_join
+from lodestar.operators.joins import cell_join, closest
 
 # Thresholds of the relations, in metres (overlap: share of the smaller area).
 NEAR_GAP, ON_GAP, UNDER_GAP, MIN_OVERLAP, INSIDE_SLACK = 0.60, 0.12, 0.60, 0.25, 0.02
@@ -49,6 +49,7 @@ def relations(objects: DataFrame, group: list[str], id_col: str) -> DataFrame:
     rest, clear = F.abs(bottom("a_") - top("b_")), bottom("b_") - top("a_")
     ends = lambda p, axis, sign: c(f"{p}c{axis}") + sign * c(f"{p}s{axis}") / 2
     depth = F.least(*[f for axis in "xyz" for f in (ends("a_", axis, -1) - ends("b_", axis, -1), ends("b_", axis, 1) - ends("a_", axis, 1))])
+    known = sum((c(f"{p}{n}") for p in ("a_", "b_") for n in ("cx", "cy", "cz", "sx", "sy", "sz")), F.lit(0.0)).isNotNull()
     found = F.array_compact(
         F.array(
             *[
@@ -56,7 +57,7 @@ def relations(objects: DataFrame, group: list[str], id_col: str) -> DataFrame:
                 for name, test, margin in (
                     ("near", gap <= NEAR_GAP, NEAR_GAP - gap),
                     ("on", (c("a_cz") > c("b_cz")) & (rest <= ON_GAP) & (overlap >= MIN_OVERLAP), F.least(ON_GAP - rest, overlap - MIN_OVERLAP)),
-                    ("inside", depth >= -INSIDE_SLACK, depth + INSIDE_SLACK),
+                    ("inside", known & (depth >= -INSIDE_SLACK), depth + INSIDE_SLACK),
                     ("under", (c("a_cz") < c("b_cz")) & clear.between(0, UNDER_GAP) & (overlap >= MIN_OVERLAP), F.least(UNDER_GAP - clear, overlap - MIN_OVERLAP)),
                 )
             ]
@@ -84,11 +85,13 @@ def confusable(objects: DataFrame, group: list[str], id_col: str, limits: tuple[
     """Ordered pairs of different category in one family that are close on screen, in depth and in size.
 
     ``objects`` has category, family, screen_x, screen_y, depth and size; unknown depth or size doesn't exclude a pair.
+    Objects meet through cells as wide as the limit on screen.
     """
     names = ("category", "screen_x", "screen_y", "depth", "size")
     side = lambda p: objects.select(*group, "family", F.col(id_col).alias(f"{p}id"), *[F.col(c).alias(f"{p}{c}") for c in names])
-    x = side("a_").join(side("b_"), [*group, "family"])
     c, (screen, depth, size) = F.col, limits
+    reach = screen * 2**0.5  # the limit holds along each axis
+    x = cell_join(side("a_"), side("b_"), [*group, "family"], c("a_screen_x"), c("a_screen_y"), c("b_screen_x"), c("b_screen_y"), reach * (1 + 1e-9))
     near = F.greatest(F.abs(c("a_screen_x") - c("b_screen_x")), F.abs(c("a_screen_y") - c("b_screen_y"))) <= screen
     deep = F.coalesce(F.abs(c("a_depth") - c("b_depth")) <= depth, F.lit(True))
     alike = F.coalesce((c("a_size") / c("b_size")).between(1 / size, size), F.lit(True))
@@ -97,10 +100,11 @@ def confusable(objects: DataFrame, group: list[str], id_col: str, limits: tuple[
 
 def nearest_neighbours(df: DataFrame, group: list[str], id_col: str, coordinates: list[str]) -> DataFrame:
     """Each point's distance to the closest other point of its group."""
-    a = df.select(*group, F.col(id_col).alias("__a"), *[F.col(c).alias(f"__a_{c}") for c in coordinates])
-    b = df.select(*group, F.col(id_col).alias("__b"), *[F.col(c).alias(f"__b_{c}") for c in coordinates])
-    d = geometry.distance([F.col(f"__a_{c}") for c in coordinates], [F.col(f"__b_{c}") for c in coordinates])
-    return a.join(b, group).filter("__a <> __b").groupBy(*group, F.col("__a").alias(id_col)).agg(F.min(d).alias("nearest"))
+    places = df.groupBy(*group, *coordinates).agg(F.count("*").alias("__n"))
+    other = closest(places, places, group, coordinates, apart=True)
+    nearest = F.when(F.col("__n") > 1, F.lit(0.0)).otherwise(F.col("distance"))
+    told = places.join(other, [*group, *coordinates], "left").select(*group, *coordinates, nearest.alias("nearest")).filter("nearest IS NOT NULL")
+    return df.select(*group, id_col, *coordinates).join(told, [*group, *coordinates]).select(*group, id_col, "nearest")
 
 
 def lattice_edges(nodes: DataFrame, group: list[str], id_col: str, gx: str, gy: str, stride: int) -> DataFrame:
@@ -131,25 +135,29 @@ def snapped_paths(paths: DataFrame, points: DataFrame, group: list[str], key: st
 
 def path_deviation(predicted: DataFrame, reference: DataFrame, group: list[str], x: str, y: str) -> DataFrame:
     """Mean over the predicted points of the distance to the nearest reference point."""
-    b = reference.select(*group, F.col(x).alias("__x"), F.col(y).alias("__y"))
-    a = predicted.select(*group, F.monotonically_increasing_id().alias("__i"), x, y)
-    near = a.join(b, group).groupBy(*group, "__i").agg(F.min(F.hypot(F.col(x) - F.col("__x"), F.col(y) - F.col("__y"))).alias("d"))
-    return near.groupBy(*group).agg(F.avg("d").alias("deviation"))
+    places = predicted.groupBy(*group, x, y).agg(F.count("*").alias("__n"))
+    near = places.join(closest(places, reference, group, [x, y]), [*group, x, y])
+    return near.groupBy(*group).agg((F.sum(F.col("distance") * F.col("__n")) / F.sum("__n")).alias("deviation"))
 
 
-def box_collisions(points: DataFrame, boxes: DataFrame, group: list[str], point_id: str, inflate: float, box_id: str | None = None) -> DataFrame:
-    """Share of each group's points inside any inflated box (cx, cy, sx, sy, yaw); with ``box_id`` a point's own box doesn't count.
+def met_boxes(points: DataFrame, boxes: DataFrame, group: list[str], margin: float, how: str) -> DataFrame:
+    """Points (x, y) joined with the boxes (cx, cy, sx, sy, yaw) that may lie within the margin.
 
-    Points meet boxes through cells as wide as half the diagonal of the group's largest box and the margin.
+    They meet through cells as wide as half the diagonal of the group's largest box and the margin.
     """
-    reach = boxes.groupBy(*group).agg((F.max(F.hypot("sx", "sy")) / 2 + inflate + 1e-9).alias("__reach"))
+    reach = boxes.groupBy(*group).agg((F.max(F.hypot("sx", "sy")) / 2 + margin + 1e-9).alias("__reach"))
     cell = lambda c: F.floor(F.col(c) / F.col("__reach")).cast("long")
     around = F.explode(F.sequence(F.lit(-1), F.lit(1)))
     near = boxes.join(reach, group).withColumn("__dx", around).withColumn("__dy", around).withColumns({"__gx": cell("cx") + F.col("__dx"), "__gy": cell("cy") + F.col("__dy")}).drop("__reach", "__dx", "__dy")
-    placed = points.join(reach, group).withColumns({"__gx": cell("x"), "__gy": cell("y")}).drop("__reach")
+    placed = points.join(reach, group, how).withColumns({"__gx": cell("x"), "__gy": cell("y")}).drop("__reach")
+    return placed.join(near, [*group, "__gx", "__gy"], "left").drop("__gx", "__gy")
+
+
+def box_collisions(points: DataFrame, boxes: DataFrame, group: list[str], point_id: str, inflate: float, box_id: str | None = None) -> DataFrame:
+    """Share of each group's points inside any inflated box (cx, cy, sx, sy, yaw); with ``box_id`` a point's own box doesn't count."""
     inside = geometry.box_distance(F.col("x"), F.col("y"), F.col("cx"), F.col("cy"), F.col("sx"), F.col("sy"), F.col("yaw")) <= inflate
     other = F.lit(True) if box_id is None else F.coalesce(F.col(box_id) != F.col(point_id), F.lit(True))
-    hit = placed.join(near, [*group, "__gx", "__gy"], "left").groupBy(*group, point_id).agg(F.max(F.coalesce(inside & other, F.lit(False)).cast("int")).alias("hit"))
+    hit = met_boxes(points, boxes, group, inflate, "inner").groupBy(*group, point_id).agg(F.max(F.coalesce(inside & other, F.lit(False)).cast("int")).alias("hit"))
     return hit.groupBy(*group).agg(F.avg("hit").alias("collision_rate"))
 
 

@@ -106,9 +106,9 @@ def nearest_goal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest goal of each point of its view, ties by id."""
     p = points(spark, sf_dir)
     a = p.filter("vec_id % 5 <> 0").select("label", "vec_id", "x", "y")
-    b = p.filter("vec_id % 5 = 0").select("label", F.col("vec_id").alias("goal"), F.col("x").alias("gx"), F.col("y").alias("gy"))
-    metric = F.sqrt((F.col("x") - F.col("gx")) * (F.col("x") - F.col("gx")) + (F.col("y") - F.col("gy")) * (F.col("y") - F.col("gy")))
-    return joins.nearest(a, b, ["label"], metric, "vec_id", "goal").withColumn("metric", F.round("metric", 6))
+    b = p.filter("vec_id % 5 = 0").select("label", F.col("vec_id").alias("goal"), "x", "y")
+    found = joins.closest(a, b, ["label"], ["x", "y"], "goal")
+    return a.join(found, ["label", "x", "y"]).select("label", "vec_id", "goal", F.round("distance", 6).alias("metric"))
 
 
 @query(f"""WITH {_POINTS}, d AS (SELECT label, vec_id, sqrt(x * x + y * y) AS m FROM pt), w AS (SELECT *, min(m) OVER (PARTITION BY label) AS least FROM d) SELECT label, vec_id, round(m, 4) AS metric FROM w WHERE round(m, 4) <= least + 0.05 + 1e-9""")

@@ -3,6 +3,7 @@ from __future__ import annotations
 import subprocess
 import sys
 
+import numpy as np
 import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
@@ -112,11 +113,57 @@ def test_joins(spark):
     left = spark.createDataFrame([(1, None, 0), (2, "x", None), (3, None, None)], "k long, v string, w int")
     right = spark.createDataFrame([(1, "f", 9), (2, "g", 8)], "k long, v string, w int")
     assert {tuple(r) for r in joins.null_fill(left, right, ["k"], ["v", "w"]).collect()} == {(1, "f", 0), (2, "x", 8), (3, None, None)}
-    a, b = spark.createDataFrame([(0, 1, 0.0, 0.0)], "g int, id int, x double, y double"), spark.createDataFrame([(0, 5, 3.0, 4.0), (0, 4, 4.0, 3.0), (0, 6, 9.0, 9.0), (1, 7, 0.0, 0.0)], "g int, t int, u double, w double")
+    a, b = spark.createDataFrame([(0, 1, 0.0, 0.0)], "g int, id int, x double, y double"), spark.createDataFrame([(0, 5, 3.0, 4.0), (0, 4, 4.0, 3.0), (0, 6, 9.0, 9.0), (0, 8, None, 0.0), (1, 7, 0.0, 0.0)], "g int, t int, u double, w double")
     best = joins.nearest(a, b, ["g"], F.hypot(F.col("x") - F.col("u"), F.col("y") - F.col("w")), "id", "t").first()
     assert (best.t, best.metric) == (4, 5.0)
 
 
+@pytest.mark.parametrize("dimensions", [1, 2, 3])
+@pytest.mark.parametrize("apart", [False, True])
+def test_closest_against_all_pairs(spark, dimensions, apart):
+    """Clusters of very different scale, a line, single places, ties, repeated rows, nulls and non-finite values."""
+    draw = np.random.default_rng(dimensions)
+    made = [draw.normal(0, 1, (60, 3)), draw.normal(50, 1e-4, (60, 3)), draw.uniform(-1e4, 1e4, (30, 3)), np.round(draw.uniform(0, 3, (40, 3))), [[7.0, 7.0, 7.0]]]
+    rows = [(g, *map(float, v)) for g, part in enumerate([np.vstack(made[:3]), made[3], made[4]]) for v in part]
+    rows = [(i, *r) for i, r in enumerate(rows + rows[:5])]
+    odd = [(900, 0, None, 1.0, 1.0), (901, 0, float("nan"), 1.0, 1.0), (902, 1, float("inf"), 1.0, 1.0), (903, 9, 1.0, 1.0, 1.0)]
+    names = ["x", "y", "z"][:dimensions]
+    df = spark.createDataFrame(rows + odd, "id long, g int, x double, y double, z double")
+    points, targets = (df, df) if apart else (df.filter("id % 3 <> 0"), df.filter("id % 3 = 0 AND g < 9"))
+    of = lambda r: (r[1], r[2 : 2 + dimensions])
+    left, right = (rows, rows) if apart else ([r for r in rows if r[0] % 3], [r for r in rows if not r[0] % 3])
+    expected = {}
+    for p in left:
+        g, at = of(p)
+        found = [(float(np.sqrt(np.sum((np.array(at) - np.array(of(t)[1])) ** 2))), t[0]) for t in right if t[1] == g and not (apart and of(t)[1] == at)]
+        if found:
+            expected[(g, *at)] = (round(min(found)[0], 9), min(found)[1])
+    result = joins.closest(points, targets, ["g"], names, "id", apart).collect()
+    assert {(r.g, *[r[n] for n in names]): (round(r.distance, 9), r.id) for r in result} == expected and len(result) == len(expected)
+
+
+def test_far_points_meet_no_box(spark):
+    boxes = spark.createDataFrame([(0, 7, 0.0, 0.0, 1.0, 1.0, 0.0)], "g int, b int, cx double, cy double, sx double, sy double, yaw double")
+    at = spark.createDataFrame([(0, 1, 0.2, 0.0), (0, 2, 90.0, 0.0), (0, 3, None, 0.0), (0, 4, -50.0, 9.0)], "g int, id int, x double, y double")
+    assert spatial.box_collisions(at, boxes, ["g"], "id", 0.1).first().collision_rate == 0.25
+    assert spatial.box_collisions(at, boxes, ["g"], "id", 0.1, "b").first().collision_rate == 0.25
+    grid = spark.createDataFrame([(0, 0, 0, 0.2, 0.0), (1, 0, 0, 0.2, 0.0)], "g int, gx long, gy long, x double, y double")
+    assert sorted((r.g, r.occupied) for r in graph.occupancy(boxes, grid, ["g"], 0.1).collect()) == [(0, True), (1, False)]
+    unknown = geometry.box_distance(*[F.lit(v) for v in (0.0, 0.0)], F.lit(None).cast("double"), *[F.lit(v) for v in (0.0, 1.0, 1.0, 0.0)])
+    assert one(spark, unknown, t="") is None
+
+
+def test_unknown_anchor_distance_is_no_start(spark):
+    df = spark.createDataFrame([(0, 1, None, 0.0, 0.0, None), (0, 2, 0.3, 0.0, 0.0, None), (0, 3, 0.2, 0.0, 0.0, 1.0), (1, 4, 0.9, 0.0, 0.0, 1.0)], "g int, id int, anchor_distance double, screen_x double, screen_y double, depth double")
+    assert list(map(tuple, ranking.start_anchor(df, ["g"], "id", 0.5).collect())) == [(0, 3, 0.2)]
+
+
+def test_neighbours_on_one_place(spark):
+    df = spark.createDataFrame([(0, 1, 2.0, 2.0), (0, 2, 2.0, 2.0), (0, 3, 5.0, 6.0), (1, 4, 0.0, 0.0), (2, 5, 1.0, 1.0), (2, 6, 1.0, 1.0)], "g int, id int, x double, y double")
+    assert sorted(map(tuple, spatial.nearest_neighbours(df, ["g"], "id", ["x", "y"]).collect())) == [(0, 1, 0.0), (0, 2, 0.0), (0, 3, 5.0), (2, 5, 0.0), (2, 6, 0.0)]
+    assert spatial.nearest_neighbours(df.limit(0), ["g"], "id", ["x", "y"]).count() == 0
+
+
 def test_ladders(spark):
     assert one(spark, ladders.compose_tier(F.lit("low"), F.lit("medium"), F.lit("low"))) == "medium" and one(spark, ladders.compose_tier(F.lit("low"), F.lit("high"))) == "hard"
     assert one(spark, ladders.geometry_axis(F.lit(4.0), F.lit(1.1), F.lit(1), F.lit(0))) == "high" and one(spark, ladders.geometry_axis(F.lit(4.0), F.lit(1.1), F.lit(1), F.lit(0), "v1")) == "medium"
