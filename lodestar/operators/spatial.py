@@ -50,20 +50,22 @@ def relations(objects: DataFrame, group: list[str], id_col: str) -> DataFrame:
     ends = lambda p, axis, sign: c(f"{p}c{axis}") + sign * c(f"{p}s{axis}") / 2
     depth = F.least(*[f for axis in "xyz" for f in (ends("a_", axis, -1) - ends("b_", axis, -1), ends("b_", axis, 1) - ends("a_", axis, 1))])
     known = sum((c(f"{p}{n}") for p in ("a_", "b_") for n in ("cx", "cy", "cz", "sx", "sy", "sz")), F.lit(0.0)).isNotNull()
-    found = F.array_compact(
-        F.array(
-            *[
-                F.when(test, F.struct(F.lit(name).alias("type"), F.round(margin, 6).alias("margin")))
-                for name, test, margin in (
-                    ("near", gap <= NEAR_GAP, NEAR_GAP - gap),
-                    ("on", (c("a_cz") > c("b_cz")) & (rest <= ON_GAP) & (overlap >= MIN_OVERLAP), F.least(ON_GAP - rest, overlap - MIN_OVERLAP)),
-                    ("inside", known & (depth >= -INSIDE_SLACK), depth + INSIDE_SLACK),
-                    ("under", (c("a_cz") < c("b_cz")) & clear.between(0, UNDER_GAP) & (overlap >= MIN_OVERLAP), F.least(UNDER_GAP - clear, overlap - MIN_OVERLAP)),
-                )
-            ]
-        )
+    # Measures first, each once; the array is exploded whole and filtered afterwards, as a function on it would take the tests out of generated code.
+    measured = {"gap": gap, "overlap": overlap, "rest": rest, "clear": clear, "depth": F.when(known, depth), "above": c("a_cz") > c("b_cz"), "below": c("a_cz") < c("b_cz")}
+    x = x.select(*group, c("a_id").alias("target"), c("b_id").alias("anchor"), *[v.alias(f"__{k}") for k, v in measured.items()])
+    gap, overlap, rest, clear, depth, above, below = (c(f"__{k}") for k in measured)
+    found = F.array(
+        *[
+            F.when(test, F.struct(F.lit(name).alias("type"), F.round(margin, 6).alias("margin")))
+            for name, test, margin in (
+                ("near", gap <= NEAR_GAP, NEAR_GAP - gap),
+                ("on", above & (rest <= ON_GAP) & (overlap >= MIN_OVERLAP), F.least(ON_GAP - rest, overlap - MIN_OVERLAP)),
+                ("inside", depth >= -INSIDE_SLACK, depth + INSIDE_SLACK),
+                ("under", below & clear.between(0, UNDER_GAP) & (overlap >= MIN_OVERLAP), F.least(UNDER_GAP - clear, overlap - MIN_OVERLAP)),
+            )
+        ]
     )
-    return x.select(*group, c("a_id").alias("target"), c("b_id").alias("anchor"), F.explode(found).alias("r")).select(*group, "target", "anchor", "r.type", "r.margin")
+    return x.select(*group, "target", "anchor", F.explode(found).alias("r")).filter("r IS NOT NULL").select(*group, "target", "anchor", "r.type", "r.margin")
 
 
 def uncertainty(margin: Column) -> Column:
