@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.functions import geometry
+from lodestar.functions import boxes, geometry
 from lodestar.operators.joins import cell_join, closest
 
 # Thresholds of the relations, in metres (overlap: share of the smaller area).
 NEAR_GAP, ON_GAP, UNDER_GAP, MIN_OVERLAP, INSIDE_SLACK = 0.60, 0.12, 0.60, 0.25, 0.02
+# At most so many targets and anchors of a cell go to one task of :func:`relation_counts` at once.
+TARGETS, ANCHORS = 8192, 131_072
 
 
 def pairs_within(df: DataFrame, group: list[str], id_col: str, x: str, y: str, radius: float) -> DataFrame:
@@ -28,6 +31,20 @@ def neighbour_lists(pairs: DataFrame, group: list[str]) -> DataFrame:
     return pairs.groupBy(*group, "src").agg(F.array_sort(F.collect_list(F.struct(F.col("dst").alias("display_id"), F.col("distance").alias("distance_m")))).alias("neighbours"))
 
 
+def _celled(objects: DataFrame, group: list[str]) -> DataFrame:
+    """Boxes with a cell (__gx, __gy) as wide as the group's largest box and the gap that every relation keeps."""
+    reach = objects.groupBy(*group).agg((F.max(F.greatest("sx", "sy")) + NEAR_GAP + INSIDE_SLACK).alias("__reach"))
+    cell = lambda name: F.floor(F.col(name) / F.col("__reach")).cast("long")
+    return objects.join(reach, group).withColumns({"__gx": cell("cx"), "__gy": cell("cy")}).drop("__reach")
+
+
+def _dealt_around(celled: DataFrame) -> DataFrame:
+    """Each row once for its cell and once for each of the eight around it."""
+    around = F.explode(F.sequence(F.lit(-1), F.lit(1)))
+    x = celled.withColumn("__dx", around).withColumn("__dy", around)
+    return x.withColumns({"__gx": F.col("__gx") + F.col("__dx"), "__gy": F.col("__gy") + F.col("__dy")})
+
+
 def relations(objects: DataFrame, group: list[str], id_col: str) -> DataFrame:
     """(group, target, anchor, type, margin) for ordered pairs of boxes with centre cx, cy, cz and size sx, sy, sz.
 
@@ -35,14 +52,9 @@ def relations(objects: DataFrame, group: list[str], id_col: str) -> DataFrame:
     as the group's largest box and that gap; boxes farther apart than two cells are never paired.
     """
     c = F.col
-    reach = objects.groupBy(*group).agg((F.max(F.greatest("sx", "sy")) + NEAR_GAP + INSIDE_SLACK).alias("__reach"))
-    sized = objects.join(reach, group)
-    cell = lambda name: F.floor(c(name) / c("__reach")).cast("long")
-    side = lambda p: sized.select(*group, F.col(id_col).alias(f"{p}id"), cell("cx").alias(f"{p}gx"), cell("cy").alias(f"{p}gy"), *[F.col(n).alias(f"{p}{n}") for n in ("cx", "cy", "cz", "sx", "sy", "sz")])
-    around = F.explode(F.sequence(F.lit(-1), F.lit(1)))
-    left = side("a_").withColumnsRenamed({"a_gx": "__gx", "a_gy": "__gy"})
-    right = side("b_").withColumn("__dx", around).withColumn("__dy", around).withColumns({"__gx": c("b_gx") + c("__dx"), "__gy": c("b_gy") + c("__dy")})
-    x = left.join(right, [*group, "__gx", "__gy"]).filter("a_id <> b_id")
+    celled = _celled(objects, group)
+    side = lambda p: celled.select(*group, F.col(id_col).alias(f"{p}id"), "__gx", "__gy", *[F.col(n).alias(f"{p}{n}") for n in ("cx", "cy", "cz", "sx", "sy", "sz")])
+    x = side("a_").join(_dealt_around(side("b_")).drop("__dx", "__dy"), [*group, "__gx", "__gy"]).filter("a_id <> b_id")
     flat = lambda p: (c(f"{p}cx"), c(f"{p}cy"), c(f"{p}sx"), c(f"{p}sy"))
     overlap, gap = geometry.overlap_ratio(*flat("a_"), *flat("b_")), geometry.edge_gap(*flat("a_"), *flat("b_"))
     bottom, top = (lambda p: c(f"{p}cz") - c(f"{p}sz") / 2), (lambda p: c(f"{p}cz") + c(f"{p}sz") / 2)
@@ -68,6 +80,50 @@ def relations(objects: DataFrame, group: list[str], id_col: str) -> DataFrame:
     return x.select(*group, "target", "anchor", F.explode(found).alias("r")).filter("r IS NOT NULL").select(*group, "target", "anchor", "r.type", "r.margin")
 
 
+def relation_counts(objects: DataFrame, group: list[str], id_col: str, mark: str | None = None) -> DataFrame:
+    """(group, target, type, n): how many of the relations of :func:`relations` each box has as target.
+
+    With ``mark``, a whole number of each object, the counts are by that of the anchor too.  Boxes meet
+    through the same cells, but in blocks that a task counts: no pair becomes a row, so shuffles carry objects
+    and counts alone.  Crowded cells are dealt out to tasks; counts of an id may come in several rows.
+    """
+    c, at, pair = F.col, ["__gx", "__gy"], ["__tpart", "__apart"]
+    known = F.col("cz").isNotNull() & F.col("sz").isNotNull()
+    marked = objects.select(*group, c(id_col).alias("target"), (c(mark) if mark else F.lit(0)).cast("long").alias("mark"), known.alias("known"), *[c(n).cast("double").alias(n) for n in ("cx", "cy", "cz", "sx", "sy", "sz")])
+    sized = _celled(marked, group).filter("target IS NOT NULL AND sx IS NOT NULL AND sy IS NOT NULL AND __gx IS NOT NULL AND __gy IS NOT NULL")
+    here = (c("__dx") == 0) & (c("__dy") == 0)
+    crowd = _dealt_around(sized.groupBy(*group, *at).agg(F.count("*").alias("__n"))).groupBy(*group, *at).agg(F.sum(F.when(here, c("__n"))).alias("__own"), F.sum("__n").alias("__all")).filter("__own IS NOT NULL")
+    parts = crowd.select(*group, *at, F.ceil(c("__own") / TARGETS).alias("__tparts"), F.ceil(c("__all") / ANCHORS).alias("__aparts"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), c(n) - 1))
+    deal = lambda n: F.pmod(F.xxhash64("target", "cx", "cy", "cz", "sx", "sy", "sz"), c(n))
+    targets = sized.drop("mark").join(parts, [*group, *at]).withColumn("__tpart", deal("__tparts")).withColumn("__apart", every("__aparts"))
+    anchors = _dealt_around(sized).drop("__dx", "__dy").join(parts, [*group, *at]).withColumn("__apart", deal("__aparts")).withColumn("__tpart", every("__tparts"))
+    keys = [*group, *at, *pair]
+    limits = (NEAR_GAP, ON_GAP, INSIDE_SLACK, UNDER_GAP, MIN_OVERLAP)
+
+    def run(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(asked) and len(held):
+            code = pd.factorize(pd.concat([asked["target"], held["target"]], ignore_index=True))[0]
+            a, a_id, held_id = boxes.faces(asked), code[: len(asked)], code[len(asked) :]
+            for m in sorted(held["mark"].unique()):
+                mine = (held["mark"] == m).to_numpy()
+                n = boxes.count(a, a_id, boxes.faces(held[mine]), held_id[mine], *limits)
+                found = n.any(axis=0)
+                out.append(asked.loc[found, [*group, "target"]].assign(mark=m, **{t: v[found] for t, v in zip(boxes.TYPES, n, strict=True)}))
+        names = [*group, "target", "mark", *boxes.TYPES]
+        return pd.concat(out)[names] if out else pd.DataFrame(columns=names)
+
+    kinds = dict(marked.dtypes)
+    schema = ", ".join([*[f"`{n}` {kinds[n]}" for n in (*group, "target")], "mark long", *[f"`{t}` long" for t in boxes.TYPES]])
+    left = targets.drop("__tparts", "__aparts")
+    right = anchors.select(*[c(n).alias(n) for n in anchors.columns if n not in (*group, "__tparts", "__aparts")], *[c(g).alias(g) for g in group])  # columns of its own, apart from the other side's
+    wide = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, schema)
+    each = F.explode(F.array(*[F.struct(F.lit(t).alias("type"), c(t).alias("n")) for t in boxes.TYPES]))
+    told = wide.select(*group, "target", "mark", each.alias("r")).filter("r.n > 0")
+    return told.select(*group, "target", "r.type", *([c("mark").alias(mark)] if mark else []), "r.n")
+
+
 def uncertainty(margin: Column) -> Column:
     return F.when(margin >= 0.10, F.lit("low")).when(margin >= 0.03, F.lit("medium")).otherwise(F.lit("high"))
 
@@ -77,10 +133,30 @@ def project_relations(found: DataFrame, supported: DataFrame, confusable: DataFr
 
     ``supported`` and ``confusable`` have the group's columns and ``id``.
     """
-    mark = lambda d, role, name: d.select(*group, F.col("id").alias(role), F.lit(True).alias(name)).distinct()
-    x = found.join(mark(supported, "target", "__t"), [*group, "target"], "left").join(mark(supported, "anchor", "__a"), [*group, "anchor"], "left").join(mark(confusable, "anchor", "__c"), [*group, "anchor"], "left")
-    reason = F.when(F.col("__t").isNull(), F.lit("target_not_supported")).when(F.col("__a").isNull(), F.lit("anchor_not_supported")).when(F.col("__c").isNotNull(), F.lit("anchor_confusable"))
-    return x.withColumn("reason", reason).drop("__t", "__a", "__c")
+    x = found.join(_marked(supported, group, "target", "__t"), [*group, "target"], "left").join(_marked(supported, group, "anchor", "__a"), [*group, "anchor"], "left").join(_marked(confusable, group, "anchor", "__c"), [*group, "anchor"], "left")
+    return x.withColumn("reason", _reason(F.col("__t"), F.col("__a"), F.col("__c"))).drop("__t", "__a", "__c")
+
+
+def _marked(ids: DataFrame, group: list[str], role: str, name: str) -> DataFrame:
+    return ids.select(*group, F.col("id").alias(role), F.lit(True).alias(name)).distinct()
+
+
+def _reason(target: Column, anchor: Column, confusable: Column) -> Column:
+    """The first reason against a relation, from marks that are true or null."""
+    return F.when(target.isNull(), F.lit("target_not_supported")).when(anchor.isNull(), F.lit("anchor_not_supported")).when(confusable.isNotNull(), F.lit("anchor_confusable"))
+
+
+def projected_counts(objects: DataFrame, supported: DataFrame, confusable: DataFrame, group: list[str], id_col: str) -> DataFrame:
+    """(group, target, type, reason, n): how many relations of each box as target :func:`project_relations` gives a reason.
+
+    Marks are put on the objects before they meet, so the joins are as long as the objects, not as their pairs.
+    """
+    c = F.col
+    x = objects.join(_marked(supported, group, id_col, "__a"), [*group, id_col], "left").join(_marked(confusable, group, id_col, "__c"), [*group, id_col], "left")
+    x = x.withColumn("__mark", c("__a").isNotNull().cast("int") + 2 * c("__c").isNotNull().cast("int"))
+    n = relation_counts(x, group, id_col, "__mark").join(_marked(supported, group, "target", "__t"), [*group, "target"], "left")
+    true = lambda bit: F.when(c("__mark").bitwiseAND(bit) > 0, F.lit(True))
+    return n.select(*group, "target", "type", _reason(c("__t"), true(1), true(2)).alias("reason"), "n")
 
 
 def confusable(objects: DataFrame, group: list[str], id_col: str, limits: tuple[float, float, float] = (0.35, 1.5, 2.0)) -> DataFrame:
