@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.functions import boxes, geometry
+from lodestar.functions import boxes, geometry, snapping
 from lodestar.operators.joins import cell_join, closest
 
 # Thresholds of the relations, in metres (overlap: share of the smaller area).
 NEAR_GAP, ON_GAP, UNDER_GAP, MIN_OVERLAP, INSIDE_SLACK = 0.60, 0.12, 0.60, 0.25, 0.02
 # At most so many targets and anchors of a cell go to one task of :func:`relation_counts` at once.
 TARGETS, ANCHORS = 8192, 131_072
+# And so many samples of a tile to one of :func:`snapped_paths`.
+SAMPLES = 65_536
 
 
 def pairs_within(df: DataFrame, group: list[str], id_col: str, x: str, y: str, radius: float) -> DataFrame:
@@ -197,15 +202,37 @@ def snapped_paths(paths: DataFrame, points: DataFrame, group: list[str], key: st
     """(group, key, ids): the points that a path passes, in order and without immediate repeats.
 
     ``paths``: group, key, hop, x0, y0, x1, y1, a row for each straight hop; ``points``: group, id, x, y.  Hops
-    are sampled at equal steps; a sample takes the nearest point within ``reach`` (ties: least id), found
-    through cells, and one without any is skipped.
+    are sampled at equal steps; a sample takes the nearest point within ``reach`` (to nine decimals, ties: least
+    id), and one without any is skipped.  Samples meet points through tiles four times as wide, in blocks that
+    a task searches: no pair becomes a row.  A crowded tile's samples are dealt out to tasks.
     """
-    c = F.col
+    c, at = F.col, ["__gx", "__gy"]
+    finite = lambda df, *names: df.filter(" AND ".join(f"abs({n}) < double('infinity')" for n in names))
+    wide, edge = 4 * reach, reach * (1 + 1e-9)  # rounding must not part a sample and a point at just the reach
+    tile = lambda v: F.floor(v / wide).cast("long")
     spots = paths.select(*group, key, "hop", F.posexplode(geometry.segment_samples(c("x0"), c("y0"), c("x1"), c("y1"), step)).alias("i", "p"))
-    spots = spots.select(*group, key, "hop", "i", c("p.x").alias("__px"), c("p.y").alias("__py"))
-    near = cell_join(spots, points.select(*group, c(id_col).alias("__id"), c("x").alias("__qx"), c("y").alias("__qy")), group, c("__px"), c("__py"), c("__qx"), c("__qy"), reach)
-    metric = F.hypot(c("__px") - c("__qx"), c("__py") - c("__qy"))
-    taken = near.groupBy(*group, key, "hop", "i").agg(F.min(F.struct(F.round(metric, 9).alias("d"), "__id")).alias("b")).select(*group, key, "hop", "i", c("b.__id").alias("id"))
+    spots = finite(spots.select(*group, key, "hop", "i", c("p.x").alias("__px"), c("p.y").alias("__py")), "__px", "__py").withColumns({"__gx": tile(c("__px")), "__gy": tile(c("__py"))})
+    parts = spots.groupBy(*group, *at).agg(F.ceil(F.count("*") / SAMPLES).alias("__parts"))
+    asked = spots.join(parts, [*group, *at]).withColumn("__part", F.pmod(F.xxhash64(key, "hop", "i"), c("__parts"))).drop("__parts")
+    held = finite(points.select(*group, c(id_col).alias("__id"), c("x").cast("double").alias("__qx"), c("y").cast("double").alias("__qy")).filter("__id IS NOT NULL"), "__qx", "__qy")
+    for g, q in zip(at, ("__qx", "__qy"), strict=True):
+        held = held.withColumn(g, F.explode(F.sequence(tile(c(q) - edge), tile(c(q) + edge))))
+    held = held.join(parts, [*group, *at]).withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), c("__parts") - 1)))
+    held = held.select(*[c(n).alias(n) for n in (*group, *at, "__part", "__id", "__qx", "__qy")])  # columns of its own, apart from the other side's
+    names = [*group, key, "hop", "i"]
+
+    def run(asked: pa.Table, held: pa.Table) -> pa.Table:
+        order = pc.sort_indices(held["__id"])
+        rank = np.empty(len(order), np.int64)
+        rank[order.to_numpy()] = np.arange(len(order))
+        found = snapping.nearest_within(*(t[n].to_numpy() for t, n in ((asked, "__px"), (asked, "__py"), (held, "__qx"), (held, "__qy"))), rank, reach)
+        taken = asked.select(names).filter(pa.array(found >= 0))
+        return taken.append_column("id", held["__id"].take(order).take(pa.array(found[found >= 0])))
+
+    kinds = dict(asked.dtypes)
+    schema = ", ".join([*[f"`{n}` {kinds[n]}" for n in names], f"id {dict(held.dtypes)['__id']}"])
+    keys = [*group, *at, "__part"]
+    taken = asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(run, schema)
     w = Window.partitionBy(*group, key).orderBy("hop", "i")
     kept = taken.withColumn("__before", F.lag("id").over(w)).filter(~c("id").eqNullSafe(c("__before")))
     return kept.groupBy(*group, key).agg(F.transform(F.array_sort(F.collect_list(F.struct("hop", "i", "id"))), lambda x: x.id).alias("ids"))

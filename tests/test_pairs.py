@@ -57,3 +57,52 @@ def test_relation_projection_shuffles_no_pairs(spark, tmp_path):
     df = spaces.relation_projection(spark, str(tmp_path))
     assert sum(r.n for r in df.collect() if r.type == "near") == 600 * 599
     assert 600 <= _rows_made(df) < 20_000
+
+
+def _snapped(hops, nodes, step, reach):
+    """By all pairs, in Python."""
+    import math
+
+    want = {}
+    for g, k, hop, x0, y0, x1, y1 in sorted(hops):
+        n = max(math.ceil(math.hypot(x1 - x0, y1 - y0) / step), 1)
+        for i in range(n + 1):
+            px, py = x0 + (x1 - x0) * i / n, y0 + (y1 - y0) * i / n
+            d = [(math.sqrt((px - x) * (px - x) + (py - y) * (py - y)), node) for h, node, x, y in nodes if h == g and node is not None]
+            near = [(round(v, 9), node) for v, node in d if v <= reach]
+            if near:
+                want.setdefault((g, k), []).append(min(near)[1])
+    return {k: [v for i, v in enumerate(ids) if not i or v != ids[i - 1]] for k, ids in want.items()}
+
+
+def test_snapped_paths_are_those_of_all_pairs(spark, monkeypatch):
+    import random
+
+    pick = random.Random(3)
+    at = lambda: round(pick.gauss(0, 0.3), 3)
+    nodes = [(g, i, at(), at()) for g in (0, 1) for i in range(300)]
+    nodes += [(0, 1000 - i, 0.5, 0.5) for i in range(20)]  # copies: the least id
+    nodes += [(0, 2001, 2.0, 2.0), (0, 2000, 2.0, 2.0 + 1e-11), (0, None, 0.0, 0.0), (2, 1, 0.0, 0.0)]  # equal to nine decimals; no id; no path
+    hops = [(g, k, h, 0.0, 0.0, at(), at()) for g in (0, 1) for k in range(60) for h in (0, 1)] + [(0, 99, 0, 1.9, 2.0, 2.1, 2.0), (3, 1, 0, 0.0, 0.0, 1.0, 1.0)]
+    want = _snapped(hops, nodes, 0.05, 0.06)
+    assert want[0, 99] == [2000]
+    args = spark.createDataFrame(hops, "g int, k int, hop int, x0 double, y0 double, x1 double, y1 double"), spark.createDataFrame(nodes, "g int, id long, x double, y double")
+    for samples in (65_536, 7):  # whole tiles, and tiles in parts
+        monkeypatch.setattr(spatial, "SAMPLES", samples)
+        found = spatial.snapped_paths(*args, ["g"], "k", "id", 0.05, 0.06)
+        assert {(r.g, r.k): r.ids for r in found.collect()} == want
+
+
+def test_snapped_paths_keep_ids_of_any_type(spark):
+    hops = spark.createDataFrame([("v", None, 0, 0.0, 0.0, 1.0, 0.0), ("v", 2**60 + 1, 0, 0.0, 0.0, 1.0, 0.0)], "g string, k long, hop int, x0 double, y0 double, x1 double, y1 double")
+    nodes = spark.createDataFrame([("v", "b", 0.0, 0.0), ("v", "a", 1.0, 0.0), ("v", "c", 1.0, 0.0)], "g string, id string, x double, y double")
+    assert {r.k: r.ids for r in spatial.snapped_paths(hops, nodes, ["g"], "k", "id", 0.25, 0.3).collect()} == {None: ["b", "a"], 2**60 + 1: ["b", "a"]}
+
+
+def test_snapped_paths_make_no_row_for_a_pair(spark, tmp_path):
+    from lodestar.plans import files
+
+    spark.range(600).selectExpr("id AS vec_id", "transform(sequence(1, 64), i -> float(0.02 + id * 1e-6)) AS embedding", "0 AS label").write.parquet(f"{tmp_path}/embeddings.parquet")
+    df = files.snapped_paths(spark, str(tmp_path))
+    assert {r.ids.split(",")[0] for r in df.collect()} == {"0"}
+    assert 600 <= _rows_made(df) < 20_000
